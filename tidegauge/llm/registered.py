@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, lines, mixing
+from . import bpe, langid, lines, mixing
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_language_id": langid.op1_language_id,
         "op2_line_dedup": lines.op2_line_dedup,
         "op4_mixing": mixing.op4_mixing,
+        "op5_byte_bpe": bpe.op5_byte_bpe,
         "pipeline": pipeline,
     }
 
