@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, lines, mixing
+from . import bpe, html, langid, lines, mixing
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_line_dedup": lines.op2_line_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op5_byte_bpe": bpe.op5_byte_bpe,
+        "op6_html_extraction": html.op6_html_extraction,
         "pipeline": pipeline,
     }
 
