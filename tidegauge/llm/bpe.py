@@ -92,6 +92,7 @@ class Encoder:
     def __init__(self, tokens: list[bytes], ranks: list[int], pattern: str):
         self.hash, self.ranks, self.pattern = PerfectHash(tokens), ranks, pattern
         self.token = dict(zip(ranks, tokens, strict=True))
+        self.pair = dict(zip(tokens, ranks, strict=True))  # what two neighbours make
         self.split = None
         self.memo: dict[str, tuple[int, ...]] = {}
 
@@ -104,35 +105,37 @@ class Encoder:
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a pre-token that is no token itself."""
-        n = len(piece)
-        end = list(range(1, n + 1))  # where the part that starts here ends; 0: no part starts here
-        before = list(range(-1, n))
-        heap: list[tuple[int, int, int]] = []  # rank, start, end of the joined pair
-
-        def offer(start: int) -> None:
-            middle = end[start]
-            if middle < n:
-                r = self.rank(piece[start : end[middle]])
-                if r >= 0:
-                    heapq.heappush(heap, (r, start, end[middle]))
-
-        for i in range(n - 1):
-            offer(i)
+        n, get = len(piece), self.pair.get
+        after = list(range(1, n + 1))  # where the part that starts here ends, that is, where the next starts
+        before = list(range(-1, n - 1))
+        joint = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the part that starts here with the next; -1: none
+        joint.append(-1)
+        heap = [(r << 32) | i for i, r in enumerate(joint) if r >= 0]
+        heapq.heapify(heap)
         while heap:
-            _, start, stop = heapq.heappop(heap)
-            middle = end[start]
-            if not middle or middle >= n or end[middle] != stop:
+            least = heapq.heappop(heap)
+            start = least & 0xFFFFFFFF
+            if joint[start] != least >> 32:
                 continue  # one of the two has been merged meanwhile
-            end[start], end[middle] = stop, 0
+            middle = after[start]
+            stop = after[start] = after[middle]
+            joint[middle] = -1
+            r = -1
             if stop < n:
                 before[stop] = start
-            offer(start)
+                r = get(piece[start : after[stop]], -1)
+                if r >= 0:
+                    heapq.heappush(heap, (r << 32) | start)
+            joint[start] = r
             if start:
-                offer(before[start])
+                left = before[start]
+                r = joint[left] = get(piece[left:stop], -1)
+                if r >= 0:
+                    heapq.heappush(heap, (r << 32) | left)
         out, i = [], 0
         while i < n:
-            out.append(self.rank(piece[i : end[i]]))
-            i = end[i]
+            out.append(get(piece[i : after[i]]))
+            i = after[i]
         return tuple(out)
 
     def piece(self, text: str) -> tuple[int, ...]:
@@ -165,47 +168,39 @@ def load(spark: SparkSession, path: str, pattern: str) -> Encoder:
     return Encoder([base64.b64decode(t) for t, _ in lines], [int(r) for _, r in lines], pattern)
 
 
-def encode(docs: DataFrame, encoder: Encoder, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns and `ids`, the tokens of the whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(encoder)
-    source = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["ids array<int>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = shared.value
-        for batch in batches:
-            start, lengths, parts, size = 0, [], [], 0
-            for i, text in enumerate(batch.column("__text")):
-                text = text.as_py()
-                ids = enc.encode(text)
-                parts.append(np.array(ids, np.int32))
-                lengths.append(len(ids))
-                size += len(text or "")
-                if size >= CHUNK or i + 1 == batch.num_rows:
-                    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-                    column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(lengths)) for c in keep), column], [*keep, "ids"])
-                    start, lengths, parts, size = i + 1, [], [], 0
-
-    return source.mapInArrow(run, schema)
+def encode(docs: DataFrame, encoder: Encoder, text: str = "text", keep: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
+    """The kept columns and `ids`, the tokens of the whole text; with back also `bytes`, what the ids decode to."""
+    return _batched(docs, text, keep, encoder, {"ids": "array<int>"} | ({"bytes": "binary"} if back else {}), lambda enc, text: (ids := enc.encode(text), enc.decode(ids)) if back else (enc.encode(text),))
 
 
 def decode(encoded: DataFrame, encoder: Encoder, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """The kept columns and `bytes`, what the ids stand for."""
-    shared = encoded.sparkSession.sparkContext.broadcast(encoder)
-    source = encoded.select(*keep, F.col("ids").alias("__ids"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema] + ["bytes binary"])
+    return _batched(encoded, "ids", keep, encoder, {"bytes": "binary"}, lambda enc, ids: (enc.decode(ids or []),))
+
+
+def _batched(rows: DataFrame, column: str, keep: tuple[str, ...], encoder: Encoder, made: dict[str, str], one) -> DataFrame:
+    """The kept columns and what `one` makes of each value, in batches of about CHUNK characters or ids."""
+    shared = rows.sparkSession.sparkContext.broadcast(encoder)
+    source = rows.select(*keep, F.col(column).alias("__value"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + [f"{k} {v}" for k, v in made.items()])
+
+    def column_of(name: str, values: list) -> pa.Array:
+        if name == "bytes":
+            return pa.array(values, pa.binary())
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(values), np.int32, offsets[-1])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value
         for batch in batches:
-            start, texts, size = 0, [], 0
-            for i, ids in enumerate(batch.column("__ids")):
-                texts.append(enc.decode(ids.values.to_numpy().tolist() if ids.is_valid else []))
-                size += len(texts[-1])
+            start, done, size = 0, [], 0
+            for i, value in enumerate(batch.column("__value")):
+                value = value.as_py()
+                done.append(one(enc, value))
+                size += len(value or "")
                 if size >= CHUNK or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(texts)) for c in keep), pa.array(texts, pa.binary())], [*keep, "bytes"])
-                    start, texts, size = i + 1, [], 0
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, len(done)) for c in keep), *map(column_of, made, map(list, zip(*done, strict=True)))], [*keep, *made])
+                    start, done, size = i + 1, [], 0
 
     return source.mapInArrow(run, schema)
 
@@ -219,9 +214,8 @@ def _public(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> Encoder
 def digests(docs: DataFrame) -> DataFrame:
     """Per document its number of tokens and the digests of ids and of what they decode to."""
     encoder = _public(docs.sparkSession)
-    coded = encode(docs, encoder).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    back = decode(coded, encoder, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+    coded = encode(docs, encoder, back=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
