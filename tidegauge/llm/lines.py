@@ -1,12 +1,11 @@
 """Removal of lines that many documents share.
 
 A line's key is the line without white space at both ends and with A-Z in lower case. Every task puts the
-hashes of its keys, once a document, in two Bloom filters: seen once, and seen twice. Filters of equal shape
-merge by bits: seen twice is either task's twice or both tasks' once. No repeat is missed, so that only the
-lines in the merged twice filter, the suspects, are shuffled, with their whole keys. Counting them confirms
-the repeats exactly and chooses the one document that keeps each.
+hashes of its keys, once a document, in two Bloom filters: seen once, and seen twice (see sketch.py). No
+repeat is missed, so that only the lines in the merged twice filter, the suspects, are shuffled, with their
+whole keys. Counting them confirms the repeats exactly and chooses the one document that keeps each.
 
-The filter has 10 bits a line, BITS at most; beyond that more lines are suspects and results stay the same.
+The filter has a bounded size; when it is full more lines are suspects and results stay the same.
 
 Cases: a null or empty text is one empty line. A document is a doc_id: rows that share one count once and
 keep a line together; a null doc_id sorts first. Lines shorter than the least length always stay. With
@@ -15,7 +14,6 @@ nothing left a text is empty. Further columns of the input play no part.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch
 from .base import doc_number, table, written
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
-BLOCK_BITS = 1 << 16
-BITS = 1 << 28
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -41,60 +38,14 @@ def keys_of(text: str | None, least: int) -> Iterator[tuple[int, bytes]]:
             yield i, key.encode().lower()
 
 
-def spots(hashes: np.ndarray, n_blocks: int) -> np.ndarray:
-    """The three bits of each hash, all in one block (hash x 3)."""
-    block = (hashes >> np.uint64(64 - (n_blocks.bit_length() - 1))).astype(np.int64) if n_blocks > 1 else np.zeros(hashes.size, np.int64)
-    low = np.stack([(hashes >> np.uint64(16 * j)) & np.uint64(0xFFFF) for j in range(3)], axis=1).astype(np.int64)
-    return block[:, None] * BLOCK_BITS + low
+def hashes_of(least: int):
+    """Hashes of the keys in a batch of texts, each once a document."""
 
+    def run(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for start in range(0, batch.num_rows, 512):
+            yield np.array([h for text in batch.column("text")[start : start + 512].to_pylist() for h in {xxhash.xxh3_64_intdigest(k) for _, k in keys_of(text, least)}], np.uint64)
 
-def test(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
-
-
-def put(bits: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bits, at.ravel() >> 3, (1 << (at.ravel() & 7)).astype(np.uint8))
-
-
-def twice_seen(rows: DataFrame, least: int, n_blocks: int) -> bytes:
-    """The merged filter of keys that at least two documents may hold; n_blocks x 8 KB."""
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = (np.zeros(n_blocks * BLOCK_BITS // 8, np.uint8) for _ in range(2))
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                found = [h for text in batch.column("text")[start : start + 512].to_pylist() for h in {xxhash.xxh3_64_intdigest(k) for _, k in keys_of(text, least)}]
-                if not found:
-                    continue
-                hashes, n = np.unique(np.array(found, np.uint64), return_counts=True)
-                at = spots(hashes, n_blocks)
-                put(twice, at[(n > 1) | test(once, at)])
-                put(once, at)
-        for b in range(n_blocks):
-            part = slice(b * BLOCK_BITS // 8, (b + 1) * BLOCK_BITS // 8)
-            if once[part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(once[part].tobytes(), 1)]), pa.array([zlib.compress(twice[part].tobytes(), 1)])], ["block", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for b, o, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-                if b in seen:
-                    once, twice = seen[b]
-                    twice |= t | (once & o)
-                    once |= o
-                else:
-                    seen[b] = [o.copy(), t.copy()]
-        for b, (_, twice) in seen.items():
-            if twice.any():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)])], ["block", "twice"])
-
-    merged = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
-    parts = rows.select("text").mapInArrow(fill, "block int, once binary, twice binary").repartition("block").mapInArrow(merge, "block int, twice binary")
-    for r in parts.toLocalIterator():
-        merged[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
-    return merged.tobytes()
+    return run
 
 
 def suspects(rows: DataFrame, least: int, n_blocks: int, bits: bytes) -> DataFrame:
@@ -116,7 +67,7 @@ def suspects(rows: DataFrame, least: int, n_blocks: int, bits: bytes) -> DataFra
                     lines += own.values()
                 if not keys:
                     continue
-                hit = np.flatnonzero(test(twice, spots(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), n_blocks)))
+                hit = np.flatnonzero(sketch.test(twice, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), n_blocks))
                 of = pa.array([where[i] for i in hit], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("row").take(of), part.column("doc").take(of), pa.array([keys[i].decode() for i in hit], pa.string()), pa.array([lines[i] for i in hit], pa.list_(pa.int32()))], ["row", "doc", "key", "lines"])
 
@@ -127,10 +78,9 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     """row (see row_id) and the numbers of the lines that it loses. keep: which document in the order of ids keeps a line, first or last."""
     rows = docs.select(row_id(text, key).alias("row"), doc_number(key).alias("doc"), F.col(text).alias("text"))
     n_lines = rows.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1)).first()[0] or 0
-    n_blocks = 1
-    while n_blocks * BLOCK_BITS < min(BITS, 10 * n_lines):
-        n_blocks *= 2
-    found = written(suspects(rows, least_chars, n_blocks, twice_seen(rows, least_chars, n_blocks)), "suspects")
+    n_blocks = sketch.blocks_for(n_lines)
+    twice = sketch.twice_seen(rows.select("text"), hashes_of(least_chars), n_blocks)
+    found = written(suspects(rows, least_chars, n_blocks, twice), "suspects")
     chosen = F.max("doc") if keep == "last" else F.min("doc")
     shared = written(found.groupBy("key").agg(F.count_distinct("doc").alias("n_docs"), chosen.alias("keeper")).where(F.col("n_docs") >= least_docs), "repeats")
     lost = found.join(shared, "key").where("doc <> keeper").select("row", F.explode("lines").alias("line"))
