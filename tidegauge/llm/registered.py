@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, lines, mixing, repeats
+from . import bpe, html, langid, lines, mixing, repeats, vectors
 
 
 def queries() -> dict:
@@ -12,13 +12,14 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_html_extraction": html.op6_html_extraction,
+        "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
         "op10_repeated_passages": repeats.op10_repeated_passages,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.OP2_SQL, "op4_mixing": mixing.OP4_SQL}
+    return {"op2_line_dedup": lines.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op9_embedding_near_dedup": vectors.OP9_SQL}
 
 
 def pipeline(spark, sf_dir):
