@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, lines, mixing, repeats, vectors
+from . import bpe, html, langid, lines, mixing, neighbours, repeats, vectors
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_html_extraction": html.op6_html_extraction,
+        "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
         "op10_repeated_passages": repeats.op10_repeated_passages,
         "pipeline": pipeline,
