@@ -28,8 +28,8 @@ from .base import table
 
 #: Characters encoded, or ids decoded, before a batch is handed on.
 CHUNK = 1 << 20
-#: Pre-tokens that a task remembers.
-MEMO = 1 << 17
+#: Pre-tokens that a task remembers, and as many that it used before those.
+MEMO = 1 << 18
 
 
 class PerfectHash:
@@ -71,8 +71,8 @@ class PerfectHash:
         self.keys = [keys[i] for i in self.slots]
 
     def _places(self, key: bytes) -> tuple[int, int]:
-        h = xxhash.xxh3_128_intdigest(key)
-        return (h >> 64) % self.n_buckets, h & 0xFFFFFFFFFFFFFFFF
+        h = xxhash.xxh3_64_intdigest(key)
+        return (h >> 32) % self.n_buckets, h
 
     def _slot(self, x: int, d: int) -> int:
         x = ((x ^ (d * 0x9E3779B97F4A7C15)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
@@ -94,10 +94,12 @@ class Encoder:
         self.token = dict(zip(ranks, tokens, strict=True))
         self.pair = dict(zip(tokens, ranks, strict=True))  # what two neighbours make
         self.split = None
+        self.two = [self.pair.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
-        return self.__dict__ | {"split": None, "memo": {}}
+        return self.__dict__ | {"split": None, "memo": {}, "older": {}}
 
     def rank(self, piece: bytes) -> int:
         i = self.hash.get(piece)
@@ -108,7 +110,8 @@ class Encoder:
         n, get = len(piece), self.pair.get
         after = list(range(1, n + 1))  # where the part that starts here ends, that is, where the next starts
         before = list(range(-1, n - 1))
-        joint = [get(piece[i : i + 2], -1) for i in range(n - 1)]  # rank of the part that starts here with the next; -1: none
+        two = self.two
+        joint = [two[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of the part that starts here with the next; -1: none
         joint.append(-1)
         heap = [(r << 32) | i for i, r in enumerate(joint) if r >= 0]
         heapq.heapify(heap)
@@ -151,10 +154,10 @@ class Encoder:
         memo = self.memo
         pieces = self.split(text)
         for p in set(pieces).difference(memo):
-            memo[p] = self.piece(p)
+            memo[p] = self.older.get(p) or self.piece(p)
         ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
         if len(memo) > MEMO:
-            memo.clear()
+            self.memo, self.older = {}, memo
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
