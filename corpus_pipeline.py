@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.llm import langid, lines, mixing
+from tidegauge.llm import bpe, langid, lines, minhash, mixing
 from tidegauge.llm.base import table, written
 
 #: Each takes (spark, docs, sf_dir) and returns the columns of documents, the last what training reads.
 STAGES = [
     ("language_id", langid.stage),
     ("line_dedup", lines.stage),
+    ("minhash_near_dedup", minhash.stage),
     ("mixing", mixing.stage),
+    ("byte_bpe", bpe.stage),
 ]
 
 #: Stages of this pipeline are models, signatures and merges; SQL cannot express them.

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, lines, mixing, neighbours, repeats, vectors
+from . import bpe, html, langid, lines, minhash, mixing, neighbours, repeats, vectors
 
 
 def queries() -> dict:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_line_dedup": lines.op2_line_dedup,
+        "op3_minhash_near_dedup": minhash.op3_minhash_near_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_html_extraction": html.op6_html_extraction,

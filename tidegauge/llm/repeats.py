@@ -264,7 +264,7 @@ class Repeats:
         several = written(contexts.groupBy("gram").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"), "grams")
         chosen = contexts.join(several, "gram").select("row", F.struct("place", "lo", "hi", "gram", (F.col("n_contexts") > group).alias("hot"), (F.col("n") == 1).alias("lone")).alias("c"))
         wanted = written(chosen.groupBy("row").agg(F.collect_list("c").alias("c")), "wanted")
-        cut = written(self._texts_of(wanted).select("*").mapInArrow(self._cutter(), "gram long, row long, place long, lo long, hot boolean, lone boolean, left binary, right binary"), "cut")
+        cut = written(wanted.join(sketch.sifted(self.rows, wanted, "row"), "row").mapInArrow(self._cutter(), "gram long, row long, place long, lo long, hot boolean, lone boolean, left binary, right binary"), "cut")
         self.spans = written(cut.where("not hot").select("gram", "row", "place", "left", "right").repartition("gram").sortWithinPartitions("gram", "right").mapInArrow(_scan(length), "row long, start long, stop long, repeat long"), "spans")
         hot = cut.where("hot")
         once = hot.select("row", "lo", "left", "right").mapInArrow(_windows(length), "row long, start long, one long, two long").groupBy("one", "two").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start")).where("n = 1")
@@ -274,31 +274,6 @@ class Repeats:
             kind(contexts.where("n = 1"), 0, "place", "place").unionAll(kind(self.spans, 1, "start", "stop")).unionAll(kind(hot.where("lone"), 2, "place", "place")).unionAll(kind(once, 3, "start", "start"))
         ).groupBy("row").agg(F.collect_list("fact").alias("facts"))
 
-    def _texts_of(self, wanted: DataFrame) -> DataFrame:
-        """The texts of rows that are wanted. A filter of their names, of bounded size, keeps most others out of the shuffle."""
-        n_blocks = sketch.blocks_for(wanted.count())
-
-        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(n_blocks * sketch.BLOCK_BITS // 8, np.uint8)
-            for batch in batches:
-                sketch.put(bits, batch.column("row").to_numpy().view(np.uint64), n_blocks)
-            for b in range(n_blocks):
-                part = bits[b * sketch.BLOCK_BITS // 8 : (b + 1) * sketch.BLOCK_BITS // 8]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()])], ["block", "bits"])
-
-        bits = np.zeros((n_blocks, sketch.BLOCK_BITS // 8), np.uint8)
-        for r in wanted.select("row").mapInArrow(fill, "block int, bits binary").toLocalIterator():
-            bits[r["block"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-        shared = wanted.sparkSession.sparkContext.broadcast(bits.tobytes())
-
-        def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.frombuffer(shared.value, np.uint8)
-            for batch in batches:
-                yield batch.filter(pa.array(sketch.test(bits, batch.column("row").to_numpy().view(np.uint64), n_blocks)))
-
-        return wanted.join(self.rows.mapInArrow(sift, "row long, text string"), "row")
-
     def _cutter(self):
         length = self.length
 

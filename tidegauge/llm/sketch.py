@@ -77,3 +77,33 @@ def twice_seen(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], Iterator[n
     for r in rows.mapInArrow(fill, "block int, once binary, twice binary").repartition("block").mapInArrow(merge, "block int, twice binary").toLocalIterator():
         merged[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
     return merged.tobytes()
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a long) is wanted, and few others: a filter of bounded size that keeps rows out of a shuffle."""
+    n_blocks = blocks_for(wanted.count())
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(n_blocks * BLOCK_BITS // 8, np.uint8)
+        for batch in batches:
+            put(bits, named(batch.column(0)), n_blocks)
+        for b in range(n_blocks):
+            part = bits[b * BLOCK_BITS // 8 : (b + 1) * BLOCK_BITS // 8]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()])], ["block", "bits"])
+
+    def named(column: pa.Array) -> np.ndarray:
+        x = column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    bits = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
+    for r in wanted.select(key).mapInArrow(fill, "block int, bits binary").toLocalIterator():
+        bits[r["block"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = wanted.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            yield batch.filter(pa.array(test(bits, named(batch.column(key)), n_blocks)))
+
+    return rows.mapInArrow(sift, rows.schema)
