@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, lines, minhash, mixing, neighbours, repeats, vectors
+from . import bpe, html, langid, lines, minhash, mixing, neighbours, repeats, secrets, vectors
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_byte_bpe": bpe.op5_byte_bpe,
         "op6_html_extraction": html.op6_html_extraction,
+        "op7_secret_scan": secrets.op7_secret_scan,
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
         "op10_repeated_passages": repeats.op10_repeated_passages,
