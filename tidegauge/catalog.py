@@ -1,11 +1,111 @@
-"""The engine's queries by name, each with its SQL where SQL can express it."""
+"""The engine's queries by name, each with its SQL where SQL can express it.
+
+The tables hold no prices, so bars are made of orders and events: daily bars of all orders (`ALL`), daily bars by
+order status, and hourly bars by type of event. Values are rounded where engines may differ in the last digit.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidegauge.functions.steps import Steps
+from tidegauge.operators import features as ft
+from tidegauge.sources import bars as br
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# bars
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    return br.build(orders, F.lit("ALL"), F.col("o_orderdate"), 100 + F.col("o_totalprice") / 1e5, F.col("o_orderkey"))
+
+
+def bars_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    return br.build(orders, F.col("o_orderstatus"), F.col("o_orderdate"), 100 + F.col("o_totalprice") / 1e5, F.col("o_orderkey"))
+
+
+def bars_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    return br.build(events, F.col("event_type"), F.date_trunc("hour", "ts").cast("timestamp_ntz"), 100 + F.col("value") / 100, F.col("event_id"))
+
+
+def _bars_sql(instrument: str, ts: str, price: str, order: str, table: str) -> str:
+    return f"(SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) - 1 AS pos FROM (SELECT {instrument} AS instrument, {ts} AS ts, arg_min({price}, {order}) AS open, max({price}) AS high, min({price}) AS low, arg_max({price}, {order}) AS close, count(*)::DOUBLE AS volume FROM {table} GROUP BY ALL))"
 
-def queries() -> dict:
-    return {}
+
+DAILY = _bars_sql("'ALL'", "o_orderdate", "100 + o_totalprice / 1e5", "o_orderkey", "orders")
+STATUS = _bars_sql("o_orderstatus", "o_orderdate", "100 + o_totalprice / 1e5", "o_orderkey", "orders")
+HOURLY = _bars_sql("event_type", "date_trunc('hour', ts)::TIMESTAMP", "100 + value / 100", "event_id", "events")
+BAR_COLUMNS = "instrument, ts, pos, open, high, low, close, volume"
+
+query("bars_daily", f"SELECT {BAR_COLUMNS} FROM {DAILY}")(bars_daily)
+query("bars_status_panel", f"SELECT {BAR_COLUMNS} FROM {STATUS}")(bars_status)
+query("bars_hourly_panel", f"SELECT {BAR_COLUMNS} FROM {HOURLY}")(bars_hourly)
+
+
+# steps as queries
+
+
+def rounded(e: str, digits: int = 6) -> str:
+    return f"round(cast({e} as double), {digits}) + 0.0"
+
+
+def by_steps(name: str, build: Callable[[Steps], dict[str, str]], source: Query = bars_status, source_sql: str = STATUS, keep: tuple[str, ...] = ("instrument", "pos"), digits: int = 6, plain: tuple[str, ...] = (), where: str = "") -> None:
+    """A query whose operator is steps over a bar table; its SQL is the same operator written for the other dialect."""
+
+    def outputs(s: Steps) -> dict[str, str]:
+        return {k.replace(".", "_"): (e if k in plain else rounded(e, digits)) for k, e in build(s).items()}
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = Steps()
+        out = outputs(s)
+        df = s.over(source(spark, sf_dir), out, list(keep))
+        return df.where(where) if where else df
+
+    s = Steps("duckdb")
+    out = outputs(s)
+    text = s.sql(source_sql, out, list(keep))
+    query(name, f"SELECT * FROM ({text}) WHERE {where}" if where else text)(run)
+
+
+for _name, _feature in ft.REGISTRY.items():
+    if not _feature.extra.get("by_series"):
+        by_steps(f"feat_{_name}", lambda s, n=_name: {f"{n}_{k}" if k else n: e for k, e in ft.columns(s, n).items()})
+
+for _how in ft.TRANSFORMS[1:]:
+    by_steps(f"tf_{_how}", lambda s, h=_how: {h: ft.transformed(s, ft.columns(s, "sma_ratio" if h != "log" else "natr", {"window": 10})[""], h, 40)})
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["bars_daily"](spark, sf_dir)
