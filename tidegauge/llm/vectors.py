@@ -35,6 +35,8 @@ BLOCKS = 4
 TILE = 16384
 #: Rows of a tile compared with another tile at a time.
 ROWS = 256
+#: Candidates verified at a time.
+PAIRS = 1 << 15
 
 
 def usable(vector: str) -> Column:
@@ -85,35 +87,30 @@ def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
 def compare(a: np.ndarray, b: np.ndarray, same: bool, block: int, spaces: list[tuple[slice, float]], turn: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Numbers of rows of a and of b that link and that no earlier subspace finds."""
     ra, rb = a @ turn, b @ turn
+    space, share = spaces[block]
+    one = lambda n: np.ones((n, 1))
+    square = lambda x: (x * x).sum(axis=1, keepdims=True)
+    # squared distances as one product, in single precision with more slack than it loses
+    left = np.hstack([-2 * ra[:, space], square(ra[:, space]), one(len(a))]).astype(np.float32)
+    right = np.ascontiguousarray(np.hstack([rb[:, space], one(len(b)), square(rb[:, space])]).astype(np.float32).T)
 
-    def near(rows: slice, k: int) -> np.ndarray:
-        space, share = spaces[k]
-        x, y = ra[rows, space], rb[:, space]
-        return (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T) <= share
+    def gap(i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
+        d = ra[i, spaces[k][0]] - rb[j, spaces[k][0]]
+        return (d * d).sum(axis=1)
 
     for start in range(0, len(a), ROWS):
-        rows = slice(start, start + ROWS)
-        found = near(rows, block)
+        i, j = np.nonzero(left[start : start + ROWS] @ right <= share + 1e-5)
+        i += start
         if same:
-            found &= np.arange(start, min(start + ROWS, len(a)))[:, None] < np.arange(len(b))[None, :]
-        i, j = np.nonzero(found)
-        if not i.size:
-            continue
-        if i.size > found.size // 50:
-            found &= a[rows] @ b.T >= least
+            i, j = i[i < j], j[i < j]
+        for part in range(0, i.size, PAIRS):
+            x, y = i[part : part + PAIRS], j[part : part + PAIRS]
+            ok = (a[x] * b[y]).sum(axis=1) >= least
+            x, y = x[ok], y[ok]
+            ok = gap(x, y, block) <= share
             for k in range(block):
-                found &= ~near(rows, k)
-            i, j = np.nonzero(found)
-        else:
-            ok = (a[rows][i] * b[j]).sum(axis=1) >= least
-            i, j = i[ok], j[ok]
-            for k in range(block):
-                space, share = spaces[k]
-                x, y = ra[rows, space], rb[:, space]
-                # the same sum as in near(), so that both ways agree on every pair
-                gap = (x * x).sum(axis=1)[i] + (y * y).sum(axis=1)[j] - 2 * (x[i] * y[j]).sum(axis=1)
-                i, j = i[gap > share], j[gap > share]
-        yield i + start, j
+                ok &= gap(x, y, k) > spaces[k][1]
+            yield x[ok], y[ok]
 
 
 def linked(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, blocks: int = BLOCKS, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
