@@ -11,8 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.functions.relation import Rel
 from tidegauge.functions.steps import Steps
+from tidegauge.operators import backtest as bt
 from tidegauge.operators import features as ft
+from tidegauge.operators import folds as fo
+from tidegauge.operators import labels as lb
+from tidegauge.operators import metrics as mt
+from tidegauge.operators import rules
+from tidegauge.plans.config import FeatureSpec
 from tidegauge.sources import bars as br
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +106,201 @@ for _how in ft.TRANSFORMS[1:]:
     by_steps(f"tf_{_how}", lambda s, h=_how: {h: ft.transformed(s, ft.columns(s, "sma_ratio" if h != "log" else "natr", {"window": 10})[""], h, 40)})
 
 
+# data quality
+
+
+def _dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades by the day as if each were a bar that came again later: several bars a day, some without a close."""
+    o = _table(spark, sf_dir, "orders")
+    px = 100 + F.col("o_totalprice") / 1e5
+    return o.select(F.col("o_orderstatus").alias("instrument"), F.col("o_orderdate").alias("ts"), *(px.alias(c) for c in ("open", "high", "low")), F.when(F.col("o_orderkey") % 7 != 0, px).alias("close"), F.lit(1.0).alias("volume"), F.col("o_orderkey").alias("seq"))
+
+
+@query(
+    "clean_bars",
+    f"SELECT {BAR_COLUMNS} FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) - 1 AS pos FROM (SELECT o_orderstatus AS instrument, o_orderdate AS ts, p AS open, p AS high, p AS low, CASE WHEN o_orderkey % 7 <> 0 THEN p END AS close, 1.0::DOUBLE AS volume FROM (SELECT *, 100 + o_totalprice / 1e5 AS p FROM orders) QUALIFY row_number() OVER (PARTITION BY o_orderstatus, o_orderdate ORDER BY o_orderkey DESC) = 1) WHERE close IS NOT NULL)",
+)
+def clean_bars(spark, sf_dir):
+    return br.cleaned(_dirty(spark, sf_dir), "seq").select(*BAR_COLUMNS.split(", "))
+
+
+@query(
+    "integrity_counts",
+    f"""SELECT instrument, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts, count(*) - count(DISTINCT ts) AS duplicates, count(*) FILTER (WHERE volume <= 0) AS no_volume,
+      count(*) FILTER (WHERE open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL) AS with_missing, 0::BIGINT AS out_of_order,
+      count(*) FILTER (WHERE open <= 0) + count(*) FILTER (WHERE high <= 0) + count(*) FILTER (WHERE low <= 0) + count(*) FILTER (WHERE close <= 0) AS prices_not_positive,
+      count(*) FILTER (WHERE high < low OR close > high OR close < low OR open > high OR open < low) AS ohlc_violations FROM {STATUS} GROUP BY instrument""",
+)
+def integrity_counts(spark, sf_dir):
+    return br.integrity(bars_status(spark, sf_dir))
+
+
+_Z = f"(SELECT *, (ret - avg(ret) OVER w) / stddev_samp(ret) OVER w AS z FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY instrument ORDER BY pos)) AS ret FROM {STATUS}) WINDOW w AS (PARTITION BY instrument))"
+
+
+@query("price_gaps", f"SELECT instrument, ts, round(ret, 6) + 0.0 AS ret, round(z, 6) + 0.0 AS z FROM {_Z} WHERE abs(z) > 2.0")
+def price_gaps(spark, sf_dir):
+    return br.price_gaps(bars_status(spark, sf_dir), 2.0).select("instrument", "ts", (F.round("ret", 6) + 0.0).alias("ret"), (F.round("z", 6) + 0.0).alias("z"))
+
+
+@query("bad_ticks", f"SELECT instrument, ts, round(ret, 6) + 0.0 AS ret, round(next_ret, 6) + 0.0 AS next_ret FROM (SELECT *, lead(ret) OVER (PARTITION BY instrument ORDER BY pos) AS next_ret FROM {_Z}) WHERE abs(z) > 1.0 AND sign(ret) = -sign(next_ret) AND abs(ret + next_ret) < 0.25 * abs(ret)")
+def bad_ticks(spark, sf_dir):
+    return br.bad_ticks(bars_status(spark, sf_dir), 1.0).select("instrument", "ts", (F.round("ret", 6) + 0.0).alias("ret"), (F.round("next_ret", 6) + 0.0).alias("next_ret"))
+
+
+@query(
+    "missing_days",
+    f"""WITH b AS (SELECT * FROM {STATUS}), s AS (SELECT instrument, day::DATE AS day, row_number() OVER (PARTITION BY instrument ORDER BY day) AS slot FROM (SELECT instrument, unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM b GROUP BY instrument) WHERE isodow(day) < 6),
+      a AS (SELECT *, slot - row_number() OVER (PARTITION BY instrument ORDER BY slot) AS run FROM s ANTI JOIN (SELECT instrument, ts::DATE AS day FROM b) USING (instrument, day))
+      SELECT instrument, day FROM (SELECT *, count(*) OVER (PARTITION BY instrument, run) AS n FROM a) WHERE n > 1""",
+)
+def missing_days(spark, sf_dir):
+    return br.missing_days(bars_status(spark, sf_dir), "1d", 1)
+
+
+@query("longest_gap", f"SELECT instrument, median(gap) AS median_gap_s, max(gap) / nullif(median(gap), 0) AS longest_in_medians, arg_max(ts, (gap, -epoch_us(ts))) AS gap_start FROM (SELECT *, epoch(lead(ts) OVER (PARTITION BY instrument ORDER BY ts)) - epoch(ts) AS gap FROM {STATUS}) WHERE gap IS NOT NULL GROUP BY instrument")
+def longest_gap(spark, sf_dir):
+    return br.longest_gap(bars_status(spark, sf_dir))
+
+
+# operators on relations: one definition for both engines
+
+
+def by_relation(name: str, build: Callable[[Rel], Rel], source: Query = bars_status, source_sql: str = STATUS, spark_only: bool = False) -> None:
+    query(name, None if spark_only else build(Rel(source_sql)).sql)(lambda spark, sf_dir: build(Rel(source(spark, sf_dir))).df)
+
+
+def _labels(r: Rel, scheme: str) -> Rel:
+    return {"fixed": lambda: lb.fixed_horizon(r, 5), "three": lambda: lb.fixed_horizon(r, 5, 0.01, True), "barrier": lambda: lb.triple_barrier(r, 10, 1.0, 1.0), "trend": lambda: lb.trend_scanning(r, 5, 12)}[scheme]()
+
+
+KEY = ["instrument", "pos"]
+for _name, _scheme, _more in (("label_fixed_binary", "fixed", []), ("label_fixed_3class", "three", []), ("label_triple_barrier", "barrier", ["barrier"])):
+    by_relation(_name, lambda r, c=_scheme, m=_more: _labels(r, c).rounded("ret", keep=[*KEY, "label", "t1", "t1_pos", *m]))
+by_relation("label_trend_scanning", lambda r: _labels(r, "trend").rounded("ret", "t_value", digits=4, keep=[*KEY, "label", "trend_window", "t1", "t1_pos"]))
+by_relation("class_balance", lambda r: lb.class_balance(_labels(r, "three")).rounded("share", "dominant", keep=["instrument", "label", "n", "imbalanced"]))
+by_relation("barrier_shares", lambda r: lb.barrier_shares(_labels(r, "barrier")).rounded("share", keep=["instrument", "barrier", "n"]))
+by_relation("concurrency", lambda r: lb.concurrency(_labels(r, "barrier"), 10).select(*KEY, "concurrency"))
+for _w in ("uniqueness", "return_attribution", "both"):
+    by_relation(f"weight_{_w}", lambda r, w=_w: lb.weights(_labels(r, "barrier"), 10, w).rounded("weight", keep=KEY))
+
+# features as a model sees them
+
+
+SPECS = [FeatureSpec("rsi", {"window": 14}), FeatureSpec("natr", {"window": 14}), FeatureSpec("momentum", {"window": 10}, "zscore", 60), FeatureSpec("stochastic", {"k": 14, "d": 3}, "rank", 40)]
+
+
+def _matrix(r: Rel) -> tuple[Rel, list[str]]:
+    names = [c for c in ft.matrix(Steps(), SPECS)]
+    return r.steps(lambda s: ft.matrix(s, SPECS)), names
+
+
+by_relation("feature_matrix", lambda r: (m := _matrix(r))[0].rounded(*m[1], keep=KEY))
+by_relation("warmup_trim", lambda r: fo.trimmed((m := _matrix(r))[0], m[1]).rounded(*m[1], keep=KEY))
+by_relation("leak_correlation", lambda r: fo.label_correlation(lb.fixed_horizon((m := _matrix(r))[0], 5), m[1]).rounded("correlation", keep=["instrument", "feature", "n_pairs"]))
+
+# walk-forward
+
+
+def _folds(mode: str, sf_dir: str | None = None) -> list[fo.Fold]:
+    return fo.folds(2100, mode, 750, 250, 250, 5)
+
+
+def _membership(r: Rel, mode: str, spark: SparkSession | None) -> Rel:
+    made = _folds(mode)
+    ranges = Rel(fo.fold_table(spark, made)) if r.spark else Rel(fo.fold_sql(made))
+    return fo.members(lb.fixed_horizon(r, 5), ranges)
+
+
+for _mode in ("rolling", "expanding"):
+    query(f"folds_{_mode}", fo.summary(_membership(Rel(STATUS), _mode, None)).select("instrument", "fold_id", "train_first", "train_last", "test_first", "test_last", n_train="cast(n_train as bigint)", n_test="cast(n_test as bigint)").sql)(
+        lambda spark, sf_dir, m=_mode: fo.summary(_membership(Rel(bars_status(spark, sf_dir)), m, spark)).select("instrument", "fold_id", "train_first", "train_last", "test_first", "test_last", n_train="cast(n_train as bigint)", n_test="cast(n_test as bigint)").df
+    )
+query("fold_membership_purged", _membership(Rel(STATUS), "rolling", None).select(*KEY, "fold_id", "role").sql)(lambda spark, sf_dir: _membership(Rel(bars_status(spark, sf_dir)), "rolling", spark).select(*KEY, "fold_id", "role").df)
+
+# backtests of a rule
+
+
+def ruled(r: Rel, rule: str = "score") -> Rel:
+    """p_long and p_short by a rule: the standard score of the close, squashed; or a primary rule's side."""
+
+    def build(s: Steps) -> dict[str, str]:
+        if rule == "score":
+            z = s.let(ft.z(s, "close", 20))
+            p = s.let(f"1 / (1 + exp({z}))")
+            return {"p_long": p, "p_short": f"1 - {p}"}
+        side = s.let(rules.side(s, rule))
+        return {"side": side, "p_trade": f"CASE WHEN {side} <> 0 THEN {s.num(0.6)} END"}
+
+    return r.steps(build)
+
+
+def tested(r: Rel, scheme: str = "fixed_fractional", execution: str = "next_open", slippage_atr: float = 0.0) -> Rel:
+    rows = bt.sized(bt.direction(ruled(r)), scheme)
+    return bt.pnl(bt.targets(rows), execution, slippage_atr=slippage_atr)
+
+
+for _rule in rules.RULES:
+    by_relation(f"rule_{_rule}", lambda r, u=_rule: ruled(r, u).select(*KEY, "side", "p_trade"))
+by_relation("signals_direction", lambda r: bt.direction(ruled(r)).select(*KEY, "want"))
+by_relation("signals_direction_meta", lambda r: bt.direction(ruled(r, "momentum"), meta=True, allowed="long_only").select(*KEY, "want"))
+for _s in ("vol_target", "kelly", "confidence"):
+    by_relation(f"size_{_s}", lambda r, k=_s: bt.sized(bt.direction(ruled(r)), k).rounded("size", keep=KEY))
+PNL = ["position", "gross", "cost", "net", "equity", "benchmark", "benchmark_equity"]
+by_relation("bt_pnl_next_open", lambda r: tested(r).rounded(*PNL, keep=[*KEY, "reason"]))
+by_relation("bt_pnl_close_to_close", lambda r: tested(r, execution="close_to_close").rounded(*PNL[:4], keep=KEY))
+by_relation("bt_pnl_vol_target_atr_slippage", lambda r: tested(r, "vol_target", slippage_atr=0.1).rounded(*PNL, keep=KEY))
+by_relation("trades", lambda r: bt.trades(tested(r)).rounded("avg_size", "pnl", keep=["instrument", "entry", "exit", "side", "bars_held", "reason"]))
+by_relation("position_runs", lambda r: bt.position_runs(tested(r)).select("instrument", "run", "position", "length"))
+by_relation("perf_table", lambda r: mt.performance(t := tested(r), bt.trades(t)).rounded(*mt.PERFORMANCE, digits=5, keep=["instrument"]))
+by_relation("drawdown_stats", lambda r: mt.max_drawdown(tested(r)).rounded("max_drawdown", "drawdown_duration_bars", keep=["instrument"]))
+by_relation("worst_month", lambda r: mt.worst_month(tested(r)).rounded("worst_month", keep=["instrument"]))
+by_relation("alpha_beta", lambda r: mt.alpha_beta(tested(r)).rounded("alpha_annual", "beta", keep=["instrument"]))
+by_relation("rolling_sharpe", lambda r: mt.rolling_sharpe(tested(r)).rounded("rolling_sharpe", digits=5, keep=KEY))
+by_relation("psr_zscore", lambda r: mt.psr_z(mt.moments(tested(r))).rounded("sr", "skew", "kurt", "z", digits=5, keep=["instrument", "n"]))
+
+STATE_SQL = f"""WITH RECURSIVE b AS (SELECT instrument, pos, want FROM {bt.direction(ruled(Rel(STATUS))).source}), w(instrument, pos, held, age, wait, reason) AS (
+  SELECT instrument, -1::BIGINT, 0, 0, 0, NULL::VARCHAR FROM b GROUP BY instrument
+  UNION ALL
+  SELECT b.instrument, b.pos,
+    CASE WHEN held <> 0 THEN CASE WHEN age + 1 >= 8 OR want <> held THEN 0 ELSE held END WHEN wait > 0 THEN 0 ELSE want END,
+    CASE WHEN held <> 0 AND age + 1 < 8 AND want = held THEN age + 1 ELSE 0 END,
+    CASE WHEN held <> 0 THEN CASE WHEN age + 1 >= 8 OR want <> held THEN 3 ELSE 0 END WHEN wait > 0 THEN wait - 1 ELSE 0 END,
+    CASE WHEN held <> 0 THEN CASE WHEN age + 1 >= 8 THEN 'max_holding' WHEN want = 0 THEN 'signal' WHEN want <> held THEN 'flip' END END
+  FROM w JOIN b ON b.instrument = w.instrument AND b.pos = w.pos + 1)
+SELECT instrument, pos, held, reason FROM w WHERE pos >= 0"""
+
+
+@query("bt_state_machine", STATE_SQL)
+def bt_state_machine(spark, sf_dir):
+    rows = bt.direction(ruled(Rel(bars_status(spark, sf_dir)))).df.select(*KEY, "want")
+    return bt.walked_targets(rows, 3, 8).select(*KEY, "held", "reason")
+
+
+def _series(r: Rel) -> Rel:
+    """Returns of eight strategies over the same bars: one rule with windows of 5 to 40."""
+    out = None
+    for i, n in enumerate((5, 8, 10, 15, 20, 25, 30, 40)):
+
+        def build(s: Steps, i=i, n=n) -> dict[str, str]:
+            position = s.let(f"coalesce(lag(sign({ft.z(s, 'close', n)}), 1) OVER (PARTITION BY instrument ORDER BY pos), 0)")
+            return {"series": str(i), "r": f"{position} * coalesce(close / {s.lag('close')} - 1, 0)"}
+
+        one = r.steps(build, ["instrument", "pos"]).where("pos >= 60").select("series", "pos", "r")
+        out = one if out is None else out.union(one)
+    return out
+
+
+query("pbo_combinations", mt.pbo(_series(Rel(DAILY)), 8).rounded("sr_in", "sr_out", "rank", "logit", keep=["combo", "series"]).sql)(lambda spark, sf_dir: mt.pbo(_series(Rel(bars_daily(spark, sf_dir))), 8, spark=spark).rounded("sr_in", "sr_out", "rank", "logit", keep=["combo", "series"]).df)
+query("pbo_cscv", mt.pbo_share(mt.pbo(_series(Rel(DAILY)), 8)).rounded("pbo", keep=["n_combinations"]).sql)(lambda spark, sf_dir: mt.pbo_share(mt.pbo(_series(Rel(bars_daily(spark, sf_dir))), 8, spark=spark)).rounded("pbo", keep=["n_combinations"]).df)
+
+
+@query("random_benchmark")
+def random_benchmark(spark, sf_dir):
+    return bt.random_benchmark(tested(Rel(bars_status(spark, sf_dir))).df, 6.5e-4)
+
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
@@ -108,4 +310,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["bars_daily"](spark, sf_dir)
+    return QUERIES["perf_table"](spark, sf_dir)

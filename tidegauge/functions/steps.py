@@ -93,7 +93,7 @@ class Steps:
         return f"filter({array}, {x} -> {body})" if self.spark else f"list_filter({array}, lambda {x}: {body})"
 
     def size(self, array: str) -> str:
-        return f"size({array})" if self.spark else f"len({array})"
+        return f"size({array})" if self.spark else f"coalesce(len({array}), 0)"
 
     def list_sum(self, array: str) -> str:
         return f"aggregate({array}, cast(0 as double), (s, v) -> s + v)" if self.spark else f"list_sum({array})"
