@@ -7,6 +7,7 @@ order status, and hourly bars by type of event. Values are rounded where engines
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 from tidegauge.functions.relation import Rel
 from tidegauge.functions.steps import Steps
 from tidegauge.operators import backtest as bt
+from tidegauge.operators import diagnostics as dg
 from tidegauge.operators import features as ft
 from tidegauge.operators import folds as fo
 from tidegauge.operators import labels as lb
 from tidegauge.operators import metrics as mt
+from tidegauge.operators import models as md
 from tidegauge.operators import rules
-from tidegauge.plans.config import FeatureSpec
+from tidegauge.plans import experiment as ex
+from tidegauge.plans.config import EnsembleConfig, ExperimentConfig, FeatureConfig, FeatureSpec, LabelConfig, MetaConfig, ModelConfig, WalkForwardConfig
 from tidegauge.sources import bars as br
+from tidegauge.sources import runs as rl
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,6 +306,111 @@ def random_benchmark(spark, sf_dir):
 
 
 
+# diagnostics over the rule's predictions
+
+
+def predicted(r: Rel) -> Rel:
+    rows = ruled(lb.fixed_horizon(r, 5))
+    return rows.steps(lambda s: {"y_true": "label", "y_pred": "CASE WHEN p_long > 0.5 THEN 1 WHEN p_long IS NOT NULL THEN -1 END"})
+
+
+by_relation("confusion", lambda r: dg.confusion(predicted(r)))
+by_relation("log_loss", lambda r: dg.log_loss(predicted(r), ["instrument"]).rounded("log_loss", "accuracy", "majority", keep=["instrument", "n"]))
+by_relation("regime_perf", lambda r: dg.regimes(tested(r)).rounded("strategy_ann_return", "strategy_sharpe", "bench_ann_return", "bench_sharpe", digits=5, keep=["instrument", "regime_type", "regime", "n_bars"]))
+by_relation("best_regime", lambda r: dg.best_regime(dg.regimes(tested(r))))
+by_relation("acf", lambda r: dg.autocorrelation(r).rounded("acf", "bound", keep=["instrument", "lag"]))
+by_relation("jarque_bera", lambda r: dg.jarque_bera(r).rounded("skew", "kurt", "jb", "p_value", digits=5, keep=["instrument", "n"]))
+by_relation("returns_hist", lambda r: dg.histogram(r))
+by_relation("label_drift", lambda r: dg.label_drift(lb.fixed_horizon(r, 5)).rounded("share", keep=KEY))
+by_relation("corr_matrix", lambda r: dg.correlations((m := _matrix(r))[0], m[1]).rounded("correlation", keep=["instrument", "feature_a", "feature_b"]))
+by_relation("cost_drag", lambda r: tested(r).agg(["instrument"], gross_sharpe=mt.sharpe_of("gross", 252.0), net_sharpe=mt.sharpe_of("net", 252.0), cost_annual="avg(cost) * 252").rounded("gross_sharpe", "net_sharpe", "cost_annual", digits=5, keep=["instrument"]))
+by_relation("fold_perf", lambda r: tested(r).steps(lambda s: {"fold_id": "pos div 250" if s.spark else "pos // 250"}).agg(["instrument", "fold_id"], n="count(*)", strategy_return="exp(sum(ln(1 + net))) - 1", bench_return="exp(sum(ln(1 + benchmark))) - 1", sharpe=mt.sharpe_of("net", 252.0)).rounded("strategy_return", "bench_return", "sharpe", digits=5, keep=["instrument", "fold_id", "n"]))
+
+
+def _runs(r: Rel) -> Rel:
+    """A run log of the eight strategies, the first logged again later with one bar less."""
+    per = mt.moments(_series(r), "r", "series")
+    day = "make_date(2024, 1, cast(series as int) + 1)"
+    first = per.select("series", "n", "sr", "skew", "kurt", config_hash="concat('c', cast(series as varchar(9)))", timestamp=day)
+    again = per.where("series = 0").select("series", "skew", "kurt", n="n - 1", sr="sr * 0.9", config_hash="'c0'", timestamp="make_date(2024, 2, 1)")
+    return first.union(again).steps(lambda s: {"sharpe_per_bar": "sr"})
+
+
+by_relation("trial_dedupe", lambda r: rl.trial_facts(_runs(r)).rounded("variance", digits=9, keep=["n_trials"]), bars_daily, DAILY)
+by_relation("leaderboard_z", lambda r: mt.psr_z(_runs(r), "cast(0.01 as double)").rounded("sr", "z", digits=5, keep=["config_hash", "timestamp", "n"]), bars_daily, DAILY)
+by_relation("returns_pivot", lambda r: _series(r).agg(["pos"], **{f"run_{k}": f"max(CASE WHEN series = {k} THEN r END)" for k in range(8)}).rounded(*(f"run_{k}" for k in range(8)), keep=["pos"]), bars_daily, DAILY)
+
+_CAL = predicted(Rel(STATUS))
+query("calibration", f"WITH o AS (SELECT * FROM {_CAL.source} WHERE y_true IS NOT NULL AND p_long IS NOT NULL), e AS (SELECT {', '.join(f'quantile_cont(p_long, {i / 10}) AS e{i}' for i in range(1, 10))} FROM o) SELECT {' + '.join(f'CASE WHEN p_long > e{i} THEN 1 ELSE 0 END' for i in range(1, 10))} AS bin, round(avg(p_long), 6) + 0.0 AS mean_predicted, round(avg(CASE WHEN y_true = 1 THEN 1.0::DOUBLE ELSE 0.0 END), 6) + 0.0 AS fraction_positive, count(*) AS n FROM o, e GROUP BY bin")(
+    lambda spark, sf_dir: dg.calibration(predicted(Rel(bars_status(spark, sf_dir)))).rounded("mean_predicted", "fraction_positive", keep=["bin", "n"]).df
+)
+
+
+# models: MLlib has no counterpart in SQL
+
+
+SMALL = ExperimentConfig(
+    features=FeatureConfig([FeatureSpec("momentum", {"window": 10}), FeatureSpec("price_ma_zscore", {"window": 20}), FeatureSpec("realised_vol", {"window": 20}), FeatureSpec("roc", {"window": 3})]),
+    label=LabelConfig(horizon=5),
+    walkforward=WalkForwardConfig(train_window=900, test_window=500, step=500, embargo=5),
+)
+
+
+def _walked(spark: SparkSession, sf_dir: str, **model) -> tuple[ex.Dataset, md.Walk, ExperimentConfig]:
+    config = replace(SMALL, model=ModelConfig(**model))
+    ds = ex.prepare(bars_daily(spark, sf_dir), config)
+    return ds, ex.walk(ds, config), config
+
+
+MODELS: dict[str, dict] = {
+    "wf_logreg_oos": {"family": "logreg", "params": {"l1_ratio": 0.0}},
+    "wf_random_forest_oos": {"family": "random_forest", "params": {"n_estimators": 20}, "scaler": "none"},
+    "wf_extra_trees_oos": {"family": "extra_trees", "params": {"n_estimators": 20}, "scaler": "robust"},
+    "wf_boosted_oos": {"family": "xgboost", "params": {"n_estimators": 5, "max_depth": 3}},
+    "wf_sequence_oos": {"family": "lstm", "params": {"seq_len": 5, "hidden": 8, "epochs": 20}},
+    "vote_soft": {"ensemble": EnsembleConfig(True, "soft", ["logreg", "random_forest"], {"random_forest": {"n_estimators": 10}})},
+    "stacking": {"ensemble": EnsembleConfig(True, "stacking", ["logreg", "random_forest"], {"random_forest": {"n_estimators": 10}}, 3)},
+    "meta_label": {"family": "logreg", "meta": MetaConfig(True, "momentum", {"window": 20})},
+}
+for _name, _model in MODELS.items():
+    query(_name)(lambda spark, sf_dir, m=_model: _walked(spark, sf_dir, **m)[1].oos)
+
+
+@query("evaluation")
+def evaluation(spark, sf_dir):
+    ds, w, config = _walked(spark, sf_dir, family="logreg")
+    ev = ex.evaluate(ds, w, config, [0.01, 0.03, -0.02], n_random=200)
+    return ev.folds
+
+
+@query("perm_importance")
+def perm_importance(spark, sf_dir):
+    ds, w, _ = _walked(spark, sf_dir, family="logreg")
+    return md.permutation_importance(w, ds.rows, ds.names)
+
+
+@query("feat_hmm_state")
+def feat_hmm_state(spark, sf_dir):
+    return ft.feature(bars_daily(spark, sf_dir), "hmm_state", refit=400, min_train=500, n_iter=10)
+
+
+@query("mutual_information")
+def mutual_information(spark, sf_dir):
+    ds = ex.prepare(bars_daily(spark, sf_dir), SMALL)
+    return dg.mutual_information(ds.rows, ds.names)
+
+
+@query("kpss")
+def kpss(spark, sf_dir):
+    return dg.kpss(bars_status(spark, sf_dir))
+
+
+@query("adf")
+def adf(spark, sf_dir):
+    return spark.createDataFrame([tuple(r.values()) for r in dg.adf(bars_status(spark, sf_dir))], "instrument string, statistic double, p_value double")
+
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
