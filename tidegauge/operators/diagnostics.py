@@ -192,7 +192,7 @@ def correlations(rows: Rel, names: list[str]) -> Rel:
     out = None
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
-            one = rows.where(f"{a} IS NOT NULL AND {b} IS NOT NULL").agg(["instrument"], correlation=f"corr({a}, {b})").steps(lambda s, a=a, b=b: {"feature_a": f"'{a}'", "feature_b": f"'{b}'"})
+            one = rows.where(f"{a} IS NOT NULL AND {b} IS NOT NULL").agg(["instrument"], correlation=f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)").steps(lambda s, a=a, b=b: {"feature_a": f"'{a}'", "feature_b": f"'{b}'"})
             out = one if out is None else out.union(one)
     return out
 

@@ -88,7 +88,7 @@ def label_correlation(rows: Rel, names: list[str], target: str = "ret") -> Rel:
     """How many pairs each feature has with the label's return, and their correlation."""
     out = None
     for name in names:
-        one = rows.where(f"{name} IS NOT NULL AND {target} IS NOT NULL").agg(["instrument"], n_pairs="count(*)", correlation=f"corr({name}, {target})").steps(lambda s, x=name: {"feature": f"'{x}'"})
+        one = rows.where(f"{name} IS NOT NULL AND {target} IS NOT NULL").agg(["instrument"], n_pairs="count(*)", correlation=f"covar_pop({name}, {target}) / nullif(stddev_pop({name}) * stddev_pop({target}), 0)").steps(lambda s, x=name: {"feature": f"'{x}'"})
         out = one if out is None else out.union(one)
     return out
 
