@@ -10,11 +10,11 @@ a coordinate with the probability of their weighted Jaccard similarity. A docume
 has hit looks at twice the ranks.
 
 Joining. BANDS bands of ROWS coordinates each are hashed to buckets. Documents with equal weighted sets are one from
-here on. Of every bucket the member with the most company is compared with the others, which a shuffle deals in
-parts of PART; pairs are verified by their whole shingle sets. Links make components; a bucket whose members are
-all in one is done. In the others those that were compared with all go, and the next few are compared with the
-members of other components, each time four times as many, until no bucket is left. No link between members of a
-bucket is lost, and no bucket's pairs are ever listed in whole unless none of them link.
+here on. In a bucket of FEW members at most each is compared with each. In a larger one the member with the most
+company is compared with the others, which a shuffle deals in parts of PART. Pairs are verified by their whole
+shingle sets, and links make components. In a larger bucket that then has several components, the members outside of
+its largest are compared with all, part by part; a task finds common shingles with an index and returns one link to
+each component. So no link between members of a bucket is lost, and no task or table holds a large bucket's pairs.
 
 Documents link when the weighted or the plain Jaccard similarity of their shingles is LEAST or more. A pair at 0.8
 shares a bucket with probability 0.9998.
@@ -42,8 +42,12 @@ from .repeats import Piece, mixed
 WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 28, 6
+#: Members of a bucket that are all compared with each other.
+FEW = 8
 #: Members of one bucket that a task compares with a pivot.
 PART = 200
+#: Members outside of their bucket's largest component that a task compares with such a part.
+STRAYS = 100
 #: Bytes of text handled at a time.
 CHUNK = 1 << 19
 
@@ -217,42 +221,77 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     marked = written(signed(rows, words, bands, per_band), "signed")
     same = ["whole", "whole2", "size"]
     kinds = written(marked.groupBy(*same).agg(F.min("doc").alias("least"), F.first("buckets").alias("buckets")).withColumnRenamed("least", "doc"), "kinds")
-    entries = kinds.select("doc", "size", F.explode("buckets").alias("bucket"))
+    entries = kinds.select("doc", F.posexplode("buckets").alias("band", "bucket"))
     crowds = written(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
     members = written(entries.join(crowds, "bucket"), "members")
     company = written(members.groupBy("doc").agg(F.sum("n").alias("company")), "company")
-    members = written(members.join(company, "doc").select("bucket", "doc", "size", "company"), "members")
+    members = written(members.join(company, "doc").select("bucket", "band", "doc", "company", "n"), "members")
     texts = written(company.select("doc").join(sketch.sifted(rows, company, "doc").dropDuplicates(["doc"]), "doc"), "texts")
-    links, labels, pivots = None, None, 1
-    while not members.isEmpty():
-        seat = F.struct("company", (-F.col("doc")).alias("minus"), "size", *(["component"] if labels is not None else []))
-        tops = written(_top(members.withColumn("seat", seat), pivots), "tops")
-        mate = members.join(tops, "bucket").withColumn("p", F.explode("tops")).where("doc <> -p.minus")
-        if labels is not None:
-            mate = mate.where("component <> p.component")
-        pairs = written(mate.select("doc", (-F.col("p.minus")).alias("pivot")).distinct(), "pairs")
-        found = written(verified(pairs, texts, words, least), "links")
-        links = found if links is None else links.unionAll(found)
-        labels = components(links)
-        seen = written(tops.select("bucket", F.explode("tops").alias("p")).select("bucket", (-F.col("p.minus")).alias("doc")), "seen")
-        rest = members.select("bucket", "doc", "size", "company").join(seen, ["bucket", "doc"], "left_anti")
-        rest = written(rest.join(labels, F.col("doc") == F.col("node"), "left").select("bucket", "doc", "size", "company", F.coalesce("component", "doc").alias("component")), "rest")
-        several = written(rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket"), "several")
-        members = written(rest.join(several, "bucket"), "members")
-        pivots *= 4
-    if labels is not None:
-        kinds = kinds.join(labels, F.col("doc") == F.col("node"), "left").select(*same, F.coalesce("component", "doc").alias("class_id"))
-    else:
-        kinds = kinds.select(*same, F.col("doc").alias("class_id"))
+    mine = members.withColumn("component", F.col("doc"))
+    pairs = written(_small(mine.where(F.col("n") <= FEW)).unionAll(_pivots(mine.where(F.col("n") > FEW))).select("doc", F.col("with.doc").alias("pivot")).where("doc <> pivot").distinct(), "pairs")
+    links = written(verified(pairs, texts, words, least), "links")
+    labels = components(links)
+    large = members.where(F.col("n") > FEW).select("bucket", "doc").join(labels, F.col("doc") == F.col("node"), "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+    apart = written(_blocks(written(large, "large"), texts, words, least), "links")
+    if not apart.isEmpty():
+        labels = components(links.unionAll(apart))
+    kinds = kinds.join(labels, F.col("doc") == F.col("node"), "left").select(*same, F.coalesce("component", "doc").alias("class_id"))
     return marked.select("doc", *same).join(written(kinds, "classes"), same).select("doc", "class_id")
 
 
-def _top(members: DataFrame, n: int) -> DataFrame:
-    """bucket and the n greatest seats of its members, found by grouped maxima that combine before the shuffle."""
-    if n == 1:
-        return members.groupBy("bucket").agg(F.array(F.max("seat")).alias("tops"))
-    split = members.withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(n)))
-    return split.groupBy("bucket", "salt").agg(F.max("seat").alias("seat")).groupBy("bucket").agg(F.collect_list("seat").alias("tops"))
+def _small(members: DataFrame) -> DataFrame:
+    """Every member of a bucket of FEW at most with each smaller one."""
+    mates = members.groupBy("bucket").agg(F.collect_list(F.struct("doc", "component")).alias("mates"))
+    return members.join(mates, "bucket").select("doc", "component", F.explode("mates").alias("with")).where("with.doc < doc")
+
+
+def _pivots(members: DataFrame) -> DataFrame:
+    """Every member of a bucket with the one that has the most company."""
+    top = members.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc")).alias("minus"), "component")).alias("top"))
+    return members.join(top, "bucket").select("doc", "component", F.struct((-F.col("top.minus")).alias("doc"), F.col("top.component").alias("component")).alias("with"))
+
+
+def _blocks(members: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (u, v) of those that are not in the largest component of their bucket to members of other components.
+
+    Both sides are dealt in parts, and a task takes a part of each: STRAYS of the former and PART of all. It counts
+    common shingles with an index from shingles to members, and returns one link to each component, not every pair."""
+    counts = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    facts = counts.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "component")).alias("top")).where("top.k < n")
+    facts = written(facts.select("bucket", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.k")) / STRAYS).cast("int").alias("is"), F.ceil(F.col("n") / PART).cast("int").alias("js")), "facts")
+    rows = members.join(facts, "bucket")
+    turn = F.xxhash64("doc", "bucket")
+    strays = rows.where("component <> main").select("bucket", F.pmod(turn, F.col("is")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("js") - 1)).alias("j"), F.lit(True).alias("stray"), "doc", "component")
+    others = rows.select("bucket", F.explode(F.sequence(F.lit(0), F.col("is") - 1)).alias("i"), F.pmod(turn, F.col("js")).cast("int").alias("j"), F.lit(False).alias("stray"), "doc", "component")
+
+    def meet(group: pa.Table) -> pa.Table:
+        doc, part, stray = (group.column(c).to_pylist() for c in ("doc", "component", "stray"))
+        sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for which, of, shingle, weight in shingled(group.column("text").to_pylist(), words):
+            edges = np.searchsorted(of, np.arange(len(which) + 1))
+            for k, row in enumerate(which):
+                sets[row] = shingle[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]]
+        those = [r for r in sets if not stray[r]]
+        out: list[tuple[int, int]] = []
+        if those:
+            every = np.concatenate([sets[r][0] for r in those])
+            owner = np.repeat(np.arange(len(those)), [sets[r][0].size for r in those])
+            heavy = np.concatenate([sets[r][1] for r in those])
+            order = np.argsort(every, kind="stable")
+            every, owner, heavy = every[order], owner[order], heavy[order]
+            size, mass = np.array([sets[r][0].size for r in those]), np.array([sets[r][1].sum() for r in those])
+            for r in (r for r in sets if stray[r]):
+                x, w = sets[r]
+                a, b = np.searchsorted(every, x), np.searchsorted(every, x, side="right")
+                n = b - a
+                at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                both = np.bincount(owner[at], minlength=len(those))
+                low = np.bincount(owner[at], np.minimum(heavy[at], np.repeat(w, n)), len(those))
+                near = np.maximum(both / (size + x.size - both), low / (mass + w.sum() - low)) >= least
+                out += {part[those[k]]: (doc[r], doc[those[k]]) for k in np.flatnonzero(near) if part[those[k]] != part[r]}.values()
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    return strays.unionAll(others).join(texts, "doc").groupBy("bucket", "i", "j").applyInArrow(meet, "u long, v long")
 
 
 def classes(docs: DataFrame, **how) -> DataFrame:
