@@ -3,8 +3,8 @@
 A tree is a sorted array of long hash strings, one bit for each of BITS random hyperplanes through the centre of
 the data, so that vectors with a common prefix are neighbours in the array and a prefix is found by bisection. For
 a query every tree descends to its longest matching prefix; then all trees ascend together, a bit at a time, until
-their prefixes hold CANDIDATES times as many entries as there are rows in the block. All rows below are candidates,
-and their distances are computed exactly.
+their prefixes hold CANDIDATES times as many entries as there are rows in the block, and k + 1 rows for certain (one
+row has an entry in each tree). All rows below are candidates, and their distances are computed exactly.
 
 Rows are dealt by hash into blocks of about BLOCK, each with its own forest, and queries into blocks of QUERIES; a
 task takes one of each, and returns the nearest few of every query, which are merged by query. Every row is
@@ -120,7 +120,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
             forest = Forest(own, centres.get(dim, np.zeros(dim)))
             for start in range(0, int(asks.sum()), 256):
                 q, q_ids = x[asks][start : start + 256], ids[asks][start : start + 256]
-                allowed = forest.candidates(q, max(candidates * len(own), k + 1))
+                allowed = forest.candidates(q, max(candidates * len(own), TREES * (k + 1)))
                 for i, (near, far) in zip(q_ids, nearest(q, q_ids, own, own_ids, allowed, k), strict=True):
                     out.append((np.full(near.size, i), near, far))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
