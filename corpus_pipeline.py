@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import bpe, langid, lines, minhash, mixing
-from tidegauge.llm.base import table, written
+from tidegauge.llm.base import forget, table, written
+
+
+def _fresh(stage):
+    """The stage, which first deletes the working tables of the one before: that one's result has been written."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        forget(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 #: Each takes (spark, docs, sf_dir) and returns the columns of documents, the last what training reads.
 STAGES = [
-    ("language_id", langid.stage),
-    ("line_dedup", lines.stage),
-    ("minhash_near_dedup", minhash.stage),
-    ("mixing", mixing.stage),
-    ("byte_bpe", bpe.stage),
+    ("language_id", _fresh(langid.stage)),
+    ("line_dedup", _fresh(lines.stage)),
+    ("minhash_near_dedup", _fresh(minhash.stage)),
+    ("mixing", _fresh(mixing.stage)),
+    ("byte_bpe", _fresh(bpe.stage)),
 ]
 
 #: Stages of this pipeline are models, signatures and merges; SQL cannot express them.
@@ -23,5 +34,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name, lasting=True)
     return docs

@@ -30,17 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+#: Folders that written() has made and forget() may delete.
+_tables: list[str] = []
+
+
+def written(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back.
 
-    This cuts the lineage: a lost executor costs the reading of a file, not the steps before it.
+    This cuts the lineage: a lost executor costs the reading of a file, not the steps before it. forget() deletes
+    the folder unless it is to last.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not lasting:
+        _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Deletes what written() has made so far; for when all that reads it has been written itself."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def doc_number(column: str = "doc_id") -> Column:
     """An orderable id in which a null sorts before every other."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))

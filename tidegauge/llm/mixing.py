@@ -94,16 +94,21 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document as often as it is taken, the last time perhaps in part; n_chars follows the text."""
+    """The mix: a document as often as it is taken, the last time perhaps in part; n_chars follows the text.
+
+    The queues hold no texts; a text meets what is taken of it in one shuffle by a hash of its row. Equal rows are
+    told apart by their number."""
     names = docs.columns
-    whole = docs.select(*(F.col(c).alias(f"in_{c}") for c in names))
-    mixed = mix(whole, key="in_doc_id", text="in_text", source="in_source", carry=tuple(f"in_{c}" for c in names))
-    out = copies(mixed, "in_text").withColumn("in_n_chars", F.length("in_text").cast(docs.schema["n_chars"].dataType))
+    keyed = docs.withColumn("__row", F.xxhash64(*names))
+    facts = ["size", "source_size", "weight", "before", "taken", "turn"]
+    mixed = mix(keyed, carry=("__row",)).where("taken > 0").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct(*facts))).alias("__each"))
+    number = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    met = keyed.join(written(mixed, "taken"), "__row").withColumn("__mine", F.get("__each", number - 1)).where("__mine is not null")
+    inner = met.select(*(F.col(c).alias(f"in_{c}") for c in names), "__mine.*").withColumn("source", F.col("in_source"))
+    out = copies(inner, "in_text").withColumn("in_n_chars", F.length("in_text").cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"in_{c}").alias(c) for c in names))
 
 
-
-
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS turn FROM documents
