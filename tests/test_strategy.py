@@ -11,6 +11,7 @@ from tidegauge.functions.relation import Rel
 from tidegauge.functions.steps import Steps
 from tidegauge.operators import backtest as bt
 from tidegauge.operators import diagnostics as dg
+from tidegauge.operators import features as ft
 from tidegauge.operators import folds as fo
 from tidegauge.operators import labels as lb
 from tidegauge.operators import metrics as mt
@@ -93,6 +94,19 @@ def test_leaks_are_found(spark):
         fo.check_alignment(rows.df, rows.df.where("pos > 3"))
 
 
+def test_probe_finds_what_looks_ahead(spark):
+    bars = br.synthetic(spark, 120, seed=6)
+    causal = lambda b: ft.feature(b, "rsi").select("pos", "rsi")
+    ahead = lambda b: lb.fixed_horizon(Rel(b), 3).df.select("pos", "ret")
+    assert fo.looks_ahead(bars, causal, 80) == 0 and fo.looks_ahead(bars, ahead, 80) == 3
+
+
+def test_pairs_and_noise(spark):
+    rows = spark.range(50).selectExpr("'A' instrument", "cast(id as double) a", "cast(id * 2 as double) b", "cast(id % 3 as double) c")
+    assert [(r["feature_a"], r["feature_b"]) for r in dg.alike(Rel(rows), ["a", "b", "c"]).df.collect()] == [("a", "b")]
+    assert dg.noise(spark.createDataFrame([("x", -0.1), ("y", 0.2)], "feature string, importance double")).count() == 1
+
+
 def test_profit_with_costs(spark):
     r = Rel(bars_of(spark, [100.5, 101.5, 102.5, 103.5], [100, 101, 102, 103])).steps(lambda s: {"held": "CASE WHEN pos < 2 THEN 1 ELSE 0 END", "size": s.num(1.0), "reason": "cast(null as varchar(9))"})
     out = bt.pnl(r, commission_bps=10, spread_bps=0, slippage_bps=0)

@@ -197,6 +197,16 @@ def correlations(rows: Rel, names: list[str]) -> Rel:
     return out
 
 
+def alike(rows: Rel, names: list[str], limit: float = 0.9) -> Rel:
+    """Pairs of features whose correlation is over the limit, either way."""
+    return correlations(rows, names).where(f"abs(correlation) > {limit}")
+
+
+def noise(importance: DataFrame) -> DataFrame:
+    """Features that a model does better without."""
+    return importance.where("importance < 0").select("feature", "importance")
+
+
 def variance_inflation(rows: DataFrame, names: list[str]) -> dict[str, float]:
     """How much each feature's variance is explained by the others: the diagonal of the inverse correlation matrix."""
     vectors = VectorAssembler(inputCols=names, outputCol="v").transform(rows.dropna(subset=names).select(*names))

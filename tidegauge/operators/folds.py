@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidegauge.functions.relation import Rel
 
@@ -99,6 +101,14 @@ def check_labels_in_features(rows: Rel, names: list[str], limit: float = 0.98, l
         raise LeakageError(f"features that know the label: {sorted({r['feature'] for r in bad})}")
 
 
+def looks_ahead(bars: DataFrame, build: Callable[[DataFrame], DataFrame], at: int, factor: float = 8.0) -> int:
+    """How many rows before a bar change when prices and volumes from that bar on are multiplied; 0 for what is causal."""
+    names = [c for c in ("open", "high", "low", "close", "volume") if c in bars.columns]
+    spiked = bars.withColumns({c: F.when(F.col("pos") >= at, F.col(c) * factor).otherwise(F.col(c)) for c in names})
+    plain, other = (build(b).where(F.col("pos") < at) for b in (bars, spiked))
+    return plain.exceptAll(other).count()
+
+
 def trimmed(rows: Rel, names: list[str]) -> Rel:
     """Rows from the first on that has all features; later gaps stay."""
     full = " AND ".join(f"{n} IS NOT NULL" for n in names)
