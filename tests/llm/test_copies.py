@@ -120,7 +120,8 @@ def test_repeats_are_those_of_brute_force(spark, how):
         texts.append(t)
     texts += [None, "", "a" * 399, "a" * 400, "b" * 1500, "c" * 401, texts[3], texts[3]]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert [told_repeats(docs, **how)[i] for i in range(len(texts))] == plain_repeats(texts, how.get("length", 400))
+    told = told_repeats(docs, **how)
+    assert [told[i] for i in range(len(texts))] == plain_repeats(texts, how.get("length", 400))
 
 
 def test_long_texts_are_read_in_pieces(monkeypatch):
@@ -142,7 +143,7 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
 
 
 def test_repeats_of_repeated_rows_and_nothing(spark):
-    t = "".join(random.Random(9).choice("abcdef ") for _ in range(700))
+    t = "".join(random.Random(9).choices("abcdef ", k=700))
     docs = spark.createDataFrame([(1, t), (1, t), (2, "short")], "doc_id long, text string")
     told = told_repeats(docs)
     assert told[1][1] == 700 and told[2][1] == 0
@@ -245,7 +246,7 @@ def test_few_and_no_neighbours(spark):
 
 
 def test_digest_of_op10_is_that_of_the_kept_bytes(spark, tmp_path):
-    t = "".join(random.Random(9).choice("abcdef ") for _ in range(700))
+    t = "".join(random.Random(9).choices("abcdef ", k=700))
     spark.createDataFrame([(1, t), (2, "x" + t[:500]), (3, "own")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     told = {r["doc_id"]: r for r in repeats.op10_repeated_passages(spark, str(tmp_path)).collect()}
     assert told[1]["n_removed"] == 500 and told[1]["kept_sha256"] == hashlib.sha256(t[500:].encode()).hexdigest() and told[2]["n_removed"] == 500
