@@ -181,6 +181,12 @@ def test_main_text_cases(page, text):
     assert html.main_text(page) == text
 
 
+def test_a_named_article_keeps_its_short_lines():
+    long = "A paragraph of the article, which is long enough for a surge of its own, and then has some more to say."
+    page = f"<article><section><p>{long}</p></section><section><p>Short.</p></section><div class='ad'><p>Buy</p></div><p>End.</p><table><tr><td>a</td><td>1</td></tr><tr><td>b</td><td>2</td></tr></table></article>"
+    assert html.main_text(page) == f"{long} Short. End. a 1 b 2"
+
+
 def test_pages_without_an_article_keep_what_lies_between_surge_and_dive():
     body = "".join(f"<p>Paragraph {i} of the text, which is long enough for a surge of its own, and then some.</p>" for i in range(4))
     page = f"<div><ul>{'<li><a href=x>Link</a></li>' * 6}</ul></div><div>{body}</div><div><a href=y>More</a></div><div></div><div></div><p>end</p>"

@@ -2,9 +2,10 @@
 
 Markup is stripped into lines, one for each block of the page; inline tags split no line. Menus, headers,
 footers, sidebars, notices, adverts, forms, comments and everything hidden leave empty lines, and so does what
-stands outside of the article where the page names one. For every line the text lengths of a window of WINDOW
-lines from it on are summed. Text surges where such a sum exceeds SURGE and dives where it falls to 0; what
-lies between is kept. If nothing surges, the run of lines with the most text is kept.
+stands outside of the article where the page names one; all other lines of a named article are kept. On a page
+that names none the text lengths of a window of WINDOW lines from each line on are summed. Text surges where such
+a sum exceeds SURGE and dives where it falls to 0; what lies between is kept. If nothing surges, the run of lines
+with the most text is kept.
 
 Cases: a null or empty page, or one of boilerplate only, has no text. Unclosed tags end with what holds them;
 a page may break off anywhere. Whole pages are read, of any length. Repeated rows are extracted each by itself,
@@ -160,11 +161,13 @@ def kept(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[t
 def main_text(page: str | None) -> str:
     """The article's text: its blocks in page order, joined by one space."""
     lines = Lines(page or "").lines
-    named = any(text and inside and wanted for text, _, inside, wanted in lines)
+    named = [text for text, _, inside, wanted in lines if text and inside and wanted]
+    if named:
+        return " ".join(named)
     lengths = []
-    for text, linked, inside, wanted in lines:
-        menu = not named and linked > LINKS * len(text.replace(" ", ""))
-        lengths.append(len(text) if wanted and (inside or not named) and not menu else 0)
+    for text, linked, _, wanted in lines:
+        menu = linked > LINKS * len(text.replace(" ", ""))
+        lengths.append(len(text) if wanted and not menu else 0)
     return " ".join(lines[i][0] for start, stop in kept(lengths) for i in range(start, stop) if lengths[i])
 
 
