@@ -1,8 +1,8 @@
 """Secrets in texts: broad patterns find candidates, and a random forest removes the false ones.
 
 Everything is DataFrame and SQL functions and MLlib, which run in the JVM. A text is split at white space; words
-that look like a key, or that something like `password=` assigns, are candidates with their neighbours. A
-candidate's features are its length, its character classes and how often they change, how usual its pairs of
+that look like a key, or that something like `password=` assigns, are candidates with their neighbours, and so is
+every further match in a word. A candidate's features are its length, its character classes and how often they change, how usual its pairs of
 letters are, how much of it is dictionary words, whether it stands in a path or an address, and what the words
 around it say. The forest learns from labelled findings: real shapes of keys with what surrounds them, and what
 is mistaken for them (hashes of commits and files, identifiers, addresses, numbers, placeholders, long words).
@@ -30,30 +30,53 @@ PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng
 PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|glpat-[A-Za-z0-9_-]{20}"
 
 RUN = r"[A-Za-z0-9+/_\-]"
+#: What stands for a match that has been taken.
+MARK = "\x01"
 LONG = rf"(?<!{RUN})(?={RUN}{{0,256}}[0-9]){RUN}{{16,}}={{0,2}}"
-ASSIGNED = rf"(?i)(?:{KEYWORDS})[\"']?[:=]+[\"']?([^{SPACE}\"'%#$&;,]{{6,}})"
+ASSIGNED = rf"(?i)(?:{KEYWORDS})[\"']?[:=]+[\"']?([^{SPACE}\"'%#$&;,\x01]{{6,}})"
 ANY = rf"(?:{LONG})|{ASSIGNED}|(?i)(?:{KEYWORDS})[\"']?[{SPACE}]{{0,3}}[:=]"
 
 FEATURES = ["length", "digits", "uppers", "changes", "distinct", "hex", "pairs", "vowels", "words", "prefixed", "path", "address", "assigned", "keyword", "other", "dashes"]
 FINDINGS = 6000
 
 
+def is_spaced(before2: Column, before: Column, own: Column) -> Column:
+    """Whether the words before say that this one is the value of a keyword."""
+    return (F.length(own) >= 8) & before.rlike(r"^[:=]+$|[:=]$") & F.concat_ws(" ", before2, before).rlike(rf"(?i)(?:{KEYWORDS})[\"']?[ :=]*$")
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, word (its number in the text), value, and the words around: before3, before2, before, around, after."""
+    """doc_id, word (its number in the text), value, and the words around: before3, before2, before, own, after. A word has a row for each match.
+
+    around: of its own word what tells of this match, without the keys of others in it."""
     words = F.split(F.col("text"), rf"[{SPACE}]+", -1)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").rlike(ANY))
 
     def is_candidate(i: Column) -> Column:
         word = lambda k: F.coalesce(F.get("words", i - k), F.lit(""))
-        spaced = (F.length(word(0)) >= 8) & word(1).rlike(r"^[:=]+$|[:=]$") & F.concat_ws(" ", word(2), word(1)).rlike(rf"(?i)(?:{KEYWORDS})[\"']?[ :=]*$")
-        return (F.length(word(0)) >= 8) & (word(0).rlike(LONG) | word(0).rlike(ASSIGNED) | spaced)
+        return (F.length(word(0)) >= 8) & (word(0).rlike(LONG) | word(0).rlike(ASSIGNED) | is_spaced(word(2), word(1), word(0)))
 
     rows = rows.withColumn("words", words)
     rows = rows.select("doc_id", "words", F.explode(F.filter(F.sequence(F.lit(0), F.size("words") - 1), is_candidate)).alias("word"))
     at = lambda k: F.coalesce(F.get("words", F.col("word") + k), F.lit(""))
-    own = at(0)
-    value = F.coalesce(*(F.nullif(x, F.lit("")) for x in (F.regexp_extract(own, PREFIXED, 0), F.regexp_extract(own, ASSIGNED, 1), F.regexp_extract(own, LONG, 0), F.regexp_extract(own, "[^\"']{6,}", 0), own)))
-    return rows.select("doc_id", F.col("word").cast("long").alias("word"), value.alias("value"), at(-3).alias("before3"), at(-2).alias("before2"), at(-1).alias("before"), own.alias("around"), at(1).alias("after"))
+    rows = rows.select("doc_id", F.col("word").cast("long").alias("word"), at(-3).alias("before3"), at(-2).alias("before2"), at(-1).alias("before"), at(0).alias("own"), at(1).alias("after"))
+    # a pattern's matches leave a mark, so that the next one finds no part of them again
+    every = lambda of, pattern, group=0: F.regexp_extract_all(of, F.lit(pattern), F.lit(group))
+    rows = rows.withColumn("spaced", is_spaced(F.col("before2"), F.col("before"), F.col("own")))
+    rows = rows.withColumn("left", F.when(F.col("spaced"), F.concat(F.lit("token="), "own")).otherwise(F.col("own")))
+    rows = rows.withColumn("known", every(F.col("left"), PREFIXED)).withColumn("left", F.regexp_replace("left", PREFIXED, MARK))
+    rows = rows.withColumn("values", every(F.col("left"), ASSIGNED, 1)).withColumn("wholes", every(F.col("left"), ASSIGNED)).withColumn("left", F.regexp_replace("left", ASSIGNED, MARK))
+    found = lambda value, around: F.struct(value.alias("value"), around.alias("around"))
+    all_ = F.concat(
+        F.transform("known", lambda v: found(v, F.col("own"))),
+        F.zip_with("values", "wholes", lambda v, whole: found(v, F.when(F.col("spaced"), F.col("own")).otherwise(whole))),
+        F.transform(every(F.col("left"), LONG), lambda v: found(v, F.col("left"))),
+    )
+    rows = rows.withColumn("found", all_)
+    rest = F.coalesce(F.nullif(F.regexp_extract("own", "[^\"']{6,}", 0), F.lit("")), F.col("own"))
+    rows = rows.withColumn("found", F.when((F.size("found") == 0) & F.col("spaced"), F.array(found(rest, F.col("own")))).otherwise(F.col("found")))
+    rows = rows.select("doc_id", "word", "before3", "before2", "before", "own", "after", F.explode("found").alias("found"))
+    return rows.select("doc_id", "word", "found.value", "before3", "before2", "before", "found.around", "own", "after")
 
 
 def features(found: DataFrame) -> DataFrame:
@@ -137,7 +160,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "do
     """Every candidate with `score`, the share of the forest that takes it for a secret, and its `rule`."""
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(docs, key, text)))
     rule = F.when(F.col("prefixed") == 1, "prefix").when(F.col("keyword") == 1, "assignment").otherwise("long string")
-    return model.transform(rows).select("doc_id", "word", rule.alias("rule"), "value", F.concat_ws(" ", "before3", "before2", "before", "around", "after").alias("context"), vector_to_array("probability")[1].alias("score"))
+    return model.transform(rows).select("doc_id", "word", rule.alias("rule"), "value", F.concat_ws(" ", "before3", "before2", "before", "own", "after").alias("context"), vector_to_array("probability")[1].alias("score"))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
