@@ -27,14 +27,20 @@ OTHERS = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|revision|rev|etag|u
 PLACEHOLDERS = "example|sample|dummy|test|fake|placeholder|changeme|change|your|insert|replace|todo|xxxx|redacted|null|none|default|password|secret|token|here|value|key|user|name|admin|data|file|page|image|index|version|report|session|server|config"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|hi|ri|ro|ic|ne|ra|ch|qu|ei|ie|un|de|la"
 #: Strings whose beginning tells what they are.
-PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|glpat-[A-Za-z0-9_-]{20}"
+PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?<![A-Za-z])sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|glpat-[A-Za-z0-9_-]{20}"
 
 RUN = r"[A-Za-z0-9+/_\-]"
 #: What stands for a match that has been taken.
 MARK = "\x01"
-LONG = rf"(?<!{RUN})(?={RUN}{{0,256}}[0-9]){RUN}{{16,}}={{0,2}}"
-ASSIGNED = rf"(?i)(?:{KEYWORDS})[\"']?[:=]+[\"']?([^{SPACE}\"'%#$&;,\x01]{{6,}})"
-ANY = rf"(?:{LONG})|{ASSIGNED}|(?i)(?:{KEYWORDS})[\"']?[{SPACE}]{{0,3}}[:=]"
+LONG = rf"(?<!{RUN})(?=[A-Za-z+/_\-]*+[0-9]){RUN}{{16,}}={{0,2}}"
+#: An assigned value goes on to a quote, white space or the next assignment, whatever punctuation it holds.
+END = rf"(?=[{SPACE}\"'\x01]|\z|[&;,|][\"']?[A-Za-z_][A-Za-z0-9_.\-]*[\"']?[:=]|[^A-Za-z0-9](?:{KEYWORDS})[\"']?[:=])"
+ASSIGNED = rf"(?i)(?:{KEYWORDS})[\"']?[:=]+[\"']?([^{SPACE}\"'\x01]+?){END}"
+#: What may stand around an assigned value without being of it, and the least length of what is left.
+NOISE = r"^[(\[{<*]+|(?<![%#$&;,.*|)\]}>])[%#$&;,.*|)\]}>]++\z"
+LEAST = 6
+#: Texts that may hold a candidate; nothing that makes one is left out.
+ANY = rf"{PREFIXED}|{LONG}|(?i:{KEYWORDS})[\"']?[{SPACE}:=]*[:=]"
 
 FEATURES = ["length", "digits", "uppers", "changes", "distinct", "hex", "pairs", "vowels", "words", "prefixed", "path", "address", "assigned", "keyword", "other", "dashes"]
 FINDINGS = 6000
@@ -54,7 +60,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     def is_candidate(i: Column) -> Column:
         word = lambda k: F.coalesce(F.get("words", i - k), F.lit(""))
-        return (F.length(word(0)) >= 8) & (word(0).rlike(LONG) | word(0).rlike(ASSIGNED) | is_spaced(word(2), word(1), word(0)))
+        return (F.length(word(0)) >= 8) & (word(0).rlike(PREFIXED) | word(0).rlike(LONG) | word(0).rlike(ASSIGNED) | is_spaced(word(2), word(1), word(0)))
 
     rows = rows.withColumn("words", words)
     rows = rows.select("doc_id", "words", F.explode(F.filter(F.sequence(F.lit(0), F.size("words") - 1), is_candidate)).alias("word"))
@@ -69,10 +75,10 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     found = lambda value, around: F.struct(value.alias("value"), around.alias("around"))
     all_ = F.concat(
         F.transform("known", lambda v: found(v, F.col("own"))),
-        F.zip_with("values", "wholes", lambda v, whole: found(v, F.when(F.col("spaced"), F.col("own")).otherwise(whole))),
+        F.zip_with("values", "wholes", lambda v, whole: found(F.regexp_replace(v, NOISE, ""), F.when(F.col("spaced"), F.col("own")).otherwise(whole))),
         F.transform(every(F.col("left"), LONG), lambda v: found(v, F.col("left"))),
     )
-    rows = rows.withColumn("found", all_)
+    rows = rows.withColumn("found", F.filter(all_, lambda f: F.length(f["value"]) >= LEAST))
     rest = F.coalesce(F.nullif(F.regexp_extract("own", "[^\"']{6,}", 0), F.lit("")), F.col("own"))
     rows = rows.withColumn("found", F.when((F.size("found") == 0) & F.col("spaced"), F.array(found(rest, F.col("own")))).otherwise(F.col("found")))
     rows = rows.select("doc_id", "word", "before3", "before2", "before", "own", "after", F.explode("found").alias("found"))
