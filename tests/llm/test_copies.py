@@ -62,6 +62,17 @@ def test_classes_are_those_of_brute_force(spark):
     assert [told[i] for i in range(len(texts))] == plain_classes(texts)
 
 
+def test_plain_similarity_alone_links(spark):
+    draw = random.Random(4)
+    texts = []
+    for _ in range(4):
+        words = ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(1004)]
+        texts += [" ".join(words), " ".join(words + words[:24] * 100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    told = {r["doc_id"]: r["class_id"] for r in minhash.classes(docs).collect()}
+    assert [told[i] for i in range(8)] == plain_classes(texts) == [0, 0, 2, 2, 4, 4, 6, 6]
+
+
 def test_stage_keeps_one_of_each_class(spark):
     docs = spark.createDataFrame([(1, "some words that are here twice over", "en", "s", 9), (2, "some words that are here twice over", "en", "s", 9), (2, "some words that are here twice over", "en", "s", 9), (3, None, None, None, None), (4, "other", "en", "s", 5), (4, "other", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = minhash.stage(spark, docs, "")

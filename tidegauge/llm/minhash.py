@@ -7,7 +7,8 @@ plane is cut into cells, and a hash of shingle and cell says how many darts lie
 the darts within its shingles' weights, and looks only at ranks up to a bound that leaves it about t darts, however
 large it is. A dart's hash names a coordinate, and each coordinate keeps its earliest dart. Two documents agree in
 a coordinate with the probability of their weighted Jaccard similarity. A document with a coordinate that no dart
-has hit looks at twice the ranks.
+has hit looks at twice the ranks. With all weights 1 the same darts give the plain similarity: a document that has
+a shingle more than once is signed both ways.
 
 Joining. BANDS bands of ROWS coordinates each are hashed to buckets. Documents with equal weighted sets are one from
 here on. In a bucket of FEW members at most each is compared with each. In a larger one the member with the most
@@ -17,7 +18,7 @@ its largest are compared with all, part by part; a task finds common shingles wi
 each component. So no link between members of a bucket is lost, and no task or table holds a large bucket's pairs.
 
 Documents link when the weighted or the plain Jaccard similarity of their shingles is LEAST or more. A pair at 0.8
-shares a bucket with probability 0.9998.
+of either shares a bucket with probability 0.9998.
 
 Cases: a null or empty text, or one without a word, is a class of its own. A text of fewer words than a shingle is
 one shingle. Rows with equal text are one class; so are all rows that share a doc_id and a text. A null doc_id counts
@@ -163,7 +164,12 @@ def _throw(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, bound: np.nd
 
 
 def signed(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
-    """doc, two hashes of the whole weighted set, its size, and the buckets of its bands, for every text with a word."""
+    """doc, two hashes of the whole weighted set, its size, and the buckets of its bands, weighted and plain, for every text with a word."""
+
+    def banded(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        sig = signatures(of, shingle, weight, n, bands * per_band).reshape(n, bands, per_band)
+        power = np.cumprod(np.full(per_band, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+        return mixed((sig * power).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +177,13 @@ def signed(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
                 sub = batch.slice(start, 512)
                 for which, of, shingle, weight in shingled(sub.column("text").to_pylist(), words):
                     n = len(which)
-                    sig = signatures(of, shingle, weight, n, bands * per_band).reshape(n, bands, per_band)
-                    power = np.cumprod(np.full(per_band, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-                    bucket = mixed((sig * power).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+                    bucket = banded(of, shingle, weight, n)
+                    differs = np.bincount(of[weight > 1], minlength=n) > 0
+                    use = differs[of]
+                    plain = banded((np.cumsum(differs) - 1)[of[use]], shingle[use], np.ones(int(use.sum()), weight.dtype), int(differs.sum()))
+                    both, new = np.zeros((n, 2 * bands), np.uint64), np.zeros((n, 2 * bands), bool)
+                    both[:, :bands], new[:, :bands] = bucket, True
+                    both[differs, bands:], new[differs, bands:] = plain, plain != bucket[differs]
                     wholes = []
                     for salt in (1, 2):
                         whole = np.zeros(n, np.uint64)
@@ -181,7 +191,7 @@ def signed(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
                         wholes.append(whole.view(np.int64))
                     size = np.bincount(of, weight, n).astype(np.int64)
                     some = np.flatnonzero(size)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(some.size + 1, dtype=np.int32) * bands), pa.array(bucket[some].view(np.int64).ravel()))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new[some].sum(axis=1))).astype(np.int32)), pa.array(both[some][new[some]].view(np.int64)))
                     yield pa.RecordBatch.from_arrays([sub.column("doc").take(pa.array(np.asarray(which)[some])), pa.array(wholes[0][some]), pa.array(wholes[1][some]), pa.array(size[some]), lists], ["doc", "whole", "whole2", "size", "buckets"])
 
     return rows.mapInArrow(run, "doc long, whole long, whole2 long, size long, buckets array<long>")
