@@ -153,6 +153,16 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     assert sorted(anchors()) == sorted(whole) and len({s for _, s in whole}) == len(text) - 399
 
 
+def test_an_edit_near_the_cut_of_a_long_text_costs_no_more(spark):
+    draw = random.Random(12)
+    cut, rows = repeats.CHUNK, []
+    for k, at in enumerate((cut - 1, cut + 399, cut - 1, cut + 399)):
+        t = "".join(draw.choices("abcdefgh ", k=cut + 3000))
+        rows += [(2 * k, t), (2 * k + 1, t[:at] + "X" + t[at + 1 :])]
+    told = told_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [told[i][1:3] for i in range(len(rows))] == [(cut + 2999, 2)] * len(rows)
+
+
 def test_repeats_of_repeated_rows_and_nothing(spark):
     t = "".join(random.Random(9).choices("abcdef ", k=700))
     docs = spark.createDataFrame([(1, t), (1, t), (2, "short")], "doc_id long, text string")

@@ -269,9 +269,10 @@ class Repeats:
         hot = cut.where("hot")
         once = hot.select("row", "lo", "left", "right").mapInArrow(_windows(length), "row long, start long, one long, two long").groupBy("one", "two").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("start").alias("start")).where("n = 1")
         kind = lambda df, k, a, b: df.select("row", F.struct(F.lit(k).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b")).alias("fact"))
-        #: kind 0: the anchor at a has a context that occurs once; 1: a to b is repeated; 2: the windows of the anchor at a count one by one; 3: the window at a occurs once
+        #: kind 0: the anchor at a has a context that occurs once, its first window at b; 1: a to b is repeated; 2: the windows of that context count one by one; 3: the window at a occurs once
+        #: An anchor at the cut of a long text has a context in each piece: the first window tells them apart.
         self.facts = (
-            kind(contexts.where("n = 1"), 0, "place", "place").unionAll(kind(self.spans, 1, "start", "stop")).unionAll(kind(hot.where("lone"), 2, "place", "place")).unionAll(kind(once, 3, "start", "start"))
+            kind(contexts.where("n = 1"), 0, "place", "lo").unionAll(kind(self.spans, 1, "start", "stop")).unionAll(kind(hot.where("lone"), 2, "place", "lo")).unionAll(kind(once, 3, "start", "start"))
         ).groupBy("row").agg(F.collect_list("fact").alias("facts"))
 
     def _cutter(self):
@@ -314,10 +315,12 @@ class Repeats:
                         for r in np.unique(which):
                             own, f = which == r, facts[r]
                             p, a, b = place[own], lo[own], hi[own]
-                            again = np.ones(p.size, bool) if f is None else ~np.isin(p, f[f[:, 0] == 0, 1])
+                            name = p * length + (p - a)  # of the context: a is less than `length` before p
+                            of_kind = lambda k: f[f[:, 0] == k, 1] * length + (f[f[:, 0] == k, 1] - f[f[:, 0] == k, 2])  # noqa: E731, B023
+                            again = np.ones(p.size, bool) if f is None else ~np.isin(name, of_kind(0))
                             found[r].append(np.stack([a[again], b[again] + length], axis=1))
                             if f is not None and (f[:, 0] == 2).any():
-                                one_by_one = np.isin(p, f[f[:, 0] == 2, 1])
+                                one_by_one = np.isin(name, of_kind(2))
                                 starts = np.concatenate([np.arange(x, y + 1) for x, y in zip(a[one_by_one], b[one_by_one], strict=True)] or [np.zeros(0, np.int64)])
                                 starts = np.setdiff1d(starts, f[f[:, 0] == 3, 1])
                                 found[r].append(np.stack([starts, starts + length], axis=1))
