@@ -2,9 +2,11 @@
 
 Each source is a queue: its documents in the order of a hash of their ids, up to MAX_REPEATS times over. A
 copy's virtual finish time is the source's words up to its end divided by the source's weight, so that in the
-order of finish times every source advances in proportion to its weight. Sorted so by range over all sources,
-the queue is cut where the words taken make up the budget. A source whose queue ends leaves its share to the
-others; a document that is being read at the cut is taken in part.
+order of finish times every source advances in proportion to its weight. The queue ends where the words taken
+make up the budget. That virtual time is solved in closed form from the sizes and weights of the sources, without
+sorting: until a queue ends, a source has given its weight times it. A source whose queue ends leaves its share to
+the others; a document that is being read at the cut is taken in part. Only `copies`, the mix itself, has finish
+times and is sorted by range over all sources.
 
 No window spans a source: the sums of hash buckets of about BUCKET_DOCS documents are added up first, then the
 documents within one bucket, so that a source with a third of all rows is as even as the others. Per-source
