@@ -80,6 +80,18 @@ def test_stage_keeps_one_of_each_class(spark):
     assert minhash.classes(docs.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_rows_that_share_only_an_id_are_different_documents(spark):
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choice("abcdefgh") for _ in range(5)) for _ in range(30)) for _ in range(6)]
+    ids = [None, None, None, None, 7, 7, 7, 8, 9]
+    rows = list(zip(ids, [texts[0], texts[1], texts[1], None, texts[2], texts[3], "", texts[3], texts[4]], strict=True))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    told = [tuple(r) for r in minhash.told(docs).select("row", "class_id", "kept").distinct().collect()]
+    assert len({c for _, c, _ in told}) == 7 and sum(k for _, _, k in told) == 7
+    kept = [(r["doc_id"], r["text"]) for r in minhash.stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[0]), (None, texts[1]), (None, None), (7, texts[2]), (7, texts[3]), (7, ""), (9, texts[4])], key=str)
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 2**63, 300, dtype=np.uint64), rng.integers(0, 2**63, 60, dtype=np.uint64)

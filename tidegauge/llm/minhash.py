@@ -21,8 +21,10 @@ Documents link when the weighted or the plain Jaccard similarity of their shingl
 of either shares a bucket with probability 0.9998.
 
 Cases: a null or empty text, or one without a word, is a class of its own. A text of fewer words than a shingle is
-one shingle. Rows with equal text are one class; so are all rows that share a doc_id and a text. A null doc_id counts
-as the smallest number. Further columns of the input play no part.
+one shingle. Rows with equal text are one class; so are all rows that share a doc_id and a text. A row is its doc_id and
+text: rows that share only a doc_id are different documents. A class is named by its least doc_id, and by the row that
+stands for it where several classes have the same one. A null doc_id counts as the smallest number. Further columns of
+the input play no part.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .base import doc_number, table, written
 from .graph import components
+from .lines import row_id
 from .repeats import Piece, mixed
 
 WORDS = 5
@@ -164,7 +167,7 @@ def _throw(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, bound: np.nd
 
 
 def signed(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
-    """doc, two hashes of the whole weighted set, its size, and the buckets of its bands, weighted and plain, for every text with a word."""
+    """row, doc, two hashes of the whole weighted set, its size, and the buckets of its bands, weighted and plain, for every text with a word."""
 
     def banded(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
         sig = signatures(of, shingle, weight, n, bands * per_band).reshape(n, bands, per_band)
@@ -192,9 +195,10 @@ def signed(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
                     size = np.bincount(of, weight, n).astype(np.int64)
                     some = np.flatnonzero(size)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(new[some].sum(axis=1))).astype(np.int32)), pa.array(both[some][new[some]].view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([sub.column("doc").take(pa.array(np.asarray(which)[some])), pa.array(wholes[0][some]), pa.array(wholes[1][some]), pa.array(size[some]), lists], ["doc", "whole", "whole2", "size", "buckets"])
+                    mine = pa.array(np.asarray(which, np.int64)[some])
+                    yield pa.RecordBatch.from_arrays([sub.column("row").take(mine), sub.column("doc").take(mine), pa.array(wholes[0][some]), pa.array(wholes[1][some]), pa.array(size[some]), lists], ["row", "doc", "whole", "whole2", "size", "buckets"])
 
-    return rows.mapInArrow(run, "doc long, whole long, whole2 long, size long, buckets array<long>")
+    return rows.mapInArrow(run, "row long, doc long, whole long, whole2 long, size long, buckets array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -226,17 +230,18 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float, part:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, least: float = LEAST, bands: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """doc (see doc_number) and class_id, the least doc of its class, for every text with a word; a row for each row."""
-    rows = docs.select(doc_number(key).alias("doc"), F.col(text).alias("text"))
+    """row (see row_id), and class_doc and class_row, the least doc (see doc_number) of its class and that one's row, for every text with a word; a row for each row."""
+    rows = docs.select(row_id(text, key).alias("row"), doc_number(key).alias("doc"), F.col(text).alias("text"))
     marked = written(signed(rows, words, bands, per_band), "signed")
     same = ["whole", "whole2", "size"]
-    kinds = written(marked.groupBy(*same).agg(F.min("doc").alias("least"), F.first("buckets").alias("buckets")).withColumnRenamed("least", "doc"), "kinds")
+    kinds = marked.groupBy(*same).agg(F.min(F.struct("doc", "row")).alias("least"), F.first("buckets").alias("buckets"))
+    kinds = written(kinds.select(*same, "least", F.col("least.row").alias("doc"), "buckets"), "kinds")  # from here on a row stands for its kind as `doc`
     entries = kinds.select("doc", F.posexplode("buckets").alias("band", "bucket"))
     crowds = written(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "crowds")
     members = written(entries.join(crowds, "bucket"), "members")
     company = written(members.groupBy("doc").agg(F.sum("n").alias("company")), "company")
     members = written(members.join(company, "doc").select("bucket", "band", "doc", "company", "n"), "members")
-    texts = written(company.select("doc").join(sketch.sifted(rows, company, "doc").dropDuplicates(["doc"]), "doc"), "texts")
+    texts = written(company.select("doc").join(sketch.sifted(rows.select(F.col("row").alias("doc"), "text"), company, "doc").dropDuplicates(["doc"]), "doc"), "texts")
     mine = members.withColumn("component", F.col("doc"))
     pairs = written(_small(mine.where(F.col("n") <= FEW)).unionAll(_pivots(mine.where(F.col("n") > FEW))).select("doc", F.col("with.doc").alias("pivot")).where("doc <> pivot").distinct(), "pairs")
     links = written(verified(pairs, texts, words, least), "links")
@@ -245,8 +250,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
     apart = written(_blocks(written(large, "large"), texts, words, least), "links")
     if not apart.isEmpty():
         labels = components(links.unionAll(apart))
-    kinds = kinds.join(labels, F.col("doc") == F.col("node"), "left").select(*same, F.coalesce("component", "doc").alias("class_id"))
-    return marked.select("doc", *same).join(written(kinds, "classes"), same).select("doc", "class_id")
+    kinds = written(kinds.join(labels, F.col("doc") == F.col("node"), "left").select(*same, "least", F.coalesce("component", "doc").alias("component")), "classes")
+    stands = written(kinds.groupBy("component").agg(F.min("least").alias("stands")), "stands")
+    kinds = kinds.join(stands, "component").select(*same, F.col("stands.doc").alias("class_doc"), F.col("stands.row").alias("class_row"))
+    return marked.select("row", *same).join(written(kinds, "classes"), same).select("row", "class_doc", "class_row")
 
 
 def _small(members: DataFrame) -> DataFrame:
@@ -257,8 +264,8 @@ def _small(members: DataFrame) -> DataFrame:
 
 def _pivots(members: DataFrame) -> DataFrame:
     """Every member of a bucket with the one that has the most company."""
-    top = members.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("doc")).alias("minus"), "component")).alias("top"))
-    return members.join(top, "bucket").select("doc", "component", F.struct((-F.col("top.minus")).alias("doc"), F.col("top.component").alias("component")).alias("with"))
+    top = members.groupBy("bucket").agg(F.max(F.struct("company", F.bitwise_not("doc").alias("minus"), "component")).alias("top"))
+    return members.join(top, "bucket").select("doc", "component", F.struct(F.bitwise_not("top.minus").alias("doc"), F.col("top.component").alias("component")).alias("with"))
 
 
 def _blocks(members: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -304,23 +311,30 @@ def _blocks(members: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return strays.unionAll(others).join(texts, "doc").groupBy("bucket", "i", "j").applyInArrow(meet, "u long, v long")
 
 
+def told(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, row, class_id and kept (whether it stands for its class) of every row; a text without a word is its own class."""
+    found = written(near_duplicates(docs, **how).distinct(), "told")
+    joined = docs.select("doc_id", doc_number("doc_id").alias("doc"), row_id().alias("row")).join(found, "row", "left")
+    joined = written(joined.select("doc_id", "row", F.coalesce("class_doc", "doc").alias("class_doc"), F.coalesce("class_row", "row").alias("class_row")), "joined")
+    shared = written(joined.groupBy("class_doc").agg(F.min("class_row").alias("a"), F.max("class_row").alias("b")).where("a <> b").select("class_doc", F.lit(True).alias("shared")), "shared")
+    named = joined.join(shared, "class_doc", "left") if not shared.isEmpty() else joined.withColumn("shared", F.lit(None).cast("boolean"))
+    return named.select("doc_id", "row", F.when(F.col("shared"), F.col("class_row")).otherwise(F.col("class_doc")).alias("class_id"), (F.col("row") == F.col("class_row")).alias("kept"))
+
+
 def classes(docs: DataFrame, **how) -> DataFrame:
-    """doc_id and class_id of every row; a text without a word is its own class."""
-    told = written(near_duplicates(docs, **how).distinct(), "told")
-    joined = docs.select("doc_id", doc_number("doc_id").alias("doc")).join(told, "doc", "left")
-    return joined.select("doc_id", F.coalesce("class_id", "doc").alias("class_id"))
+    """doc_id and class_id of every row, and whether it is kept."""
+    return told(docs, **how).select("doc_id", "class_id", "kept")
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    told = classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return told.withColumn("kept", doc_number("doc_id") == F.col("class_id"))
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of every class, once."""
-    told = written(classes(docs.select("doc_id", "text")).where(doc_number("doc_id") == F.col("class_id")), "kept")
-    ids = told.select("class_id").distinct()
-    kept = docs.withColumn("__doc", doc_number("doc_id")).join(ids.withColumnRenamed("class_id", "__doc"), "__doc", "left_semi")
-    if told.count() > ids.count():  # rows that share a doc_id
-        kept = kept.dropDuplicates(["__doc"])
-    return kept.select(*docs.columns)
+    kept = written(told(docs.select("doc_id", "text")).where("kept").select("row"), "kept")
+    ids = kept.distinct()
+    out = docs.withColumn("__row", row_id()).join(ids.withColumnRenamed("row", "__row"), "__row", "left_semi")
+    if kept.count() > ids.count():  # rows that share a doc_id and a text
+        out = out.dropDuplicates(["__row"])
+    return out.select(*docs.columns)
