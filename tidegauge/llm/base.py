@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,39 +23,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where none is set (tests, one machine)."""
+    """The folder that all executors share: spark.checkpoint.dir. In local mode (tests, one machine) a temporary one where none is set."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidegauge-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-#: Folders that written() has made and forget() may delete.
-_tables: list[str] = []
+class Scratch:
+    """What the work within its `with` block leaves behind: written tables and broadcasts. drop() deletes them.
+
+    For a caller that knows when all that reads them has itself been written. Outside of any block tables stay.
+    """
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+        self.values: list[Broadcast] = []
+
+    def __enter__(self) -> Scratch:
+        self._token = _scratch.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scratch.reset(self._token)
+
+    def drop(self, spark: SparkSession) -> None:
+        while self.values:
+            self.values.pop().destroy()
+        while self.folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.folders.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_scratch: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
 
 
 def written(df: DataFrame, tag: str, lasting: bool = False) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back.
 
-    This cuts the lineage: a lost executor costs the reading of a file, not the steps before it. forget() deletes
-    the folder unless it is to last.
+    This cuts the lineage: a lost executor costs the reading of a file, not the steps before it. The folder belongs
+    to the Scratch around the call, unless it is to last.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not lasting:
-        _tables.append(path)
+    scratch = _scratch.get()
+    if scratch and not lasting:
+        scratch.folders.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> None:
-    """Deletes what written() has made so far; for when all that reads it has been written itself."""
-    while _tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def broadcast(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast value, which belongs to the Scratch around the call."""
+    shared = spark.sparkContext.broadcast(value)
+    scratch = _scratch.get()
+    if scratch:
+        scratch.values.append(shared)
+    return shared
+
+
+def passed(df: DataFrame, text: str, keep: tuple[str, ...]) -> tuple[DataFrame, str, str]:
+    """What a Python function over a text has to be sent: the kept columns and the text, once if it is kept itself;
+    the name it has there, and the kept columns' schema."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    if text in keep:
+        return df.select(*keep), text, schema
+    return df.select(*keep, F.col(text).alias("__text")), "__text", schema
 
 
 def doc_number(column: str = "doc_id") -> Column:

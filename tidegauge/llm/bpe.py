@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table
+from .base import broadcast, passed, table
 
 #: Characters encoded, or ids decoded, before a batch is handed on.
 CHUNK = 1 << 20
 #: Pre-tokens that a task remembers, and as many that it used before those.
-MEMO = 1 << 18
+MEMO = 1 << 16
 
 
 class PerfectHash:
@@ -183,9 +183,9 @@ def decode(encoded: DataFrame, encoder: Encoder, keep: tuple[str, ...] = ("doc_i
 
 def _batched(rows: DataFrame, column: str, keep: tuple[str, ...], encoder: Encoder, made: dict[str, str], one) -> DataFrame:
     """The kept columns and what `one` makes of each value, in batches of about CHUNK characters or ids."""
-    shared = rows.sparkSession.sparkContext.broadcast(encoder)
-    source = rows.select(*keep, F.col(column).alias("__value"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema] + [f"{k} {v}" for k, v in made.items()])
+    shared = broadcast(rows.sparkSession, encoder)
+    source, sent, schema = passed(rows, column, keep)
+    schema = ", ".join([schema, *(f"{k} {v}" for k, v in made.items())])
 
     def column_of(name: str, values: list) -> pa.Array:
         if name == "bytes":
@@ -197,7 +197,7 @@ def _batched(rows: DataFrame, column: str, keep: tuple[str, ...], encoder: Encod
         enc = shared.value
         for batch in batches:
             start, done, size = 0, [], 0
-            for i, value in enumerate(batch.column("__value")):
+            for i, value in enumerate(batch.column(sent)):
                 value = value.as_py()
                 done.append(one(enc, value))
                 size += len(value or "")

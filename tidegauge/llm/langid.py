@@ -5,8 +5,8 @@ characters are hashed to 2**16 buckets. The model is a matrix of log-probabiliti
 fitted from counts and broadcast; batches are scored sparsely in numpy: one look-up per n-gram and a
 segmented sum per document.
 
-Cases: a null, empty or letterless text is `und` with score 0. Rows with a null or empty language teach
-nothing. With nothing to learn from, every text is `und`. Repeated rows are scored each by itself; equal
+Cases: a null, empty or letterless text is `und` with score 0. Rows with a null language teach
+nothing; an empty one is a language like others. With nothing to learn from, every text is `und`. Repeated rows are scored each by itself; equal
 posteriors go to the language that sorts first. Further columns are ignored.
 """
 
@@ -19,7 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .base import broadcast, passed, table
+
 UNKNOWN = "und"
+#: Rows scored at a time.
+ROWS = 512
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Characters hashed at a time; bounds the memory of a task whatever the length of a text.
@@ -93,7 +97,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
     max_docs bounds the documents of each language that are learned from: a language with more is sampled by
     a hash of its key. Priors come from all rows. What reaches the driver is bounded by languages x buckets.
     """
-    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")).where("lang is not null and lang <> '' and text is not null")
+    rows = train.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).cast("string").alias("key")).where("lang is not null and text is not null")
     totals = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals)
     if not langs:
@@ -122,17 +126,15 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", key: str = "do
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of each row with lang_pred and score, the posterior probability of that language."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*(F.col(c) for c in keep), F.col(text).alias("__text"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["lang_pred string", "score double"])
+    shared = broadcast(docs.sparkSession, model)
+    source, name, schema = passed(docs, text, keep)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, prior, logp = shared.value
-        for batch in batches:
+        for batch in (b.slice(start, ROWS) for b in batches for start in range(0, b.num_rows, ROWS)):
             n = batch.num_rows
             total, seen = np.zeros((len(langs), n)), np.zeros(n, bool)
-            for i, parts, context in pieces(batch.column("__text").to_pylist()) if langs else ():
+            for i, parts, context in pieces(batch.column(name).to_pylist()) if langs else ():
                 row = np.asarray(i)
                 for piece, bucket in hashed(parts, context, logp.shape[1]):
                     if not piece.size:
@@ -151,7 +153,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], t
             kept = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(pred, pa.string()), pa.array(sure)], [*keep, "lang_pred", "score"])
 
-    return source.mapInArrow(score, schema)
+    return source.mapInArrow(score, f"{schema}, lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id") -> F.Column:
@@ -160,8 +162,6 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
-    from .base import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .base import doc_number, table, written
+from .base import broadcast, doc_number, table, written
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -50,7 +50,7 @@ def hashes_of(least: int):
 
 def suspects(rows: DataFrame, least: int, n_blocks: int, bits: bytes) -> DataFrame:
     """row, doc, key and the numbers of its lines, for every key in the filter."""
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    shared = broadcast(rows.sparkSession, bits)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(shared.value, np.uint8)

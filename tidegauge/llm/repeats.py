@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .base import table, written
+from .base import broadcast, table, written
 
 LENGTH = 400
 GRAM = 64
@@ -257,7 +257,7 @@ class Repeats:
                     yield piece.anchors(length, gram)[4]
 
         spark = docs.sparkSession
-        self.shared = spark.sparkContext.broadcast(sketch.twice_seen(self.rows.select("text"), grams_of, self.n_blocks))
+        self.shared = broadcast(spark, sketch.twice_seen(self.rows.select("text"), grams_of, self.n_blocks))
         suspects = self.rows.mapInArrow(_suspects(length, gram, self.n_blocks, self.shared), "row long, place long, lo long, hi long, gram long, context long")
         # equal contexts meet here; `first` takes all values from one of them
         contexts = written(suspects.groupBy("gram", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("row", "place", "lo", "hi"))), "contexts")

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .base import broadcast
+
 BLOCK_BITS = 1 << 16
 #: Bits at most, so that the filter is at most 32 MB; beyond some 26 million hashes it lets more through.
 BITS = 1 << 28
@@ -99,7 +101,7 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     bits = np.zeros((n_blocks, BLOCK_BITS // 8), np.uint8)
     for r in wanted.select(key).mapInArrow(fill, "block int, bits binary").toLocalIterator():
         bits[r["block"]] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-    shared = wanted.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = broadcast(wanted.sparkSession, bits.tobytes())
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(shared.value, np.uint8)
