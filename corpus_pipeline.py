@@ -1,19 +1,31 @@
-"""Documents to training data: five stages, each written before the next reads it."""
+"""Documents to training data: five stages, each written before the next reads it.
+
+Cases: an empty table stays empty through all stages. Rows that are equal are told apart by no stage but mixing, which
+takes each as often as its queue says; null texts and ids, very long texts and further columns, also of names that
+the operators use, are as the operators' modules say, and all columns of documents come out of all but the last
+stage, which adds `ids`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidegauge.llm import bpe, langid, lines, minhash, mixing
-from tidegauge.llm.base import forget, table, written
+from tidegauge.llm.base import Scratch, table, written
+
+#: What the stage before left behind. Its result has been written when the next stage begins.
+_before: list[Scratch] = []
 
 
 def _fresh(stage):
-    """The stage, which first deletes the working tables of the one before: that one's result has been written."""
+    """The stage, which first deletes the working tables and broadcasts of the one before, and nobody else's."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        forget(spark)
-        return stage(spark, docs, sf_dir)
+        while _before:
+            _before.pop().drop(spark)
+        with Scratch() as scratch:
+            _before.append(scratch)
+            return stage(spark, docs, sf_dir)
 
     return run
 
