@@ -6,16 +6,18 @@ a query every tree descends to its longest matching prefix; then all trees ascen
 their prefixes hold CANDIDATES times as many entries as there are rows in the block, and k + 1 rows for certain (one
 row has an entry in each tree). All rows below are candidates, and their distances are computed exactly.
 
-Rows are dealt by hash into blocks of about BLOCK, each with its own forest, and queries into blocks of QUERIES; a
-task takes one of each, and returns the nearest few of every query, which are merged by query. Every row is
-indexed; the centre alone is fitted on a sample of SAMPLE rows.
+Rows are dealt by hash into blocks of about BLOCK, each with its own forest. Every row is shuffled once, and a query
+once to each block: sorted to the end of its block, queries stream past the forest, so that a task holds one block
+and one batch of queries however many there are. Only distances of candidates are computed. The nearest few of every
+query and block are merged by query. Every row is indexed; the centre alone is fitted on a sample of SAMPLE rows.
 
 The embeddings here are nearly without structure (the tenth neighbour is almost as far as any other row), so that a
-recall of 0.9 takes some half of all rows as candidates whatever the index; CANDIDATES is set for that.
+recall of 0.9 takes two fifths to two thirds of all rows as candidates whatever the index; CANDIDATES is set for that.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
 an id. Vectors of different lengths are never compared. A row is no candidate of a query with its id. Ties go to
-the smaller id; equal vectors share all prefixes and so are found together. Rows that share id and vector count once.
+the smaller id; equal vectors share all prefixes and so are found together. Rows that share id and vector count once; rows that share an id
+and differ in their vectors are one query with the nearest of both.
 Further columns of the input play no part.
 """
 
@@ -33,9 +35,10 @@ from .vectors import usable
 
 TREES = 64
 BITS = 24
-CANDIDATES = 0.75
-BLOCK = 8192
-QUERIES = 1024
+CANDIDATES = 0.5
+BLOCK = 16384
+#: Rows hashed at a time.
+ROWS = 2048
 SAMPLE = 4096
 
 
@@ -51,8 +54,9 @@ class Forest:
 
     def strings(self, x: np.ndarray) -> np.ndarray:
         """The hash string of each row in each tree (tree x row), the first bit highest."""
-        bit = ((x - self.centre) @ self.planes > 0).reshape(len(x), self.trees, self.bits)
-        return (bit @ (1 << np.arange(self.bits)[::-1])).T
+        power = 1 << np.arange(self.bits)[::-1]
+        parts = [((x[i : i + ROWS] - self.centre) @ self.planes > 0).reshape(-1, self.trees, self.bits) @ power for i in range(0, len(x), ROWS)]
+        return np.ascontiguousarray(np.concatenate(parts).T)
 
     def below(self, strings: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """Where in each tree the entries with the same first `depth` bits begin and end (tree x query)."""
@@ -61,74 +65,80 @@ class Forest:
         ends = [(np.searchsorted(a, s), np.searchsorted(a, s + (1 << shift))) for a, s in zip(self.sorted, low, strict=True)]
         return np.array([a for a, _ in ends]), np.array([b for _, b in ends])
 
-    def candidates(self, queries: np.ndarray, least: float) -> np.ndarray:
-        """For each query (row) whether each entry is a candidate: the longest common depth with `least` entries in all trees."""
+    def candidates(self, queries: np.ndarray, least: float) -> Iterator[np.ndarray]:
+        """For each query the entries below the longest common depth with `least` entries in all trees."""
         strings = self.strings(queries)
-        found = np.zeros((len(queries), self.n), bool)
-        waiting = np.ones(len(queries), bool)
+        begin, end = (np.zeros((self.trees, len(queries)), np.int64) for _ in range(2))
+        waiting = np.arange(len(queries))
         for depth in range(self.bits, -1, -1):
-            begin, end = self.below(strings[:, waiting], depth)
-            enough = (end - begin).sum(axis=0) >= (least if depth else 0)
-            for k in np.flatnonzero(enough):
-                q = np.flatnonzero(waiting)[k]
-                for t in range(self.trees):
-                    found[q, self.order[t, begin[t, k] : end[t, k]]] = True
-            waiting[np.flatnonzero(waiting)[enough]] = False
-            if not waiting.any():
+            low, high = self.below(strings[:, waiting], depth)
+            enough = (high - low).sum(axis=0) >= (least if depth else 0)
+            begin[:, waiting[enough]], end[:, waiting[enough]] = low[:, enough], high[:, enough]
+            waiting = waiting[~enough]
+            if not waiting.size:
                 break
-        return found
+        for q in range(len(queries)):
+            found = np.zeros(self.n, bool)
+            for t in range(self.trees):
+                found[self.order[t, begin[t, q] : end[t, q]]] = True
+            yield np.flatnonzero(found)
 
 
-def nearest(queries: np.ndarray, ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, allowed: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the ids and exact distances of its k nearest allowed rows, nearest first, ties to smaller ids."""
-    rough = (queries * queries).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (queries @ x.T)
-    slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
-    rough[~allowed | (ids[:, None] == x_ids[None, :])] = np.inf
-    for q, far in zip(queries, rough, strict=True):
-        n = int(np.isfinite(far).sum())
-        limit = np.partition(far, k - 1)[k - 1] if n > k else np.inf
-        near = np.flatnonzero((far <= limit + slack) & np.isfinite(far))
-        exact = np.sqrt(((x[near] - q) ** 2).sum(axis=1))
-        first = np.lexsort((x_ids[near], exact))[:k]
-        yield x_ids[near][first], exact[first]
+def nearest(query: np.ndarray, query_id: int, x: np.ndarray, x_ids: np.ndarray, among: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and exact distances of the k nearest rows among some, nearest first, ties to smaller ids."""
+    among = among[x_ids[among] != query_id]
+    far = ((x[among] - query) ** 2).sum(axis=1)
+    if far.size > k:
+        close = far <= np.partition(far, k - 1)[k - 1]
+        among, far = among[close], far[close]
+    far = np.sqrt(far)
+    first = np.lexsort((x_ids[among], far))[:k]
+    return x_ids[among][first], far[first]
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", candidates: float = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id and score (the Euclidean distance) of the k nearest rows found for each query row."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("query"))
     rows = rows.where(F.col("id").isNotNull() & usable("vector")).withColumn("dim", F.size("vector")).dropDuplicates(["id", "vector"])
-    told = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if("query").alias("n_queries")).collect()
-    n, n_queries = max([r["n"] for r in told], default=0), max([r["n_queries"] for r in told], default=0)
-    blocks, query_blocks = max(1, round(n / BLOCK)), max(1, -(-n_queries // QUERIES))
-    turn = F.xxhash64(F.col("id"), F.lit("block"))
+    n = max([r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()], default=0)
+    blocks = max(1, round(n / BLOCK))
     # the centre: of a sample by hash, expected to hold SAMPLE rows
     centres: dict[int, np.ndarray] = {}
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit("centre")), F.lit(max(1, n // SAMPLE))) == 0).select("dim", F.posexplode("vector").alias("i", "x")).groupBy("dim", "i").agg(F.avg("x").alias("x"))
     for r in sample.collect():
         centres.setdefault(r["dim"], np.zeros(r["dim"]))[r["i"]] = r["x"]
 
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    indexed = rows.select("dim", F.pmod(turn, F.lit(blocks)).cast("int").alias("block"), every(query_blocks).alias("query_block"), F.lit(False).alias("asks"), "id", "vector")
-    asked = rows.where("query").select("dim", every(blocks).alias("block"), F.pmod(turn, F.lit(query_blocks)).cast("int").alias("query_block"), F.lit(True).alias("asks"), "id", "vector")
-
-    def meet(group: pa.Table) -> pa.Table:
-        dim, asks, ids = group.column("dim")[0].as_py(), group.column("asks").to_numpy(), group.column("id").to_numpy()
-        x = group.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if asks.any() and not asks.all():
-            own, own_ids = x[~asks], ids[~asks]
-            forest = Forest(own, centres.get(dim, np.zeros(dim)))
-            for start in range(0, int(asks.sum()), 256):
-                q, q_ids = x[asks][start : start + 256], ids[asks][start : start + 256]
-                allowed = forest.candidates(q, max(candidates * len(own), TREES * (k + 1)))
-                for i, (near, far) in zip(q_ids, nearest(q, q_ids, own, own_ids, allowed, k), strict=True):
-                    out.append((np.full(near.size, i), near, far))
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
-
-    found = indexed.unionAll(asked).groupBy("dim", "block", "query_block").applyInArrow(meet, "query_id long, vec_id long, score double")
+    indexed = rows.select("dim", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "id", "vector")
+    asked = rows.where("query").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "id", "vector")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, forest, own, own_ids = None, [], None, None, None
+        for batch in batches:
+            dims, block, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "block", "asks", "id"))
+            edges = np.flatnonzero(np.append(True, (np.diff(dims) != 0) | (np.diff(block) != 0) | (asks[1:] != asks[:-1])))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(ids)], strict=True):
+                dim = int(dims[a])
+                x = batch.column("vector").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                if (dim, block[a]) != at:
+                    at, parts, forest = (dim, block[a]), [], None
+                if not asks[a]:
+                    parts.append((x, ids[a:b]))
+                    continue
+                if not parts and forest is None:
+                    continue  # a block without rows
+                if forest is None:
+                    own, own_ids = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    forest, parts = Forest(own, centres.get(dim, np.zeros(dim))), []
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+                for q, q_id, among in zip(x, ids[a:b], forest.candidates(x, max(candidates * len(own), TREES * (k + 1))), strict=True):
+                    near, far = nearest(q, q_id, own, own_ids, among, k)
+                    out.append((np.full(near.size, q_id), near, far))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    dealt = indexed.unionAll(asked).repartition(blocks, "dim", "block").sortWithinPartitions("dim", "block", "asks")
+    found = dealt.mapInArrow(meet, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_nearest_neighbours(spark, sf_dir: str) -> DataFrame:
