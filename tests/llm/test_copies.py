@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.llm import graph, minhash, neighbours, repeats, sketch, vectors
+from tidegauge.llm import graph, lines, minhash, neighbours, repeats, sketch, vectors
 
 # MinHash
 
@@ -199,6 +199,29 @@ def test_twice_seen_misses_nothing(spark):
     assert hit[:1000].all() and hit[1000:].mean() < 0.05
 
 
+def test_hashes_that_need_a_larger_filter_are_counted(spark, monkeypatch):
+    """With BITS at a fraction of the need results stay the same, and so does what is suspected."""
+    rng = random.Random(3)
+    line = lambda: "".join(rng.choices("abcdefgh ", k=40)) + "x" * 5
+    common = [line() for _ in range(5)]
+    rows = [(i, "\n".join([line() for _ in range(30)] + common[: i % 6])) for i in range(200)] + [(7, None), (None, "\n".join(common))]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string").repartition(3)
+    asked = {}
+    for bits in (sketch.BITS, sketch.BLOCK_BITS // 60):
+        monkeypatch.setattr(sketch, "BITS", bits)
+        data = df.select(lines.row_id().alias("row"), "doc_id", "text")
+        told = sketch.suspected(data, lines.hashes_of(20), 6600)
+        assert (told.shared is None) == (bits < sketch.BLOCK_BITS)
+        keys = lines.suspects(told.told(data.withColumn("doc", F.col("doc_id"))), 20, told)
+        dropped = lines.drop_lines(df).select("doc_id", "text", "__n_dropped").collect()
+        found = repeats.Repeats(df, length=60, gram=20).removed(df).select("doc_id", "n_bytes", "kept").collect()
+        sifted = sketch.sifted(data.select("row"), data.select("row").limit(9), "row")
+        asked[bits] = keys.count(), sorted(map(str, dropped)), sorted(map(str, found))
+        assert sifted.count() >= 9
+    few, many = asked.values()
+    assert few[1:] == many[1:] and many[0] <= few[0] <= 1.1 * many[0]
+
+
 # vectors
 
 

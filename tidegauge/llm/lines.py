@@ -5,7 +5,8 @@ hashes of its keys, once a document, in two Bloom filters: seen once, and seen t
 repeat is missed, so that only the lines in the merged twice filter, the suspects, are shuffled, with their
 whole keys. Counting them confirms the repeats exactly and chooses the one document that keeps each.
 
-The filter has a bounded size; when it is full more lines are suspects and results stay the same.
+Where the lines need a larger filter than may be broadcast, their hashes are counted instead (see sketch.py); lines that
+are no suspects stay where they are.
 
 Cases: a null or empty text is one empty line. A document is a doc_id: rows that share one count once and
 keep a line together; a null doc_id sorts first. Lines shorter than the least length always stay. With
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .base import broadcast, doc_number, table, written
+from .base import doc_number, table, written
 
 LEAST_CHARS = 20
 LEAST_DOCS = 3
@@ -48,12 +49,10 @@ def hashes_of(least: int):
     return run
 
 
-def suspects(rows: DataFrame, least: int, n_blocks: int, bits: bytes) -> DataFrame:
-    """row, doc, key and the numbers of its lines, for every key in the filter."""
-    shared = broadcast(rows.sparkSession, bits)
+def suspects(rows: DataFrame, least: int, told: sketch.Suspects) -> DataFrame:
+    """row, doc, key and the numbers of its lines, for every key that may occur in several documents."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -67,20 +66,19 @@ def suspects(rows: DataFrame, least: int, n_blocks: int, bits: bytes) -> DataFra
                     lines += own.values()
                 if not keys:
                     continue
-                hit = np.flatnonzero(sketch.test(twice, np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), n_blocks))
+                hit = np.flatnonzero(told.hit(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), np.array(where), part.column("__hashes")))
                 of = pa.array([where[i] for i in hit], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("row").take(of), part.column("doc").take(of), pa.array([keys[i].decode() for i in hit], pa.string()), pa.array([lines[i] for i in hit], pa.list_(pa.int32()))], ["row", "doc", "key", "lines"])
 
-    return rows.select("row", "doc", "text").mapInArrow(look, "row long, doc long, key string, lines array<int>")
+    return rows.select("row", "doc", "text", "__hashes").mapInArrow(look, "row long, doc long, key string, lines array<int>")
 
 
 def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, keep: str = "last", text: str = "text", key: str = "doc_id") -> DataFrame:
     """row (see row_id) and the numbers of the lines that it loses. keep: which document in the order of ids keeps a line, first or last."""
     rows = docs.select(row_id(text, key).alias("row"), doc_number(key).alias("doc"), F.col(text).alias("text"))
     n_lines = rows.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1)).first()[0] or 0
-    n_blocks = sketch.blocks_for(n_lines)
-    twice = sketch.twice_seen(rows.select("text"), hashes_of(least_chars), n_blocks)
-    found = written(suspects(rows, least_chars, n_blocks, twice), "suspects")
+    told = sketch.suspected(rows, hashes_of(least_chars), n_lines)
+    found = written(suspects(told.told(rows), least_chars, told), "suspects")
     chosen = F.max("doc") if keep == "last" else F.min("doc")
     shared = written(found.groupBy("key").agg(F.count_distinct("doc").alias("n_docs"), chosen.alias("keeper")).where(F.col("n_docs") >= least_docs), "repeats")
     lost = found.join(shared, "key").where("doc <> keeper").select("row", F.explode("lines").alias("line"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .base import broadcast, table, written
+from .base import table, written
 
 LENGTH = 400
 GRAM = 64
@@ -122,17 +122,16 @@ def _rows_of(row: pa.Array, index: np.ndarray) -> pa.Array:
     return row.take(pa.array(index, pa.int64()))
 
 
-def _suspects(length: int, gram: int, n_blocks: int, shared):
-    """A function of batches (row, text): the anchors whose gram passes the filter, without their contexts' bytes."""
+def _suspects(length: int, gram: int, told: sketch.Suspects):
+    """A function of batches (row, text): the anchors whose gram may occur twice, without their contexts' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 sub = batch.slice(start, 256)
                 for rows, offsets, piece in pieces(sub.column("text").to_pylist(), length):
                     part, place, lo, hi, grams, context = piece.anchors(length, gram)
-                    hit = sketch.test(bits, grams, n_blocks)
+                    hit = told.hit(grams, np.asarray(rows)[part], sub.column("__hashes"))
                     if hit.any():
                         shift = np.asarray(offsets)[part] - np.append(0, piece.ends)[part]
                         yield pa.RecordBatch.from_arrays(
@@ -249,16 +248,14 @@ class Repeats:
         self.length, self.gram = length, gram
         self.rows = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("row"), F.col(text).alias("text"))
         size = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.n_blocks = sketch.blocks_for(size * 2 // (length - gram))
 
         def grams_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
             for start in range(0, batch.num_rows, 256):
                 for _, _, piece in pieces(batch.column("text")[start : start + 256].to_pylist(), length):
                     yield piece.anchors(length, gram)[4]
 
-        spark = docs.sparkSession
-        self.shared = broadcast(spark, sketch.twice_seen(self.rows.select("text"), grams_of, self.n_blocks))
-        suspects = self.rows.mapInArrow(_suspects(length, gram, self.n_blocks, self.shared), "row long, place long, lo long, hi long, gram long, context long")
+        self.told = sketch.suspected(self.rows, grams_of, size * 2 // (length - gram))
+        suspects = self.told.told(self.rows).mapInArrow(_suspects(length, gram, self.told), "row long, place long, lo long, hi long, gram long, context long")
         # equal contexts meet here; `first` takes all values from one of them
         contexts = written(suspects.groupBy("gram", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("row", "place", "lo", "hi"))), "contexts")
         several = written(contexts.groupBy("gram").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"), "grams")
@@ -293,13 +290,12 @@ class Repeats:
 
     def removed(self, docs: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The kept columns, `n_bytes`, the removed runs as `spans` (start and stop), and `kept`, the bytes that remain."""
-        length, gram, n_blocks, shared = self.length, self.gram, self.n_blocks, self.shared
-        source = docs.select(F.xxhash64(F.col(key), F.col(text)).alias("__row"), F.col(text).alias("__text"), *keep).join(self.facts.select(F.col("row").alias("__row"), F.col("facts").alias("__facts")), "__row", "left").drop("__row")
+        length, gram, told = self.length, self.gram, self.told
+        source = told.told(docs.select(F.xxhash64(F.col(key), F.col(text)).alias("__row"), F.col(text).alias("__text"), *keep), "__row").join(self.facts.select(F.col("row").alias("__row"), F.col("facts").alias("__facts")), "__row", "left").drop("__row")
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["n_bytes long, spans array<struct<start: long, stop: long>>, kept binary"])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.frombuffer(shared.value, np.uint8)
             for batch in batches:
                 for begin in range(0, batch.num_rows, 256):
                     sub = batch.slice(begin, 256)
@@ -309,7 +305,7 @@ class Repeats:
                     found: list[list[np.ndarray]] = [[] for _ in texts]
                     for rows, offsets, piece in pieces(texts, length):
                         part, place, lo, hi, grams, _ = piece.anchors(length, gram)
-                        hit = sketch.test(bits, grams, n_blocks)
+                        hit = told.hit(grams, np.asarray(rows)[part], sub.column("__hashes"))
                         shift = np.asarray(offsets)[part] - np.append(0, piece.ends)[part]
                         which, place, lo, hi = np.asarray(rows)[part[hit]], (place + shift)[hit], (lo + shift)[hit], (hi + shift)[hit]
                         for r in np.unique(which):
