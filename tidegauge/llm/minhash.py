@@ -338,3 +338,23 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if kept.count() > ids.count():  # rows that share a doc_id and a text
         out = out.dropDuplicates(["__row"])
     return out.select(*docs.columns)
+
+
+#: Links of all pairs that share a shingle, compared exactly, and what they reach.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w WHERE len(w) > 0
+), c AS (
+  SELECT doc_id, sh, count(*) AS n FROM s GROUP BY doc_id, sh
+), z AS (
+  SELECT doc_id, count(*) AS plain, sum(n) AS heavy FROM c GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM c a JOIN c b ON a.sh = b.sh AND a.doc_id <> b.doc_id JOIN z x ON x.doc_id = a.doc_id JOIN z y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.plain, x.heavy, y.plain, y.heavy
+  HAVING greatest(count(*) / (x.plain + y.plain - count(*)), sum(least(a.n, b.n)) / (x.heavy + y.heavy - sum(least(a.n, b.n)))) >= 0.8
+), r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.v FROM r JOIN l ON r.other = l.u
+)
+SELECT doc_id, min(other) AS class_id, doc_id = min(other) AS kept FROM r GROUP BY doc_id"""

@@ -22,7 +22,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op9_embedding_near_dedup": vectors.OP9_SQL}
+    return {"op2_line_dedup": lines.OP2_SQL, "op3_minhash_near_dedup": minhash.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op9_embedding_near_dedup": vectors.OP9_SQL, "op10_repeated_passages": repeats.OP10_SQL}
 
 
 def pipeline(spark, sf_dir):

@@ -348,3 +348,27 @@ def op10_repeated_passages(spark, sf_dir: str) -> DataFrame:
     out = Repeats(docs).removed(docs)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 400 bytes by its hash.
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, text, encode(coalesce(text, '')) AS b FROM documents
+), w AS (
+  SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)
+), r AS (
+  SELECT doc_id, i FROM w JOIN (SELECT h FROM w GROUP BY h HAVING count(*) > 1) t USING (h)
+), e AS (
+  SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r
+), g AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e
+), p AS (
+  SELECT doc_id, span, min(i) AS a, max(i) + 400 AS z FROM g GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS gap FROM p
+), o AS (
+  SELECT k.doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(hex(b[gap:a - 1]), '' ORDER BY a) || hex(any_value(b[k2.last:octet_length(b)])) AS kept
+  FROM k JOIN d USING (doc_id) JOIN (SELECT doc_id, max(z) AS last FROM p GROUP BY doc_id) k2 USING (doc_id) GROUP BY k.doc_id
+)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN o USING (doc_id)"""
