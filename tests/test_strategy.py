@@ -125,20 +125,47 @@ def test_product_of_any_signs(spark):
     assert np.allclose(out, np.cumprod(x))
 
 
-def test_state_machine():
-    held, reason = bt.walk(np.ones(8, int), 1, 2)
-    assert held.tolist() == [1, 1, 0, 0, 1, 1, 0, 0] and reason[2] == "max_holding"
-    held, reason = bt.walk(np.array([1, -1, -1, 0]), 0, 0)
-    assert held.tolist() == [1, -1, -1, 0] and reason == [None, "flip", None, "signal"]
+def walked(spark, wants, cooldown, most):
+    rows = spark.createDataFrame([(k, i, int(w)) for k, want in wants.items() for i, w in enumerate(want)], "instrument string, pos long, want int")
+    out = bt.walked_targets(rows, cooldown, most).orderBy("instrument", "pos").collect()
+    return {k: ([r["held"] for r in out if r["instrument"] == k], [r["reason"] for r in out if r["instrument"] == k]) for k in wants}
+
+
+def stepwise(want, cooldown, most):
+    """Position and reason from one bar to the next: (held, bars held, bars to wait)."""
+    state, out = (0, 0, 0), []
+    for w in map(int, want):
+        held, age, wait = state
+        over = bool(held and most and age + 1 == most)
+        if held and w == held and not over:
+            state, why = (held, age + 1, 0), None
+        elif held:
+            why = "max_holding" if over else "flip" if w else "signal"
+            state = (w, 0, 0) if why == "flip" and not cooldown else (0, 0, cooldown)
+        else:
+            state, why = ((0, 0, wait - 1) if wait else (w, 0, 0)), None
+        out.append((state[0], why))
+    return [h for h, _ in out], [r for _, r in out]
+
+
+def test_state_machine(spark):
+    held, reason = walked(spark, {"A": [1] * 8}, 1, 2)["A"]
+    assert held == [1, 1, 0, 0, 1, 1, 0, 0] and reason[2] == "max_holding"
+    held, reason = walked(spark, {"A": [1, -1, -1, 0]}, 0, 9)["A"]
+    assert held == [1, -1, -1, 0] and reason == [None, "flip", None, "signal"]
+
+
+def test_state_machine_by_runs_is_the_stepwise_one(spark):
+    rng = np.random.default_rng(1)
+    wants = {f"{i}": np.repeat(rng.integers(-1, 2, 60), rng.integers(1, 3 + 3 * i, 60)) for i in range(4)} | {"short": [1], "flat": [0, 0, 0]}
+    for cooldown, most in ((1, 0), (3, 0), (0, 1), (0, 4), (2, 1), (3, 5), (9, 2)):
+        for k, told in walked(spark, wants, cooldown, most).items():
+            assert told == stepwise(wants[k], cooldown, most), (k, cooldown, most)
 
 
 def test_state_machine_without_limits_is_the_column_form(spark):
-    rng = np.random.default_rng(1)
-    want = rng.integers(-1, 2, 300)
-    rows = spark.createDataFrame([("A", i, int(w)) for i, w in enumerate(want)], "instrument string, pos long, want int")
-    out = bt.targets(Rel(rows)).df.orderBy("pos").collect()
-    held, reason = bt.walk(want, 0, 0)
-    assert [r["held"] for r in out] == held.tolist() and [r["reason"] for r in out] == reason
+    want = np.random.default_rng(1).integers(-1, 2, 300)
+    assert walked(spark, {"A": want}, 0, 0)["A"] == stepwise(want, 0, 0)
 
 
 def test_sizes(spark):

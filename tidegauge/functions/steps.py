@@ -125,9 +125,9 @@ class Steps:
     def ema(self, x: str, alpha: float, least: int) -> str:
         """y = (1 - alpha) y' + alpha x from the first value on, given from the least-th value on.
 
-        A missing value leaves y as it is but lets the past decay. In Spark a scan in blocks: cumulative products
-        and sums within 64 values, and a fold over the ends of the blocks before, so that no value waits for all
-        before it. Elsewhere a plain fold.
+        A missing value leaves y as it is but lets the past decay. In Spark a scan in three levels: cumulative products
+        and sums within 64 values, a fold over the ends of the at most 63 blocks before in the same span of 4,096 values,
+        and one over the ends of the spans before. Elsewhere a plain fold.
         """
         x = self.let(x)
         k = self.let(f"count({x}) OVER {self.ALL}")
@@ -144,6 +144,11 @@ class Steps:
         product = self.let(f"exp(sum(ln({keep})) OVER {inner})")
         scaled = self.let(f"{add} / {product}")
         part = self.let(f"{product} * sum({scaled}) OVER {inner}")
-        ends = self.let(f"collect_list(CASE WHEN {x} IS NOT NULL AND {k} % 64 = 0 THEN struct({block} AS b, {product} AS p, {part} AS s) END) OVER {self.BEFORE}")
-        carry = self.let(f"aggregate(filter({ends}, t -> t.b < {block}), cast(0 as double), (y, t) -> y * t.p + t.s)")
-        return self.let(f"CASE WHEN {k} >= {least} THEN {product} * {carry} + {part} END")
+        span = self.let(f"({k} - 1) div 4096")
+        of_span = f"(PARTITION BY instrument, {span} ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        ends = self.let(f"collect_list(CASE WHEN {x} IS NOT NULL AND {k} % 64 = 0 THEN struct({block} AS b, {product} AS p, {part} AS s) END) OVER {of_span}")
+        none = f"struct({self.num(1.0)} AS p, {self.num(0.0)} AS s)"
+        within = self.let(f"aggregate(filter({ends}, t -> t.b < {block}), {none}, (y, t) -> struct(y.p * t.p AS p, y.s * t.p + t.s AS s))")
+        spans = self.let(f"collect_list(CASE WHEN {x} IS NOT NULL AND {k} % 4096 = 0 THEN struct({span} AS b, {product} * {within}.p AS p, {product} * {within}.s + {part} AS s) END) OVER {self.BEFORE}")
+        carry = self.let(f"aggregate(filter({spans}, t -> t.b < {span}), {self.num(0.0)}, (y, t) -> y * t.p + t.s)")
+        return self.let(f"CASE WHEN {k} >= {least} THEN {product} * ({within}.p * {carry} + {within}.s) + {part} END")

@@ -19,6 +19,13 @@ def sharpe_of(x: str, bars_a_year: float) -> str:
     return f"CASE WHEN stddev_samp({x}) > 0 THEN avg({x}) / nullif(stddev_samp({x}), 0) * {bars_a_year**0.5!r} END"
 
 
+def grown(x: str) -> str:
+    """An aggregate: the product of 1 + x, less 1, whatever the signs of its factors."""
+    factor = f"CASE WHEN 1 + {x} <> 0 THEN ln(abs(CASE WHEN 1 + {x} <> 0 THEN 1 + {x} END)) END"
+    sign = f"CASE WHEN sum(CASE WHEN 1 + {x} = 0 THEN 1 ELSE 0 END) > 0 THEN 0 WHEN sum(CASE WHEN 1 + {x} < 0 THEN 1 ELSE 0 END) % 2 = 1 THEN -1 ELSE 1 END"
+    return f"({sign}) * exp(coalesce(sum({factor}), 0)) - 1"
+
+
 def drawdowns(result: Rel, equity: str = "equity") -> Rel:
     """Of each bar its distance from the highest equity so far, and the run of bars under water it is in."""
 
@@ -39,7 +46,7 @@ def max_drawdown(result: Rel, equity: str = "equity") -> Rel:
 
 
 def worst_month(result: Rel) -> Rel:
-    month = result.steps(lambda s: {"month_key": "year(ts) * 12 + month(ts)"}).agg(["instrument", "month_key"], r="exp(sum(ln(1 + net))) - 1")
+    month = result.steps(lambda s: {"month_key": "year(ts) * 12 + month(ts)"}).agg(["instrument", "month_key"], r=grown("net"))
     return month.agg(["instrument"], worst_month="min(r)")
 
 

@@ -77,14 +77,16 @@ def evaluate(ds: Dataset, w: md.Walk, config: ExperimentConfig, trial_sharpes: l
     year, meta = BARS_A_YEAR[config.data.interval], config.model.meta.enabled
     first, last = w.oos.agg(F.min("pos"), F.max("pos")).first()
     named = ["p_long", "p_short", *(["side", "p_trade"] if meta else [])]
-    prices = ds.bars.where(F.col("pos").between(first, last)).join(w.oos.select("instrument", "pos", "fold_id", *named), ["instrument", "pos"], "left")
-    result = bt.backtest(Rel(prices), config.backtest, year, meta).df.cache()
+    # the range is of all bars, so that the first bars that are tested have one
+    ranged = Rel(ds.bars).steps(lambda s: {"atr_share": bt.known_range(s, config.label.atr_window)}).df
+    prices = ranged.where(F.col("pos").between(first, last)).join(w.oos.select("instrument", "pos", "fold_id", *named), ["instrument", "pos"], "left")
+    result = bt.backtest(Rel(prices), config.backtest, year, meta, atr_share="atr_share").df.cache()
     trades = bt.trades(Rel(result)).df
     table = {r["instrument"]: r.asDict() for r in mt.performance(Rel(result), Rel(trades), year).df.collect()}
     luck = {r["instrument"]: mt.deflated_sharpe(r["sr"] or float("nan"), r["n"], r["skew"], r["kurt"], list(trial_sharpes), n_trials) | {"sharpe_per_bar": r["sr"], "skew": r["skew"], "kurtosis": r["kurt"]} for r in mt.moments(Rel(result)).df.collect()}
     c = config.backtest.costs
     random = {r["instrument"]: r.asDict() for r in bt.random_benchmark(result, (c.commission_bps + c.spread_bps / 2 + c.slippage_bps) / 1e4, year, n_random, config.seed).collect()}
-    per_fold = Rel(result).where("fold_id IS NOT NULL").agg(["instrument", "fold_id"], n="count(*)", strategy_return="exp(sum(ln(greatest(1 + net, 1e-12)))) - 1", bench_return="exp(sum(ln(greatest(1 + benchmark, 1e-12)))) - 1", sharpe=mt.sharpe_of("net", year)).df
+    per_fold = Rel(result).where("fold_id IS NOT NULL").agg(["instrument", "fold_id"], n="count(*)", strategy_return=mt.grown("net"), bench_return=mt.grown("benchmark"), sharpe=mt.sharpe_of("net", year)).df
     folds = per_fold.join(dg.log_loss(Rel(w.oos), ["instrument", "fold_id"]).df.drop("n"), ["instrument", "fold_id"], "left")
     return Evaluation(result, trades, table, luck, random, folds, n_trials if n_trials is not None else len(trial_sharpes))
 
