@@ -6,8 +6,11 @@ order status, and hourly bars by type of event. Values are rounded where engines
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,7 @@ from tidegauge.operators import labels as lb
 from tidegauge.operators import metrics as mt
 from tidegauge.operators import models as md
 from tidegauge.operators import rules
+from tidegauge.operators import shap as sh
 from tidegauge.plans import experiment as ex
 from tidegauge.plans.config import EnsembleConfig, ExperimentConfig, FeatureConfig, FeatureSpec, LabelConfig, MetaConfig, ModelConfig, WalkForwardConfig
 from tidegauge.sources import bars as br
@@ -207,21 +211,32 @@ by_relation("leak_correlation", lambda r: fo.label_correlation(lb.fixed_horizon(
 # walk-forward
 
 
-def _folds(mode: str, sf_dir: str | None = None) -> list[fo.Fold]:
-    return fo.folds(2100, mode, 750, 250, 250, 5)
+FOLD_COLUMNS = ["instrument", "fold_id", "train_first", "train_last", "test_first", "test_last"]
+WINDOWS = (750, 250, 250, 5)
 
 
-def _membership(r: Rel, mode: str, spark: SparkSession | None) -> Rel:
-    made = _folds(mode)
-    ranges = Rel(fo.fold_table(spark, made)) if r.spark else Rel(fo.fold_sql(made))
-    return fo.members(lb.fixed_horizon(r, 5), ranges)
+def _membership(r: Rel, mode: str) -> Rel:
+    return fo.members(lb.fixed_horizon(r, 5), fo.fold_ranges(r, mode, *WINDOWS))
 
 
+#: Written by hand from what folds are: the i-th trains up to 750 + 250 i and tests from 5 later on.
+FOLDS_SQL = f"""WITH b AS (SELECT *, lead(ts, 5) OVER (PARTITION BY instrument ORDER BY ts) AS t1, lead(pos, 5) OVER (PARTITION BY instrument ORDER BY ts) AS t1_pos FROM {STATUS}),
+  n AS (SELECT instrument AS of, count(*) AS n FROM b GROUP BY instrument),
+  f AS (SELECT of, i AS fold_id, CASE WHEN '{{mode}}' = 'expanding' THEN 0 ELSE 250 * i END AS train_start, 750 + 250 * i AS train_end, 755 + 250 * i AS test_start, least(n, 1005 + 250 * i) AS test_end FROM n, generate_series(0, 1000) AS g(i) WHERE 755 + 250 * i < n),
+  m AS (SELECT b.instrument, b.pos, b.ts, f.fold_id, CASE WHEN b.pos >= f.test_start THEN 'test' ELSE 'train' END AS role FROM b JOIN f ON f.of = b.instrument WHERE b.pos >= f.test_start AND b.pos < f.test_end OR b.pos >= f.train_start AND b.pos < f.train_end AND b.t1_pos < f.test_start)
+"""
+_TIMES = ", ".join(f"{g}(ts) FILTER (WHERE role = '{role}') AS {role}_{name}" for role in ("train", "test") for g, name in (("min", "first"), ("max", "last")))
 for _mode in ("rolling", "expanding"):
-    query(f"folds_{_mode}", fo.summary(_membership(Rel(STATUS), _mode, None)).select("instrument", "fold_id", "train_first", "train_last", "test_first", "test_last", n_train="cast(n_train as bigint)", n_test="cast(n_test as bigint)").sql)(
-        lambda spark, sf_dir, m=_mode: fo.summary(_membership(Rel(bars_status(spark, sf_dir)), m, spark)).select("instrument", "fold_id", "train_first", "train_last", "test_first", "test_last", n_train="cast(n_train as bigint)", n_test="cast(n_test as bigint)").df
+    query(f"folds_{_mode}", f"{FOLDS_SQL.format(mode=_mode)} SELECT instrument, fold_id, {_TIMES}, count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'test') AS n_test FROM m GROUP BY instrument, fold_id")(
+        lambda spark, sf_dir, m=_mode: fo.summary(_membership(Rel(bars_status(spark, sf_dir)), m)).select(*FOLD_COLUMNS, n_train="cast(n_train as bigint)", n_test="cast(n_test as bigint)").df
     )
-query("fold_membership_purged", _membership(Rel(STATUS), "rolling", None).select(*KEY, "fold_id", "role").sql)(lambda spark, sf_dir: _membership(Rel(bars_status(spark, sf_dir)), "rolling", spark).select(*KEY, "fold_id", "role").df)
+query("fold_membership_purged", f"{FOLDS_SQL.format(mode='rolling')} SELECT instrument, pos, fold_id, role FROM m")(lambda spark, sf_dir: _membership(Rel(bars_status(spark, sf_dir)), "rolling").select(*KEY, "fold_id", "role").df)
+
+
+@query("n_folds", f"SELECT instrument, (count(*) - 756) // 250 + 1 AS n_folds FROM {STATUS} GROUP BY instrument HAVING count(*) > 755")
+def n_folds(spark, sf_dir):
+    return fo.fold_ranges(Rel(bars_status(spark, sf_dir)), "rolling", *WINDOWS).agg(["of"], n_folds="count(*)").select("n_folds", instrument="of").df
+
 
 # backtests of a rule
 
@@ -370,7 +385,10 @@ MODELS: dict[str, dict] = {
     "wf_sequence_oos": {"family": "lstm", "params": {"seq_len": 5, "hidden": 8, "epochs": 20}},
     "vote_soft": {"ensemble": EnsembleConfig(True, "soft", ["logreg", "random_forest"], {"random_forest": {"n_estimators": 10}})},
     "stacking": {"ensemble": EnsembleConfig(True, "stacking", ["logreg", "random_forest"], {"random_forest": {"n_estimators": 10}}, 3)},
+    "vote_hard": {"ensemble": EnsembleConfig(True, "hard", ["logreg", "random_forest"], {"random_forest": {"n_estimators": 10}})},
+    "wf_leafwise_oos": {"family": "lightgbm", "params": {"n_estimators": 5, "num_leaves": 7}},
     "meta_label": {"family": "logreg", "meta": MetaConfig(True, "momentum", {"window": 20})},
+    "meta_label_model": {"family": "logreg", "meta": MetaConfig(True, "model", {}, "logreg", {"l1_ratio": 0.0})},
 }
 for _name, _model in MODELS.items():
     query(_name)(lambda spark, sf_dir, m=_model: _walked(spark, sf_dir, **m)[1].oos)
@@ -394,21 +412,277 @@ def feat_hmm_state(spark, sf_dir):
     return ft.feature(bars_daily(spark, sf_dir), "hmm_state", refit=400, min_train=500, n_iter=10)
 
 
-@query("mutual_information")
+_MI_ROWS = fo.trimmed(lb.fixed_horizon(Rel(DAILY).steps(lambda s: {k.replace(".", "_"): e for k, e in ft.matrix(s, SMALL.features.features).items()}), 5), _MI_NAMES := [k.replace(".", "_") for k in ft.matrix(Steps(), SMALL.features.features)])
+
+
+def _information_sql(x: str) -> str:
+    cuts = ", ".join(f"quantile_cont({x}, {i / 16}) AS c{i}" for i in range(1, 16))
+    bin_ = " + ".join(f"CASE WHEN {x} > c{i} THEN 1 ELSE 0 END" for i in range(1, 16))
+    return f"""SELECT '{x}' AS feature, round(sum(n / t * ln(n * t / (nb * ny))), 6) + 0.0 AS information FROM (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY label) AS ny
+      FROM (SELECT {bin_} AS b, label, count(*)::DOUBLE AS n FROM r, (SELECT {cuts} FROM r) WHERE {x} IS NOT NULL AND label IS NOT NULL GROUP BY ALL))"""
+
+
+@query("mutual_information", f"WITH r AS (SELECT * FROM {_MI_ROWS.source}) " + " UNION ALL ".join(map(_information_sql, _MI_NAMES)))
 def mutual_information(spark, sf_dir):
     ds = ex.prepare(bars_daily(spark, sf_dir), SMALL)
-    return dg.mutual_information(ds.rows, ds.names)
+    return Rel(dg.mutual_information(ds.rows, ds.names)).rounded("information", keep=["feature"]).df
 
 
-@query("kpss")
+@query(
+    "kpss",
+    f"""WITH b AS (SELECT instrument, pos, close - avg(close) OVER (PARTITION BY instrument) AS e FROM {STATUS}), l AS (SELECT ceil(12 * power(max(n) / 100.0, 0.25))::BIGINT AS l FROM (SELECT count(*) AS n FROM b GROUP BY instrument)),
+      s AS (SELECT instrument, sum(w * w) AS eta, count(*) AS n FROM (SELECT instrument, sum(e) OVER (PARTITION BY instrument ORDER BY pos) AS w FROM b) GROUP BY instrument),
+      v AS (SELECT x.instrument, sum(CASE WHEN x.pos = y.pos THEN x.e * y.e ELSE 2 * (1 - (x.pos - y.pos) / (l + 1)) * x.e * y.e END) AS v FROM l, b x JOIN b y ON x.instrument = y.instrument AND y.pos BETWEEN x.pos - (SELECT l FROM l) AND x.pos GROUP BY x.instrument)
+      SELECT instrument, round(eta / n / v, 6) + 0.0 AS statistic FROM s JOIN v USING (instrument)""",
+)
 def kpss(spark, sf_dir):
-    return dg.kpss(bars_status(spark, sf_dir))
+    return Rel(dg.kpss(bars_status(spark, sf_dir))).rounded("statistic", keep=["instrument"]).df
 
 
-@query("adf")
+@query(
+    "adf",
+    f"""WITH d AS (SELECT instrument, pos, close - lag(close) OVER w AS dy, lag(close) OVER w AS y1 FROM {STATUS} WINDOW w AS (PARTITION BY instrument ORDER BY ts)), r AS (SELECT *, lag(dy) OVER (PARTITION BY instrument ORDER BY pos) AS d1 FROM d),
+      m AS (SELECT instrument, count(*) AS n, var_pop(y1) AS yy, var_pop(d1) AS dd, covar_pop(y1, d1) AS yd, covar_pop(y1, dy) AS y, covar_pop(d1, dy) AS d, var_pop(dy) AS v FROM r WHERE d1 IS NOT NULL GROUP BY instrument),
+      c AS (SELECT *, (y * dd - d * yd) / (yy * dd - yd * yd) AS b1, (d * yy - y * yd) / (yy * dd - yd * yd) AS b2 FROM m)
+      SELECT instrument, round(b1 / sqrt((v - b1 * y - b2 * d) / (n - 3) / (yy - yd * yd / dd)), 4) + 0.0 AS statistic FROM c""",
+)
 def adf(spark, sf_dir):
-    return spark.createDataFrame([tuple(r.values()) for r in dg.adf(bars_status(spark, sf_dir))], "instrument string, statistic double, p_value double")
+    told = spark.createDataFrame([(r["instrument"], r["statistic"]) for r in dg.adf(bars_status(spark, sf_dir))], "instrument string, statistic double")
+    return Rel(told).rounded("statistic", digits=4, keep=["instrument"]).df
+
+
+@query("adf_best_lags")
+def adf_best_lags(spark, sf_dir):
+    return spark.createDataFrame([(r["instrument"], r["lags"], r["statistic"], r["p_value"], r["aic"]) for r in dg.adf_best(bars_status(spark, sf_dir))], "instrument string, lags long, statistic double, p_value double, aic double")
+
+
+# operators that are called as they are, with SQL written by hand
+
+
+def _window_sql(name: str, n: int, each: str, value: str, ready: str = "y.v") -> str:
+    """A feature of the last n bars by joining every bar with them; c0 is the close before, v what each bar gives."""
+    return f"""WITH b AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY ts) AS c0 FROM {STATUS}), e AS (SELECT *, {each} FROM b)
+      SELECT x.instrument, x.pos, round(CASE WHEN count({ready}) = {n} THEN {value} END, 6) + 0.0 AS {name} FROM e x JOIN e y ON y.instrument = x.instrument AND y.pos BETWEEN x.pos - {n - 1} AND x.pos GROUP BY x.instrument, x.pos"""
+
+
+_K = 0.34 / (1.34 + 21 / 19)
+SQL["feat_parkinson"] = _window_sql("parkinson", 20, "ln(high / low) AS v", "sqrt(sum(y.v * y.v) / 20 / (4 * ln(2)))")
+SQL["feat_garman_klass"] = _window_sql("garman_klass", 20, "ln(high / low) ** 2 / 2 - (2 * ln(2) - 1) * ln(close / open) ** 2 AS v", "sqrt(greatest(sum(y.v) / 20, 0))")
+SQL["feat_yang_zhang"] = _window_sql("yang_zhang", 20, "ln(open / c0) AS v, ln(close / open) AS d, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs", f"sqrt(greatest(var_samp(y.v) + {_K!r} * var_samp(y.d) + {1 - _K!r} * avg(y.rs), 0))")
+SQL["feat_cci"] = _window_sql("cci", 20, "(high + low + close) / 3 AS v", "(any_value(x.v) - avg(y.v)) / nullif(0.015 * list_avg(list_transform(list(y.v), lambda t: abs(t - list_avg(list(y.v))))), 0)").replace("list_transform(list(y.v), lambda t: abs(t - list_avg(list(y.v))))", "list_transform(list(y.v), lambda t: abs(t - avg(y.v)))")
+SQL["feat_cmf"] = _window_sql("cmf", 20, "(2 * close - low - high) / nullif(high - low, 0) * volume AS v", "sum(y.v) / nullif(sum(y.volume), 0)")
+SQL["feat_amihud"] = _window_sql("amihud", 20, "abs(close / c0 - 1) / nullif(close * volume, 0) AS v", "ln(avg(y.v) * 1e9 + 1e-12)")
+SQL["feat_volume_z"] = _window_sql("volume_z", 20, "volume AS v", "(any_value(x.volume) - avg(y.v)) / nullif(stddev_samp(y.v), 0)")
+SQL["feat_vwap_distance"] = _window_sql("vwap_distance", 20, "(high + low + close) / 3 * volume AS v", "any_value(x.close) * sum(y.volume) / nullif(sum(y.v), 0) - 1")
+SQL["feat_realised_vol"] = _window_sql("realised_vol", 20, "ln(close / c0) AS v", "stddev_samp(y.v)")
+SQL["feat_williams_r"] = _window_sql("williams_r", 14, "high AS v", "-100 * (max(y.high) - any_value(x.close)) / nullif(max(y.high) - min(y.low), 0)")
+_RANGE_SQL = f"""WITH RECURSIVE b AS (SELECT *, greatest(high, coalesce(c0, high)) - least(low, coalesce(c0, low)) AS tr FROM (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY ts) AS c0 FROM {STATUS})),
+  w(instrument, pos, y) AS (SELECT instrument, pos, tr FROM b WHERE pos = 0 UNION ALL SELECT b.instrument, b.pos, w.y + (b.tr - w.y) / 14 FROM w JOIN b ON b.instrument = w.instrument AND b.pos = w.pos + 1)"""
+SQL["feat_atr"] = f"{_RANGE_SQL} SELECT instrument, pos, round(CASE WHEN pos >= 13 THEN y END, 6) + 0.0 AS atr FROM w"
+SQL["feat_natr"] = f"{_RANGE_SQL} SELECT instrument, pos, round(CASE WHEN pos >= 13 THEN y / close END, 6) + 0.0 AS natr FROM w JOIN b USING (instrument, pos)"
+
+# a rule's predictions from bar FROM on, evaluated as a walk would be
+FROM = 400
+RULED = replace(SMALL, backtest=replace(SMALL.backtest, costs=replace(SMALL.backtest.costs, slippage_atr_frac=0.1)))
+
+
+def _evaluated(spark: SparkSession, sf_dir: str) -> tuple[ex.Dataset, md.Walk, ex.Evaluation]:
+    bars = bars_status(spark, sf_dir)
+    rows = predicted(Rel(bars)).where(f"pos >= {FROM}").steps(lambda s: {"fold_id": f"(pos - {FROM}) div 250", "p_neutral": "cast(0 as double)"}).df
+    oos = rows.select("instrument", "ts", "pos", "y_true", "p_long", "p_short", "p_neutral", "y_pred", "fold_id")
+    ds, w = ex.Dataset(bars, [], bars), md.Walk(oos, [], 0.0)
+    return ds, w, ex.evaluate(ds, w, RULED, [0.01, 0.03, -0.02], n_random=5)
+
+
+_EVALUATED_SQL = f"""{_RANGE_SQL}, z AS (SELECT *, (close - avg(close) OVER k) / stddev_samp(close) OVER k AS z FROM b WINDOW k AS (PARTITION BY instrument ORDER BY pos ROWS 19 PRECEDING)),
+  p AS (SELECT z.*, 1 / (1 + exp(z)) AS p_long, lead(close, 5) OVER (PARTITION BY instrument ORDER BY pos) / close - 1 AS ret, coalesce(lag(w.y / close) OVER (PARTITION BY instrument ORDER BY pos), 0) AS slip FROM z JOIN w USING (instrument, pos)),
+  h AS (SELECT *, CASE WHEN p_long > 0.55 THEN 1 WHEN 1 - p_long > 0.55 THEN -1 ELSE 0 END AS want, CASE WHEN ret > 0 THEN 1 WHEN ret <= 0 THEN -1 END AS y_true FROM p WHERE pos >= {FROM}),
+  q AS (SELECT *, coalesce(lag(want) OVER v, 0) AS position, coalesce(lag(want, 2) OVER v, 0) AS before, coalesce(lead(open) OVER v / open - 1, 0) AS earned, coalesce(close / lag(close) OVER v - 1, 0) AS benchmark, (pos - {FROM}) // 250 AS fold_id FROM h WINDOW v AS (PARTITION BY instrument ORDER BY pos)),
+  net AS (SELECT *, position * earned - abs(position - before) * (0.00065 + 0.1 * slip) AS net FROM q)"""
+
+
+@query(
+    "evaluation_of_rule",
+    f"""{_EVALUATED_SQL} SELECT instrument, fold_id, count(*) AS n, round(product(1 + net) - 1, 5) + 0.0 AS strategy_return, round(product(1 + benchmark) - 1, 5) + 0.0 AS bench_return, round(avg(net) / stddev_samp(net) * sqrt(252), 4) + 0.0 AS sharpe,
+      round(-avg(CASE WHEN y_true = 1 THEN ln(p_long) WHEN y_true = -1 THEN ln(1 - p_long) END), 5) + 0.0 AS log_loss, round(avg(CASE WHEN y_true = CASE WHEN p_long > 0.5 THEN 1 ELSE -1 END THEN 1.0 WHEN y_true IS NOT NULL THEN 0.0 END), 5) + 0.0 AS accuracy FROM net GROUP BY instrument, fold_id""",
+)
+def evaluation_of_rule(spark, sf_dir):
+    folds = _evaluated(spark, sf_dir)[2].folds
+    return folds.select("instrument", "fold_id", "n", *((F.round(c, d) + 0.0).alias(c) for c, d in (("strategy_return", 5), ("bench_return", 5), ("log_loss", 5), ("accuracy", 5), ("sharpe", 4))))
+
+
+@query("experiment_record", f"{_EVALUATED_SQL} SELECT instrument, 'logreg' AS model_family, 0.1::DOUBLE AS cost_slippage_atr, min(ts) AS oos_start, max(ts) AS oos_end, count(*) AS m_n_bars, round(avg(net) / stddev_samp(net), 5) + 0.0 AS sharpe_per_bar, round(avg(CASE WHEN position <> 0 THEN 1.0 ELSE 0.0 END), 5) + 0.0 AS m_avg_exposure FROM net GROUP BY instrument")
+def experiment_record(spark, sf_dir):
+    ds, w, ev = _evaluated(spark, sf_dir)
+    made = [ex.record(RULED, ds, w, ev, i) for i in sorted(ev.metrics)]
+    rows = [(i, r["model_family"], r["cost_slippage_atr"], r["oos_start"], r["oos_end"], r["m_n_bars"], round(r["sharpe_per_bar"], 5) + 0.0, round(r["m_avg_exposure"], 5) + 0.0) for i, r in zip(sorted(ev.metrics), made, strict=True)]
+    return spark.createDataFrame(rows, "instrument string, model_family string, cost_slippage_atr double, oos_start timestamp_ntz, oos_end timestamp_ntz, m_n_bars long, sharpe_per_bar double, m_avg_exposure double")
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or in local mode a temporary one."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='tidegauge-')}/{uuid.uuid4().hex}"
+
+
+#: Returns of the eight strategies by hand: a window, its standard score, the position of the bar before.
+_SERIES_SQL = "WITH b AS (SELECT * FROM " + DAILY + "), s AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS series, pos, ts, coalesce(lag(sign((close - m) / nullif(sd, 0))) OVER (ORDER BY pos), 0) * coalesce(close / lag(close) OVER (ORDER BY pos) - 1, 0) AS r FROM (SELECT *, CASE WHEN pos >= {n - 1} THEN avg(close) OVER k END AS m, CASE WHEN pos >= {n - 1} THEN stddev_samp(close) OVER k END AS sd FROM b WINDOW k AS (ORDER BY pos ROWS {n - 1} PRECEDING))"
+    for i, n in enumerate((5, 8, 10, 15, 20, 25, 30, 40))
+) + "), r AS (SELECT * FROM s WHERE pos >= 60)"
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> rl.RunLog:
+    """A log of the eight strategies; every other run has also an accuracy, and the runs a number of features that some leave open."""
+    log, bars = rl.RunLog(spark, _folder(spark)), bars_daily(spark, sf_dir)
+    series = _series(Rel(bars)).df.join(bars.select("pos", "ts"), "pos").cache()
+    for r in mt.moments(Rel(series), "r", "series").df.collect():
+        k = r["series"]
+        record = {"run_id": f"run{k}", "timestamp": datetime(2024, 1, 1 + k), "ticker": "ALL", "interval": "1d", "model_family": "rule" if k % 3 else "other", "label_scheme": "none", "wf_train": 750, "config_hash": f"c{k}", "m_sharpe": r["sr"] * 252**0.5, "sharpe_per_bar": r["sr"], "ret_skew": r["skew"], "ret_kurtosis": r["kurt"], "m_n_bars": r["n"]}
+        record |= {"oos_accuracy": 0.5} if k % 2 else {"oos_accuracy": 1}
+        log.append(record, series.where(F.col("series") == k).select("ts", F.col("r").alias("ret")))
+    series.unpersist()
+    return log
+
+
+def _phi(z: str) -> str:
+    """The normal distribution function in SQL: Simpson's rule over 100 steps from 0."""
+    h = f"(({z}) / 100)"
+    return f"(0.5 + {h} / 3 * list_sum(list_transform(range(0, 101), lambda i: CASE WHEN i IN (0, 100) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power(i * {h}, 2) / 2))) / sqrt(2 * pi()))"
+
+
+_MOMENTS_SQL = f"{_SERIES_SQL}, m AS (SELECT series, count(*) AS n, avg(r) / stddev_samp(r) AS sr, (avg(r ** 3) - 3 * avg(r) * avg(r * r) + 2 * avg(r) ** 3) / stddev_pop(r) ** 3 AS skew, (avg(r ** 4) - 4 * avg(r) * avg(r ** 3) + 6 * avg(r) ** 2 * avg(r * r) - 3 * avg(r) ** 4) / var_pop(r) ** 2 AS kurt FROM r GROUP BY series)"
+_BEST_OF_8 = mt.expected_max_sharpe(8, 1.0)
+_Z_SQL = f"{_MOMENTS_SQL}, z AS (SELECT *, (sr - {_BEST_OF_8!r} * (SELECT stddev_samp(sr) FROM m)) * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z, sr * sqrt(n - 1) / sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr) AS z0 FROM m)"
+
+
+@query("leaderboard", f"{_Z_SQL} SELECT 'run' || series AS run_id, CASE WHEN series % 3 <> 0 THEN 'rule' ELSE 'other' END AS model_family, round(sr * sqrt(252), 5) + 0.0 AS m_sharpe, round({_phi('z')}, 4) + 0.0 AS dsr_now, n::DOUBLE AS m_n_bars, CASE WHEN series % 2 = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS oos_accuracy, 8::BIGINT AS n_trials_now FROM z")
+def leaderboard(spark, sf_dir):
+    board = rl.leaderboard(_logged(spark, sf_dir).runs())
+    return board.select("run_id", "model_family", F.round("m_sharpe", 5).alias("m_sharpe"), F.round("dsr_now", 4).alias("dsr_now"), "m_n_bars", "oos_accuracy", F.col("n_trials_now").cast("long").alias("n_trials_now"))
+
+
+@query("run_log", f"{_MOMENTS_SQL} SELECT 'run' || series AS run_id, make_timestamp(2024, 1, series + 1, 0, 0, 0) AS timestamp, 'c' || series AS config_hash, 750.0::DOUBLE AS wf_train, n::DOUBLE AS m_n_bars, round(sr, 6) + 0.0 AS sharpe_per_bar, CASE WHEN series % 2 = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS oos_accuracy FROM m")
+def run_log(spark, sf_dir):
+    return _logged(spark, sf_dir).runs().select("run_id", "timestamp", "config_hash", "wf_train", "m_n_bars", F.round("sharpe_per_bar", 6).alias("sharpe_per_bar"), "oos_accuracy")
+
+
+@query("returns_matrix", f"{_SERIES_SQL} SELECT ts, " + ", ".join(f"round(max(r) FILTER (WHERE series = {k}), 6) + 0.0 AS run{k}" for k in (0, 3, 7)) + " FROM r GROUP BY ts")
+def returns_matrix(spark, sf_dir):
+    names = [f"run{k}" for k in (0, 3, 7)]
+    return Rel(_logged(spark, sf_dir).returns_matrix(names)).rounded(*names, keep=["ts"]).df
+
+
+query("pbo_across_runs", SQL["pbo_cscv"])(lambda spark, sf_dir: Rel(rl.pbo_across(_logged(spark, sf_dir), [f"run{k}" for k in range(8)], 8)).rounded("pbo", keep=["n_combinations"]).df)
+
+
+@query("parallel_coordinates", f"{_MOMENTS_SQL}, o AS (SELECT *, CASE WHEN series % 3 <> 0 THEN 'rule' ELSE 'other' END AS f, row_number() OVER (ORDER BY sr DESC) AS i FROM m), c AS (SELECT f, row_number() OVER (ORDER BY min(i)) - 1 AS model_code FROM o GROUP BY f) SELECT 750.0::DOUBLE AS wf_train, round(sr * sqrt(252), 5) + 0.0 AS m_sharpe, CASE WHEN series % 2 = 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS oos_accuracy, model_code, 0::BIGINT AS label_code FROM o JOIN c USING (f)")
+def parallel_coordinates(spark, sf_dir):
+    made = rl.parallel_coordinates(rl.leaderboard(_logged(spark, sf_dir).runs()))
+    return made.select("wf_train", F.round("m_sharpe", 5).alias("m_sharpe"), "oos_accuracy", F.col("model_code").cast("long").alias("model_code"), F.col("label_code").cast("long").alias("label_code"))
+
+
+@query("deflated_sharpe", f"{_Z_SQL} SELECT series, round({_BEST_OF_8!r} * (SELECT stddev_samp(sr) FROM m), 6) + 0.0 AS sr0, round({_phi('z0')}, 4) + 0.0 AS psr, round({_phi('z')}, 4) + 0.0 AS dsr, {_phi('z')} >= 0.95 AS significant FROM z")
+def deflated_sharpe(spark, sf_dir):
+    facts = mt.moments(_series(Rel(bars_daily(spark, sf_dir))), "r", "series").df.collect()
+    told = [(r["series"], mt.deflated_sharpe(r["sr"], r["n"], r["skew"], r["kurt"], [x["sr"] for x in facts])) for r in facts]
+    return spark.createDataFrame([(int(k), round(d["sr0"], 6), round(d["psr"], 4), round(d["dsr"], 4), d["significant"]) for k, d in told], "series long, sr0 double, psr double, dsr double, significant boolean")
+
+
+# Quantiles of the normal distribution at 1 - 1/n and 1 - 1/(n e), from tables.
+QUANTILES = [(2, 0.0, 0.900452597), (10, 1.281551566, 1.789241765), (100, 2.326347874, 2.680210445), (1000, 3.090232306, 3.375895391)]
+
+
+@query("expected_max_sharpe", f"SELECT n::INT AS n_trials, round(0.2 * ((1 - 0.5772156649) * a + 0.5772156649 * b), 6) + 0.0 AS best FROM (VALUES {', '.join(map(str, QUANTILES))}) AS t(n, a, b)")
+def expected_max_sharpe(spark, sf_dir):
+    return spark.createDataFrame([(n, round(mt.expected_max_sharpe(n, 0.04), 6)) for n, _, _ in QUANTILES], "n_trials int, best double")
+
+
+@query(
+    "partial_autocorrelation",
+    f"""WITH r AS (SELECT instrument, pos, ln(close / lag(close) OVER (PARTITION BY instrument ORDER BY pos)) AS r FROM {STATUS}), d AS (SELECT instrument, pos, r - avg(r) OVER (PARTITION BY instrument) AS d FROM r WHERE r IS NOT NULL),
+      a AS (SELECT x.instrument, sum(x.d * y.d) FILTER (WHERE y.pos = x.pos - 1) / sum(x.d * y.d) FILTER (WHERE y.pos = x.pos) AS a, sum(x.d * y.d) FILTER (WHERE y.pos = x.pos - 2) / sum(x.d * y.d) FILTER (WHERE y.pos = x.pos) AS b, sum(x.d * y.d) FILTER (WHERE y.pos = x.pos - 3) / sum(x.d * y.d) FILTER (WHERE y.pos = x.pos) AS c FROM d x JOIN d y ON x.instrument = y.instrument AND y.pos BETWEEN x.pos - 3 AND x.pos GROUP BY x.instrument)
+      SELECT instrument, unnest([1, 2, 3]) AS lag, round(unnest([a, (b - a * a) / (1 - a * a), (a * a * a - 2 * a * b + a * b * b + c - a * a * c) / (1 - 2 * a * a + 2 * a * a * b - b * b)]), 6) + 0.0 AS pacf FROM a""",
+)
+def partial_autocorrelation(spark, sf_dir):
+    acf: dict[str, list[float]] = {}
+    for r in dg.autocorrelation(Rel(bars_status(spark, sf_dir)), 3).df.orderBy("instrument", "lag").collect():
+        acf.setdefault(r["instrument"], []).append(r["acf"])
+    return spark.createDataFrame([(k, i + 1, round(v, 6) + 0.0) for k, x in acf.items() for i, v in enumerate(dg.partial(x))], "instrument string, lag int, pacf double")
+
+
+@query(
+    "variance_inflation",
+    f"""WITH c AS (SELECT corr(open, close) AS ab, corr(open, volume) AS ac, corr(close, volume) AS bc FROM {STATUS}), d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM c)
+      SELECT unnest(['open', 'close', 'volume']) AS feature, round(unnest([(1 - bc * bc) / det, (1 - ac * ac) / det, (1 - ab * ab) / det]), 6) + 0.0 AS vif FROM d""",
+)
+def variance_inflation(spark, sf_dir):
+    told = dg.variance_inflation(bars_status(spark, sf_dir), ["open", "close", "volume"])
+    return spark.createDataFrame([(k, round(v, 6) + 0.0) for k, v in told.items()], "feature string, vif double")
+
+
+@query("normal_curve", f"WITH r AS (SELECT instrument, ln(close / lag(close) OVER (PARTITION BY instrument ORDER BY pos)) AS r FROM {STATUS}), f AS (SELECT instrument, count(r) AS n, avg(r) AS m, stddev_samp(r) AS s FROM r GROUP BY instrument) SELECT instrument, i::INT AS bin, round(n * 0.003 / (s * sqrt(2 * pi())) * exp(-power((-0.0585 + 0.003 * i - m) / s, 2) / 2), 4) + 0.0 AS expected FROM f, generate_series(0, 39) AS g(i)")
+def normal_curve(spark, sf_dir):
+    return dg.normal_curve(Rel(bars_status(spark, sf_dir))).rounded("expected", digits=4, keep=["instrument", "bin"]).df
+
+
+by_relation("probability_by_class", lambda r: dg.probability_by_class(predicted(r)).rounded("p_long", keep=[*KEY, "true_class"]))
+SQL["probability_by_class"] = f"SELECT instrument, pos, CASE WHEN ret > 0 THEN 1 ELSE -1 END AS true_class, round(1 / (1 + exp(z)), 6) + 0.0 AS p_long FROM (SELECT *, lead(close, 5) OVER (PARTITION BY instrument ORDER BY pos) / close - 1 AS ret, (close - avg(close) OVER k) / nullif(stddev_samp(close) OVER k, 0) AS z FROM {STATUS} WINDOW k AS (PARTITION BY instrument ORDER BY pos ROWS 19 PRECEDING)) WHERE pos >= 19 AND ret IS NOT NULL AND z IS NOT NULL"
+
+
+@query("future_spike", "SELECT unnest(['rsi', 'momentum', 'natr']) AS feature, 0::BIGINT AS changed")
+def future_spike(spark, sf_dir):
+    """How many earlier values of some features a spike at bar 300 changes."""
+    bars = bars_status(spark, sf_dir)
+    told = [(n, fo.looks_ahead(bars, lambda b, n=n: ft.feature(b, n), 300)) for n in ("rsi", "momentum", "natr")]
+    return spark.createDataFrame(told, "feature string, changed long")
+
+
+@query("bars_cached", f"SELECT instrument, ts, pos, open, high, low, close, volume FROM {DAILY}")
+def bars_cached(spark, sf_dir):
+    """Raw columns fetched once, normalised, kept, and read back; the second call has nothing to fetch with."""
+    root, asked = _folder(spark), ("ALL", "1d", "1992-01-01", "1999-01-01")
+    raw = bars_daily(spark, sf_dir).select(F.col("ts").alias("Date"), *(F.col(c).alias(f" {c.title()}") for c in ("open", "high", "low", "close", "volume")))
+    br.load(spark, root, *asked, fetch=lambda *_: raw)
+    return br.load(spark, root, *asked).select(*BAR_COLUMNS.split(", "))
+
+
+@query("bars_adjusted", f"SELECT s.instrument, s.ts, s.close, d.close AS close_raw, round(s.close / d.close, 6) + 0.0 AS adj_factor FROM {STATUS} s LEFT JOIN {DAILY} d ON d.ts = s.ts AND s.instrument = 'F'")
+def bars_adjusted(spark, sf_dir):
+    raw = bars_daily(spark, sf_dir).withColumn("instrument", F.lit("F"))
+    return Rel(br.adjusted(raw, bars_status(spark, sf_dir).select("instrument", "ts", "close"))).rounded("adj_factor", keep=["instrument", "ts", "close", "close_raw"]).df
+
+
+# models again: explained, saved, and of kinds that have no query above
+
+
+def _one_fold(spark: SparkSession, sf_dir: str, **model) -> tuple[ex.Dataset, md.Model, DataFrame]:
+    ds = ex.prepare(bars_daily(spark, sf_dir), SMALL)
+    lo = ds.rows.agg(F.min("pos")).first()[0]
+    known = ds.rows.where(F.col("pos").between(lo, lo + 899) & (F.col("t1_pos") < lo + 905))
+    return ds, md.build(ModelConfig(**model)).fit(known, ds.names), ds.rows.where(F.col("pos").between(lo + 905, lo + 1404))
+
+
+@query("tree_shap")
+def tree_shap(spark, sf_dir):
+    _, model, test = _one_fold(spark, sf_dir, ensemble=EnsembleConfig(True, "soft", ["logreg", "random_forest", "xgboost"], {"random_forest": {"n_estimators": 10, "max_depth": 4}, "xgboost": {"n_estimators": 5, "max_depth": 3}}))
+    out = None
+    for name, values in sh.explained(model, test, _folder(spark)):
+        one = sh.importance(values).withColumn("part", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
+@query("saved_model", "SELECT true AS same")
+def saved_model(spark, sf_dir):
+    """Whether a saved and loaded model scores every bar as it did."""
+    _, model, test = _one_fold(spark, sf_dir, family="random_forest", params={"n_estimators": 5, "class_weight": "balanced"})
+    path = _folder(spark)
+    model.save(spark, path)
+    a, b = (m.probabilities(test).select(*KEY, F.round("p_1", 9).alias("p")) for m in (model, md.load(spark, path)))
+    return spark.createDataFrame([(a.count() > 0 and not a.exceptAll(b).count(),)], "same boolean")
 
 
 def queries() -> dict[str, Query]:

@@ -70,6 +70,14 @@ class Rel:
             return Rel(self.df.unionByName(other.df))
         return Rel(f"(SELECT * FROM {self.source} UNION ALL BY NAME SELECT * FROM {other.source})")
 
+    def melted(self, keys: list[str], rows: list[dict[str, str]]) -> Rel:
+        """For each row the keys with one row for each of `rows`, name to expression."""
+        if self.spark:
+            each = ", ".join(f"struct({', '.join(f'{e} AS {n}' for n, e in r.items())})" for r in rows)
+            return Rel(self.df.select(*keys, F.expr(f"inline(array({each}))")))
+        each = ", ".join("{" + ", ".join(f"'{n}': {e}" for n, e in r.items()) + "}" for r in rows)
+        return Rel(f"(SELECT {', '.join(keys)}, unnest([{each}], recursive := true) FROM {self.source})")
+
     def rounded(self, *names: str, digits: int = 6, keep: list[str]) -> Rel:
         return self.select(*keep, **{n: f"round(cast({n} as double), {digits}) + 0.0" for n in names})
 

@@ -33,6 +33,11 @@ def log_loss(oos: Rel, keys: list[str], eps: float = 1e-15) -> Rel:
     return oos.where("y_true IS NOT NULL AND p_long IS NOT NULL").agg(keys, n="count(*)", log_loss=f"-avg(CASE WHEN y_true = 1 THEN ln({p}) ELSE ln(1 - {p}) END)", accuracy=f"avg({hit})", majority=f"greatest({up}, 1 - {up})")
 
 
+def probability_by_class(oos: Rel) -> Rel:
+    """p_long of every prediction with the class that came true."""
+    return oos.where("y_true IS NOT NULL AND p_long IS NOT NULL").select("instrument", "pos", "p_long", true_class="y_true")
+
+
 def calibration(oos: Rel, bins: int = 10) -> Rel:
     """Mean prediction and share of hits in bins of equal size by quantiles of p_long; a value on an edge goes below it."""
     rows = oos.where("y_true IS NOT NULL AND p_long IS NOT NULL")
@@ -83,11 +88,7 @@ def autocorrelation(bars: Rel, lags: int = 10) -> Rel:
     rows = returns(bars).where("r IS NOT NULL").steps(lambda s: {"d": f"r - {s.let('avg(r) OVER (PARTITION BY instrument)')}"})
     rows = rows.steps(lambda s: {f"p{k}": f"d * lag(d, {k}) OVER ({KEYS})" for k in range(1, lags + 1)})
     sums = rows.agg(["instrument"], n="count(*)", q="sum(d * d)", **{f"s{k}": f"sum(p{k})" for k in range(1, lags + 1)})
-    out = None
-    for k in range(1, lags + 1):
-        one = sums.select("instrument", lag=str(k), acf=f"s{k} / nullif(q, 0)", bound="1.96 / sqrt(n)")
-        out = one if out is None else out.union(one)
-    return out
+    return sums.melted(["instrument"], [{"lag": str(k), "acf": f"s{k} / nullif(q, 0)", "bound": "1.96 / sqrt(n)"} for k in range(1, lags + 1)])
 
 
 def partial(acf: list[float]) -> list[float]:
@@ -116,6 +117,14 @@ def histogram(bars: Rel, bins: int = 40, low: float = -0.06, high: float = 0.06)
     return returns(bars).where("r IS NOT NULL").steps(lambda s: {"bin": f"cast(least(greatest(floor((r - {s.num(low)}) / {s.num(width)}), 0), {bins - 1}) as bigint)"}).agg(["instrument", "bin"], n="count(*)")
 
 
+def normal_curve(bars: Rel, bins: int = 40, low: float = -0.06, high: float = 0.06) -> Rel:
+    """For each bin of histogram() how many log returns a normal distribution of their mean and deviation would put there, by its density at the middle."""
+    width = (high - low) / bins
+    facts = returns(bars).agg(["instrument"], n="count(r)", m="avg(r)", sd="stddev_samp(r)")
+    pdf = lambda x: f"n * {width!r} * exp(-power(({x!r} - m) / nullif(sd, 0), 2) / 2) / (nullif(sd, 0) * sqrt(2 * pi()))"
+    return facts.melted(["instrument"], [{"bin": str(i), "expected": pdf(low + (i + 0.5) * width)} for i in range(bins)])
+
+
 def label_drift(labels: Rel, window: int = 60, least: int = 20) -> Rel:
     """Trailing share of labels that are 1."""
     return labels.steps(lambda s: {"share": s.roll("avg", s.let("CASE WHEN label = 1 THEN cast(1 as double) WHEN label IS NOT NULL THEN cast(0 as double) END"), window, least)})
@@ -136,7 +145,7 @@ def adf_p(statistic: float) -> float:
     return 0.5 * math.erfc(-sum(c * statistic**i for i, c in enumerate(terms)) / math.sqrt(2))
 
 
-def adf(rows: DataFrame, x: str = "close", lags: int = 1) -> list[dict]:
+def adf(rows: DataFrame, x: str = "close", lags: int = 1, where: str | None = None) -> list[dict]:
     """Per instrument the unit root statistic with a constant and `lags` lagged changes, and its p value; at least 30 rows.
 
     The regression is from sums of products, one aggregation over all rows."""
@@ -147,6 +156,7 @@ def adf(rows: DataFrame, x: str = "close", lags: int = 1) -> list[dict]:
 
     names = ["one", "y1", *(f"d{k}" for k in range(1, lags + 1))]
     r = Rel(rows).steps(build).df.withColumn("one", F.lit(1.0)).dropna(subset=["dy", *names])
+    r = r.where(where) if where else r
     every = [*names, "dy"]
     sums = r.groupBy("instrument").agg(F.count("*").alias("n"), *(F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for i, a in enumerate(every) for b in every[i:])).collect()
     out = []
@@ -154,15 +164,31 @@ def adf(rows: DataFrame, x: str = "close", lags: int = 1) -> list[dict]:
         m = np.array([[row[f"{a}|{b}"] if f"{a}|{b}" in row else row[f"{b}|{a}"] for b in every] for a in every], float)
         k = len(names)
         if row["n"] < 30 or np.linalg.matrix_rank(m[:k, :k]) < k:
-            out.append({"instrument": row["instrument"], "statistic": math.nan, "p_value": math.nan})
+            out.append({"instrument": row["instrument"], "statistic": math.nan, "p_value": math.nan, "aic": math.nan})
             continue
         beta = np.linalg.solve(m[:k, :k], m[:k, k])
         s2 = (m[k, k] - beta @ m[:k, k]) / (row["n"] - k)
         t = float(beta[1] / math.sqrt(s2 * np.linalg.inv(m[:k, :k])[1, 1]))
-        out.append({"instrument": row["instrument"], "statistic": t, "p_value": adf_p(t)})
+        n, rss = row["n"], s2 * (row["n"] - k)
+        aic = n * (math.log(2 * math.pi * rss / n) + 1) + 2 * k
+        out.append({"instrument": row["instrument"], "statistic": t, "p_value": adf_p(t), "aic": aic})
     return out
 
 
+def adf_best(rows: DataFrame, x: str = "close", most: int = 4) -> list[dict]:
+    """adf() with the number of lagged changes, up to `most`, that has the least AIC over the bars that all of them can use."""
+
+    def build(s: Steps) -> dict[str, str]:
+        return {"usable": f"row_number() OVER ({KEYS}) > {most + 1}"}
+
+    kept = Rel(rows).steps(build).df
+    tried: dict[str, list[dict]] = {}
+    for lags in range(most + 1):
+        for r in adf(kept, x, lags, "usable"):
+            tried.setdefault(r["instrument"], []).append(r | {"lags": lags})
+    return [min(t, key=lambda r: (math.isnan(r["aic"]), r["aic"], r["lags"])) for _, t in sorted(tried.items())]
+
+
 def kpss(rows: DataFrame, x: str = "close", lags: int | None = None) -> DataFrame:
     """Per instrument the statistic of stationarity around a level, with a Bartlett window of 12 (n / 100)**0.25 lags."""
     n = rows.groupBy("instrument").count().agg(F.max("count")).first()[0] or 0
@@ -188,13 +214,10 @@ def min_stationary_d(bars: DataFrame, level: float = 0.05, threshold: float = 1e
 
 
 def correlations(rows: Rel, names: list[str]) -> Rel:
-    """Correlation of each pair of features over rows that have both."""
-    out = None
-    for i, a in enumerate(names):
-        for b in names[i + 1 :]:
-            one = rows.where(f"{a} IS NOT NULL AND {b} IS NOT NULL").agg(["instrument"], correlation=f"covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)").steps(lambda s, a=a, b=b: {"feature_a": f"'{a}'", "feature_b": f"'{b}'"})
-            out = one if out is None else out.union(one)
-    return out
+    """Correlation of each pair of features over rows that have both; one aggregation over all rows."""
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    sums = {f"r{k}": f"covar_pop({a}, {b}) / nullif(stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) * stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END), 0)" for k, (a, b) in enumerate(pairs)}
+    return rows.agg(["instrument"], **sums).melted(["instrument"], [{"correlation": f"r{k}", "feature_a": f"'{a}'", "feature_b": f"'{b}'"} for k, (a, b) in enumerate(pairs)])
 
 
 def alike(rows: Rel, names: list[str], limit: float = 0.9) -> Rel:

@@ -41,15 +41,24 @@ def fold_table(spark: SparkSession, made: list[Fold]) -> DataFrame:
     return spark.createDataFrame([(f.fold_id, f.train_start, f.train_end, f.test_start, f.test_end) for f in made], "fold_id long, train_start long, train_end long, test_start long, test_end long")
 
 
-def fold_sql(made: list[Fold]) -> str:
-    return f"(SELECT * FROM (VALUES {', '.join(f'({f.fold_id}, {f.train_start}, {f.train_end}, {f.test_start}, {f.test_end})' for f in made)}) AS t(fold_id, train_start, train_end, test_start, test_end))"
+def fold_ranges(bars: Rel, mode: str = "rolling", train: int = 750, test: int = 125, step: int = 125, embargo: int = 5) -> Rel:
+    """The folds of every instrument over all of its bars, a row each (of, fold_id and the ranges); none where bars are too few."""
+    n = bars.agg(["instrument"], n="max(pos) + 1")
+    many = f"n - {train + embargo} > 0"
+    div = bars.one("div", "//")
+    last = f"(n - {train + embargo + 1}) {div} {step}"
+    ids = bars.one(f"explode(sequence(0L, {last}))", f"unnest(generate_series(0, {last}))")
+    each = n.where(many).select("n", of="instrument", fold_id=ids)
+    end = f"({train} + fold_id * {step})"
+    return each.select("of", "fold_id", train_start="cast(0 as bigint)" if mode == "expanding" else f"fold_id * {step}", train_end=end, test_start=f"{end} + {embargo}", test_end=f"least(n, {end} + {embargo + test})")
 
 
 def members(rows: Rel, ranges: Rel, purge: bool = True) -> Rel:
     """fold_id and role (train, test) of each row; purged training rows, whose label is not known before the test, are left out."""
     known = " AND t1_pos IS NOT NULL AND t1_pos < test_start" if purge else ""
-    train = rows.between(ranges, f"pos >= train_start AND pos < train_end{known}").steps(lambda s: {"role": "'train'"})
-    return train.union(rows.between(ranges, "pos >= test_start AND pos < test_end").steps(lambda s: {"role": "'test'"}))
+    own = "instrument = of AND " if not ranges.spark or "of" in ranges.df.columns else ""
+    train = rows.between(ranges, f"{own}pos >= train_start AND pos < train_end{known}").steps(lambda s: {"role": "'train'"})
+    return train.union(rows.between(ranges, f"{own}pos >= test_start AND pos < test_end").steps(lambda s: {"role": "'test'"}))
 
 
 def summary(membership: Rel) -> Rel:
@@ -86,13 +95,42 @@ def check_alignment(a: DataFrame, b: DataFrame) -> None:
         raise LeakageError("features and labels are over different bars")
 
 
+def bars_hash(bars: DataFrame) -> str:
+    """Names the bars that a table is over: how many, and a sum of hashes of their keys and times."""
+    n, total = bars.agg(F.count("*"), F.sum(F.xxhash64("instrument", "pos", "ts").cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
+
+
+def marked(rows: DataFrame, names: list[str], bars: str, shift: int = 1) -> DataFrame:
+    """The features with what check_feature_matrix asks for, as metadata of their columns."""
+    return rows.select(*(F.col(c).alias(c, metadata={"shift": shift, "bars": bars}) if c in names else F.col(c) for c in rows.columns))
+
+
+def check_feature_matrix(rows: DataFrame, names: list[str], bars: DataFrame, least: int = 1) -> None:
+    """Raises LeakageError unless every feature says that it is shifted by `least` bars and made of these bars, and every row is one of them, once."""
+    own = None
+    for n in names:
+        told = rows.schema[n].metadata
+        if "shift" not in told:
+            raise LeakageError(f"{n} does not say by how much it is shifted")
+        if told["shift"] < least:
+            raise LeakageError(f"{n} is shifted by {told['shift']} bars, not {least}")
+        own = own or bars_hash(bars)
+        if told.get("bars", own) != own:
+            raise LeakageError(f"{n} is made of other bars")
+    keys = ["instrument", "pos", "ts"]
+    if rows.select(*keys).exceptAll(bars.select(*keys)).limit(1).count():
+        raise LeakageError("rows are no bars, or occur twice")
+
+
 def label_correlation(rows: Rel, names: list[str], target: str = "ret") -> Rel:
-    """How many pairs each feature has with the label's return, and their correlation."""
-    out = None
-    for name in names:
-        one = rows.where(f"{name} IS NOT NULL AND {target} IS NOT NULL").agg(["instrument"], n_pairs="count(*)", correlation=f"covar_pop({name}, {target}) / nullif(stddev_pop({name}) * stddev_pop({target}), 0)").steps(lambda s, x=name: {"feature": f"'{x}'"})
-        out = one if out is None else out.union(one)
-    return out
+    """How many pairs each feature has with the label's return, and their correlation; one aggregation over all rows."""
+    sums: dict[str, str] = {}
+    for i, x in enumerate(names):
+        a, b = f"CASE WHEN {target} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {target} END"
+        sums |= {f"n{i}": f"count({a})", f"r{i}": f"covar_pop({x}, {target}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"}
+    each = [{"feature": f"'{x}'", "n_pairs": f"n{i}", "correlation": f"r{i}"} for i, x in enumerate(names)]
+    return rows.agg(["instrument"], **sums).melted(["instrument"], each).where("n_pairs > 0")
 
 
 def check_labels_in_features(rows: Rel, names: list[str], limit: float = 0.98, least: int = 50) -> None:

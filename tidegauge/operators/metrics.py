@@ -160,3 +160,27 @@ def pbo(returns: Rel, n_blocks: int = 10, most: int = 2000, seed: int = 0, spark
 
 def pbo_share(combos: Rel) -> Rel:
     return combos.agg([], pbo="avg(CASE WHEN logit < 0 THEN cast(1 as double) ELSE cast(0 as double) END)", n_combinations="count(*)")
+
+
+# in words
+
+
+def dsr_verdict(dsr: float | None, trials: int) -> str:
+    if dsr is None or not math.isfinite(dsr):
+        return "There are too few bars to deflate the Sharpe ratio."
+    if dsr >= 0.95:
+        return f"Given {trials} trials, the true Sharpe ratio is above what the best of as many worthless ones would show with a probability of {dsr:.0%}."
+    return f"With a probability of only {dsr:.0%} this is more than the best of {trials} worthless trials would show: it may well be selection."
+
+
+def pbo_verdict(pbo: float | None) -> str:
+    if pbo is None or not math.isfinite(pbo):
+        return "Two logged runs over common bars are the least that the probability of overfitting can be told from."
+    side = "likelier than not" if pbo > 0.5 else "less likely than not"
+    return f"The best in sample falls behind the median out of sample with a probability of {pbo:.0%}: it is {side} to disappoint."
+
+
+def random_verdict(percentile: float | None, n: int) -> str:
+    if percentile is None or not math.isfinite(percentile):
+        return "There was nothing to shuffle."
+    return f"It beats {percentile:.0%} of {n} shuffles of its own positions" + (", which shows no skill." if percentile < 0.95 else ".")

@@ -6,19 +6,20 @@ has seen. Everything it learns, fillings and scales included, comes from its tra
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import time
-from abc import ABC, abstractmethod
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.ml import classification, feature
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.relation import Rel
@@ -49,6 +50,14 @@ class Prepared:
             made = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True) if scaler == "standard" else RobustScaler(inputCol="raw_features", outputCol="features", withCentering=True, relativeError=1e-4)
             self.scaler = made.fit(self.assembler.transform(self.filled(train)))
 
+    @classmethod
+    def of(cls, names: list[str], fill: dict, scaler) -> Prepared:
+        """From what another has learned."""
+        out = cls.__new__(cls)
+        out.names, out.fill, out.scaler = names, fill, scaler
+        out.assembler = VectorAssembler(inputCols=names, outputCol="raw_features", handleInvalid="skip")
+        return out
+
     def filled(self, rows: DataFrame) -> DataFrame:
         """Rows without any feature are left out; gaps are filled with what the training rows say."""
         return rows.where(F.coalesce(*self.names).isNotNull()).fillna(self.fill)
@@ -58,7 +67,29 @@ class Prepared:
         return self.scaler.transform(rows) if self.scaler else rows.withColumnRenamed("raw_features", "features")
 
 
-class Model(ABC):
+def _write_state(spark: SparkSession, path: str, state: dict) -> None:
+    spark.createDataFrame([(json.dumps(state, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
+
+
+def load(spark: SparkSession, path: str) -> Model:
+    """A saved model or ensemble."""
+    state = json.loads(spark.read.text(f"{path}/state").first()[0])
+    if "members" in state:
+        out = Ensemble(state["families"], state["method"], state["member_params"], state["folds"], seed=state["seed"], scaler=state["scaler"], imputer=state["imputer"])
+        out.models = [load(spark, f"{path}/member{i}") for i in range(state["members"])]
+        out.names, out.classes = state["names"], state["classes"]
+        if out.method == "stacking":
+            out.meta, out.meta_names = load(spark, f"{path}/meta"), state["meta_names"]
+        return out
+    out = family(state["family"], state["params"], state["seed"], state["scaler"], state["imputer"])
+    part = lambda k: getattr(feature if k == "scaled" else classification, state["parts"][k]).load(f"{path}/{k}")
+    out.names, out.classes = state["names"], state["classes"]
+    out.prepared = Prepared.of(out.names, state["fill"], part("scaled") if "scaled" in state["parts"] else None)
+    out.fitted = [part(k) for k in sorted(state["parts"]) if k != "scaled"]
+    return out
+
+
+class Model:
     """A family: how to fit, what can be tuned."""
 
     search: dict[str, list] = {}
@@ -66,8 +97,20 @@ class Model(ABC):
     def __init__(self, params: dict[str, Any] | None = None, seed: int = 42, scaler: str = "standard", imputer: str = "median"):
         self.params, self.seed, self.scaler, self.imputer = dict(params or {}), seed, scaler, imputer
 
-    @abstractmethod
-    def classifier(self, weight: float, n_features: int, n_classes: int): ...
+    def classifier(self, weight: float, n_features: int, n_classes: int):
+        """MLlib's estimator with the parameters of this family."""
+        raise ValueError(f"{type(self).__name__} has no estimator of its own")
+
+    def state(self) -> dict[str, Any]:
+        """What a saved model is besides its fitted parts, as JSON can hold it."""
+        return {"family": next((k for k, v in FAMILIES.items() if v is type(self)), ""), "params": self.params, "seed": self.seed, "scaler": self.scaler, "imputer": self.imputer, "names": self.names, "classes": self.classes, "fill": self.prepared.fill}
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted model as a folder of MLlib models and one JSON text, in whatever store the path names."""
+        parts = {f"fitted{i}": m for i, m in enumerate(self.fitted)} | ({"scaled": self.prepared.scaler} if self.prepared.scaler else {})
+        for name, m in parts.items():
+            m.write().overwrite().save(f"{path}/{name}")
+        _write_state(spark, path, self.state() | {"parts": {k: type(m).__name__ for k, m in parts.items()}})
 
     def fit(self, train: DataFrame, names: list[str]) -> Model:
         """train has the features, label and weight; rows without label teach nothing."""
@@ -77,8 +120,12 @@ class Model(ABC):
         self.classes = sorted(int(r["label"]) for r in seen)
         if sum(r["n"] for r in seen) < 20 or len(seen) < 2:
             raise ValueError("a model needs 20 labelled rows and two classes")
+        if self.params.get("class_weight", "none") != "none":  # every class weighs as much as every other
+            each = sum(r["n"] for r in seen) / len(seen)
+            share = F.coalesce(*(F.when(F.col("label") == r["label"], F.lit(each / r["n"])) for r in seen))
+            rows = rows.withColumn("weight", F.col("weight") * share)
         ready = self.prepared(rows).select("features", "label", "weight").cache()
-        total = sum(r["w"] for r in seen)
+        total = ready.agg(F.sum("weight")).first()[0]
         try:
             self.fitted = self._fit(ready, total, len(names))
         finally:
@@ -97,7 +144,7 @@ class Model(ABC):
 
 
 class Logistic(Model):
-    search = {"C": [0.01, 0.1, 1.0, 10.0], "l1_ratio": [0.0, 0.5, 1.0]}
+    search = {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0]}
 
     def classifier(self, weight, n_features, n_classes):
         p = self.params
@@ -105,11 +152,11 @@ class Logistic(Model):
 
 
 class Forest(Model):
-    search = {"max_depth": [3, 5, 6, 8], "min_samples_leaf": [10, 20, 50]}
+    search = {"n_estimators": [100, 200, 300], "max_depth": [3, 5, 6, 8, 12], "min_samples_leaf": [5, 10, 20, 50, 100], "max_features": ["sqrt", "log2", "0.5"]}
 
     def classifier(self, weight, n_features, n_classes):
         p = self.params
-        return RandomForestClassifier(weightCol="weight", numTrees=p.get("n_estimators", 100), maxDepth=min(30, p.get("max_depth", 6)), minInstancesPerNode=p.get("min_samples_leaf", 20), featureSubsetStrategy=p.get("max_features", "sqrt"), seed=self.seed)
+        return RandomForestClassifier(weightCol="weight", numTrees=p.get("n_estimators", 300), maxDepth=min(30, p.get("max_depth", 6)), minInstancesPerNode=p.get("min_samples_leaf", 20), featureSubsetStrategy=p.get("max_features", "sqrt"), seed=self.seed)
 
 
 class ExtraTrees(Forest):
@@ -122,12 +169,12 @@ class ExtraTrees(Forest):
 class Boosted(Model):
     """Gradient-boosted trees, one against the rest where there are three classes."""
 
-    search = {"learning_rate": [0.03, 0.1], "max_depth": [2, 3, 4]}
+    search = {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.03, 0.1, 0.2], "max_depth": [2, 3, 4, 6], "subsample": [0.5, 0.8, 1.0], "colsample_bytree": [0.5, 0.8, 1.0], "min_child_weight": [1, 5, 10, 20]}
     depth = 4
 
     def classifier(self, weight, n_features, n_classes):
         p = self.params
-        return GBTClassifier(weightCol="weight", maxIter=p.get("n_estimators", 50), stepSize=p.get("learning_rate", 0.03), maxDepth=p.get("max_depth", self.depth), subsamplingRate=p.get("subsample", 0.8), featureSubsetStrategy=str(p.get("colsample_bytree", 0.8)), seed=self.seed)
+        return GBTClassifier(weightCol="weight", maxIter=p.get("n_estimators", 50), stepSize=p.get("learning_rate", 0.03), maxDepth=p.get("max_depth", self.depth), minInstancesPerNode=max(1, int(p.get("min_child_weight", 1))), subsamplingRate=p.get("subsample", 0.8), featureSubsetStrategy=str(p.get("colsample_bytree", 0.8)), seed=self.seed)
 
     def _fit(self, ready, total, n):
         if len(self.classes) == 2:
@@ -201,8 +248,15 @@ class Ensemble(Model):
         super().__init__({}, **how)
         self.families, self.method, self.member_params, self.n_folds = members, method, member_params or {}, folds
 
-    def classifier(self, *_):
-        raise NotImplementedError
+    def save(self, spark, path):
+        """Members in folders of their own, and of stacking also the model over them."""
+        for i, m in enumerate(self.models):
+            m.save(spark, f"{path}/member{i}")
+        state = {"members": len(self.models), "families": self.families, "method": self.method, "member_params": self.member_params, "folds": self.n_folds, "seed": self.seed, "scaler": self.scaler, "imputer": self.imputer, "names": self.names, "classes": self.classes}
+        if self.method == "stacking":
+            self.meta.save(spark, f"{path}/meta")
+            state["meta_names"] = self.meta_names
+        _write_state(spark, path, state)
 
     def _members(self) -> list[Model]:
         return [family(f, self.member_params.get(f), self.seed + i, self.scaler, self.imputer) for i, f in enumerate(self.families)]
@@ -246,6 +300,13 @@ def with_side(rows: DataFrame, rule: str, params: dict | None = None) -> DataFra
     return Rel(rows).steps(lambda s: {"side": rules.side(s, rule, **(params or {}))}).df
 
 
+def model_side(primary: Model, train: DataFrame, names: list[str], rows: DataFrame) -> DataFrame:
+    """side: what a primary model, fitted on the training rows, thinks likelier; 0 where it cannot tell."""
+    told = signals(primary.fit(train, names).probabilities(rows), primary.classes)
+    side = told.select(*KEYS, F.signum(F.col("p_long") - F.col("p_short")).cast("int").alias("side"))
+    return rows.join(side, KEYS, "left").fillna({"side": 0})
+
+
 def meta_labels(rows: DataFrame) -> DataFrame:
     """label becomes 1 where the primary side was right and -1 where it was wrong, null where it had none."""
     return rows.withColumn("label", F.when(F.col("side") != 0, F.when(F.col("label") * F.col("side") > 0, 1).when(F.col("label").isNotNull(), -1)))
@@ -311,16 +372,16 @@ def build(config, seed: int = 42) -> Model:
     return family(config.family, config.params, **how)
 
 
-def walk_forward(rows: DataFrame, names: list[str], folds: list[Fold], make: Callable[[], Model], meta: tuple[str, dict] | None = None, threads: int = 4, tries: int = 0, embargo: int = 5, progress: Callable[[str, int], None] | None = None) -> Walk:
+def walk_forward(rows: DataFrame, names: list[str], folds: list[Fold], make: Callable[[], Model], meta: tuple[str, dict] | Callable[[], Model] | None = None, threads: int = 4, tries: int = 0, embargo: int = 5, progress: Callable[[str, int], None] | None = None) -> Walk:
     """Fits a model in every fold on bars whose label is known before its test, and predicts that test.
 
     rows has features, label, t1_pos and weight, and is read for every fold: it should be cached or written. Folds
-    run side by side from a few threads."""
+    run side by side from a few threads. meta: a primary rule and its parameters, or what makes a primary model, which
+    each fold fits on its own training rows; the model then learns when the primary is right."""
     began = time.time()
     data, used = rows, names
-    if meta:
+    if meta and not callable(meta):
         data = meta_labels(with_side(rows, *meta))
-        used = [*names, "side"]
     probe = make()
     if isinstance(probe, Sequence):
         data, used = probe.windows(data, used)
@@ -331,6 +392,11 @@ def walk_forward(rows: DataFrame, names: list[str], folds: list[Fold], make: Cal
         train = data.where(inside & F.col("t1_pos").isNotNull() & (F.col("t1_pos") < f.test_start))
         test = data.where((F.col("pos") >= f.test_start) & (F.col("pos") < f.test_end))
         model = make()
+        if callable(meta):
+            both = model_side(meta(), train, names, train.withColumn("__train", F.lit(True)).unionByName(test.withColumn("__train", F.lit(False)))).cache()
+            train, test = meta_labels(both.where("__train")), both.where("not __train")
+        if meta and train.where(F.col("label").isNotNull()).limit(30).count() < 30:
+            raise ValueError(f"fold {f.fold_id}: the primary has a side on fewer than 30 training bars")
         if tries and model.search:
             kind = type(model)
             model.params = tuned(lambda p: kind(p, seed=model.seed, scaler=model.scaler, imputer=model.imputer), model.search, model.params, train, used, tries, embargo, model.seed)

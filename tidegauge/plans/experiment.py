@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -24,6 +25,28 @@ from tidegauge.plans.config import ExperimentConfig
 from tidegauge.sources.bars import BARS_A_YEAR
 
 
+def stage_keys(config: ExperimentConfig) -> dict[str, str]:
+    """For dataset, walk and evaluation a hash of all settings that they depend on, those of the stages before included."""
+    tree, parts, out = json.loads(config.to_json(None)), {}, {}
+    for stage, names in (("dataset", ("data", "features", "label", "seed")), ("walk", ("walkforward", "model")), ("evaluation", ("backtest",))):
+        parts |= {k: tree[k] for k in names}
+        out[stage] = hashlib.sha256(json.dumps(parts, sort_keys=True).encode()).hexdigest()[:16]
+    return out
+
+
+class Stages:
+    """Results of stages by their keys: a stage is made again once a setting changes that it, or one before it, depends on."""
+
+    def __init__(self) -> None:
+        self._kept: dict[str, tuple[str, Any]] = {}
+
+    def get(self, stage: str, config: ExperimentConfig, make: Callable[[], Any]) -> Any:
+        key = stage_keys(config)[stage]
+        if self._kept.get(stage, ("",))[0] != key:
+            self._kept[stage] = key, make()
+        return self._kept[stage][1]
+
+
 @dataclass
 class Dataset:
     """Bars with shifted features and labels, trimmed to where all features are known."""
@@ -45,7 +68,9 @@ def prepare(bars: DataFrame, config: ExperimentConfig, stage: Callable[[DataFram
     names = list(plain.values())
     rows = stage(fo.trimmed(labelled, names).df)
     fo.check_labels_in_features(Rel(rows), names)
-    return Dataset(rows, names, bars)
+    marked = fo.marked(rows, names, fo.bars_hash(bars))
+    fo.check_feature_matrix(marked, names, bars)
+    return Dataset(marked, names, bars)
 
 
 def walk(ds: Dataset, config: ExperimentConfig, threads: int = 4, progress=None) -> md.Walk:
@@ -56,7 +81,9 @@ def walk(ds: Dataset, config: ExperimentConfig, threads: int = 4, progress=None)
     fo.check_folds(made, w.mode, w.train_window, w.test_window, w.embargo)
     moved = [fo.Fold(f.fold_id, f.train_start + lo, f.train_end + lo, f.test_start + lo, f.test_end + lo) for f in made]
     m = config.model.meta
-    return md.walk_forward(ds.rows, ds.names, moved, lambda: md.build(config.model, config.seed), (m.primary, m.primary_params) if m.enabled else None, threads, w.tune_iterations if w.retune_per_fold else 0, w.embargo, progress)
+    by_model = lambda: md.family(m.primary_model, m.primary_model_params, config.seed, config.model.scaler, config.model.imputer)
+    primary = None if not m.enabled else by_model if m.primary == "model" else (m.primary, m.primary_params)
+    return md.walk_forward(ds.rows, ds.names, moved, lambda: md.build(config.model, config.seed), primary, threads, w.tune_iterations if w.retune_per_fold else 0, w.embargo, progress)
 
 
 @dataclass
@@ -93,13 +120,14 @@ def evaluate(ds: Dataset, w: md.Walk, config: ExperimentConfig, trial_sharpes: l
 
 def family_label(config) -> str:
     """logreg, soft(logreg+random_forest), or meta[rule->family]."""
+    first = config.meta.primary_model if config.meta.primary == "model" else config.meta.primary
     core = f"{config.ensemble.method}({'+'.join(config.ensemble.members)})" if config.ensemble.enabled else config.family
-    return f"meta[{config.meta.primary}->{core}]" if config.meta.enabled else core
+    return f"meta[{first}->{core}]" if config.meta.enabled else core
 
 
 def record(config: ExperimentConfig, ds: Dataset, w: md.Walk, ev: Evaluation, instrument: str, session_id: str = "", run_id: str | None = None) -> dict[str, Any]:
     """The flat row of one instrument for the run log. Names are the format of the log."""
-    span = w.oos.agg(F.min("ts"), F.max("ts")).first()
+    span = w.oos.where(F.col("instrument") == instrument).agg(F.min("ts"), F.max("ts")).first()
     own, luck = ev.metrics[instrument], ev.luck[instrument]
     loss = ev.folds.where(F.col("instrument") == instrument).agg(F.avg("accuracy"), F.avg("log_loss")).first()
     wf, b, lab = config.walkforward, config.backtest, config.label

@@ -28,14 +28,16 @@ class RunLog:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def append(self, record: dict, returns: DataFrame) -> None:
-        """A run and its returns (ts, ret); a run_id is logged once. Spark's commit makes each table whole or absent."""
+        """A run and its returns (ts, ret); a run_id is logged once. Spark's commit makes each table whole or absent; a run comes before its returns, which never stand alone."""
         if self._there("runs") and self.runs().where(F.col("run_id") == record["run_id"]).limit(1).count():
             raise ValueError(f"run {record['run_id']} is logged already")
-        returns.select(F.lit(record["run_id"]).alias("run_id"), "ts", F.col("ret").cast("double").alias("ret")).write.mode("append").partitionBy("run_id").parquet(f"{self.root}/returns")
-        kinds = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType()}
+        # all numbers are doubles, so that a column has one type whatever each run has in it
+        kinds = {bool: T.BooleanType(), float: T.DoubleType()}
+        record = {k: float(v) if type(v) is int else v for k, v in record.items()}
         schema = T.StructType([T.StructField(k, kinds.get(type(v), T.StringType()) if not hasattr(v, "isoformat") else T.TimestampNTZType()) for k, v in record.items() if v is not None])
         row = tuple(v if type(v) in kinds or hasattr(v, "isoformat") else str(v) for v in record.values() if v is not None)
         self.spark.createDataFrame([row], schema).write.mode("append").parquet(f"{self.root}/runs")
+        returns.select(F.lit(record["run_id"]).alias("run_id"), "ts", F.col("ret").cast("double").alias("ret")).write.mode("append").partitionBy("run_id").parquet(f"{self.root}/returns")
 
     def runs(self) -> DataFrame | None:
         """All runs; columns that a run lacks are null. None if there is no run yet."""
@@ -78,6 +80,17 @@ def leaderboard(runs: DataFrame, ticker: str | None = None, interval: str | None
     return scored.select(*(c for c in LEADERBOARD if c in scored.columns), "n_trials_now").orderBy(F.col("m_sharpe").desc_nulls_last())
 
 
+def pbo_across(log: RunLog, run_ids: list[str], n_blocks: int = 10, most: int = 2000) -> DataFrame:
+    """pbo and n_combinations over the bars that all of these logged runs have; null for fewer than two runs."""
+    spark = log.spark
+    if len(run_ids) < 2:
+        return spark.createDataFrame([(None, 0)], "pbo double, n_combinations long")
+    number = F.array_position(F.array(*map(F.lit, run_ids)), F.col("run_id")).cast("long") - 1
+    rows = log.returns(run_ids).where("ret is not null").select(number.alias("series"), F.unix_micros(F.col("ts").cast("timestamp")).alias("pos"), F.col("ret").alias("r"))
+    full = rows.groupBy("pos").agg(F.count("*").alias("n")).where(F.col("n") == len(run_ids)).select("pos")
+    return mt.pbo_share(mt.pbo(Rel(rows.join(full, "pos")), n_blocks, most, spark=spark)).df
+
+
 def normal_cdf(z: str) -> F.Column:
     """The normal distribution function in the JVM: the continued fraction and series of erfc within 1.2e-7 (Numerical Recipes' rational fit)."""
     x = F.abs(F.col(z)) / 2**0.5
