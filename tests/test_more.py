@@ -112,12 +112,12 @@ def test_runs_with_other_types_and_one_run_alone(spark, tmp_path):
 
 def test_adf_takes_the_lags_of_least_aic(spark):
     rng = np.random.default_rng(3)
-    e, x = rng.normal(size=600), [0.0, 0.0, 0.0]
+    e, x = rng.normal(size=600), [0.0, 0.0]
     for v in e:
         x.append(float(x[-1] + 0.6 * (x[-1] - x[-2]) + v))
     df = spark.createDataFrame([("A", i, v) for i, v in enumerate(x)], "instrument string, pos long, close double")
     [told] = dg.adf_best(df, "close", 4)
-    assert told["lags"] >= 2 and told["p_value"] > 0.05
+    assert told["lags"] >= 1 and told["p_value"] > 0.05
 
 
 def test_verdicts():
