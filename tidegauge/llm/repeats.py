@@ -45,7 +45,7 @@ _tables: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random word for each byte, and the powers of the multiplier and of its inverse modulo 2**64."""
     if not _tables or _tables["up"].size < n:
-        size = max(n, 2 * CHUNK)
+        size = max(2 * n, 1 << 18)
         for name, base in (("up", _MULT), ("down", pow(_MULT, -1, 1 << 64))):
             powers = np.full(size, base, np.uint64)
             powers[0] = 1

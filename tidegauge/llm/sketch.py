@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -152,14 +153,14 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     if not n_blocks:
         return rows
 
-    def named(column: pa.Array) -> np.ndarray:
-        x = column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    def named(keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(n_blocks * BLOCK_BITS // 8, np.uint8)
         for batch in batches:
-            put(bits, named(batch.column(0)), n_blocks)
+            put(bits, named(batch.column(0).to_numpy(zero_copy_only=False)), n_blocks)
         for b in range(n_blocks):
             part = bits[b * BLOCK_BITS // 8 : (b + 1) * BLOCK_BITS // 8]
             if part.any():
@@ -177,9 +178,8 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     blocks = wanted.select(key).mapInArrow(fill, "block int, bits binary").repartition("block").mapInArrow(merge, "block int, bits binary")
     shared = broadcast(wanted.sparkSession, _gathered(blocks, n_blocks))
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            yield batch.filter(pa.array(test(bits, named(batch.column(key)), n_blocks)))
+    @F.pandas_udf("boolean")
+    def sift(keys: pd.Series) -> pd.Series:  # only keys go to Python, rows stay where they are
+        return pd.Series(test(np.frombuffer(shared.value, np.uint8), named(keys.to_numpy()), n_blocks))
 
-    return rows.mapInArrow(sift, rows.schema)
+    return rows.where(sift(key))
