@@ -73,3 +73,25 @@ def test_stage_returns_documents(spark):
     docs = frame(spark, [(i, 20, "ab"[i % 2]) for i in range(10)]).selectExpr("doc_id", "text", "'en' lang", "source", "length(text) n_chars")
     out = mixing.stage(spark, docs, "")
     assert out.columns == docs.columns and abs(sum(len(r["text"].split()) for r in out.collect()) - 200) <= 2
+
+
+def test_cut_of_the_sorted_queue(spark):
+    """The cut lies where the words given by a finish time, counted copy by copy, reach the budget, in whichever range that is."""
+    draw = random.Random(9)
+    rows = [(i, draw.randint(1, 400), draw.choice(["a", "b", "c", "d", None] + ["hot"] * 4)) for i in range(500)]
+    queue = mixing.queued(frame(spark, rows)).cache()
+    size, weight = {}, {}
+    for r in queue.collect():
+        size[r["source"]], weight[r["source"]] = r["source_size"], r["weight"]
+    for share in (0.01, 0.5, 1.0, 2.5, 2.999, 3.0, 4.0):
+        budget = round(sum(size.values()) * share)
+        time = mixing.cut(queue, budget, sum(weight.values()))
+        given = sum(min(weight[s] * time, 3 * size[s]) for s in size)
+        assert abs(given - min(budget, 3 * sum(size.values()))) < 1e-6 * budget + 1e-6
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    docs = frame(spark, [(1, 200_000, "a"), (2, 3, "b"), (3, 3, "b")]).selectExpr("*", "1 target", "2 taken", "3 weight", "4 `range`", "5 finish")
+    told = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    target, taken = plain([(1, 200_000, "a"), (2, 3, "b"), (3, 3, "b")])
+    assert {i: r["taken"] for i, r in told.items()} == {i: taken.get(i, 0) for i in (1, 2, 3)}

@@ -1,16 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame operations only.
 
-Each source is a queue: its documents in the order of a hash of their ids, up to MAX_REPEATS times over. A
-copy's virtual finish time is the source's words up to its end divided by the source's weight, so that in the
-order of finish times every source advances in proportion to its weight. The queue ends where the words taken
-make up the budget. That virtual time is solved in closed form from the sizes and weights of the sources, without
-sorting: until a queue ends, a source has given its weight times it. A source whose queue ends leaves its share to
-the others; a document that is being read at the cut is taken in part. Only `copies`, the mix itself, has finish
-times and is sorted by range over all sources.
-
-No window spans a source: the sums of hash buckets of about BUCKET_DOCS documents are added up first, then the
-documents within one bucket, so that a source with a third of all rows is as even as the others. Per-source
-facts are one row each.
+Each source is a queue: its documents in the order of a hash of their ids, MAX_REPEATS times over. A copy's
+virtual finish time is the source's words up to its end divided by the source's weight, so that in the order of
+finish times every source advances in proportion to its weight. All copies are sorted by range of finish times over
+all sources, and the queue is cut where the words given make up the budget: a copy that finishes by then is taken
+whole, the copies being read at the cut, one a source, in part. Words given by a finish time are a prefix sum along
+the sorted queue: each source still queued has given its weight times that time, and each whose last copy has
+finished, MAX_REPEATS times its words. A source whose queue ends so leaves its share to the others.
+
+No window spans the documents of a source: the sums of hash buckets of about BUCKET_DOCS documents are added up
+first, then the documents within one bucket, so that a source with a third of all rows is as even as the others. In
+the same way the sums of ranges of the sorted queue are added up first, one row each, and then the copies of the one
+range that holds the cut. Per-source facts are one row each.
 
 Cases: a null text has size 0 and nothing is taken from it. A null source is a source of its own, after all
 others. A null doc_id sorts first; equal rows follow each other in any order. With no words at all every target
@@ -35,18 +36,31 @@ def weigh(sources: DataFrame) -> DataFrame:
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(turn, F.lit(len(WEIGHTS))) + 1).cast("int")).cast("double"))
 
 
-def cut(sources: DataFrame, budget: int) -> float:
-    """The virtual time at which the queues have given `budget` words: each source its weight times it, until its queue ends."""
-    ends, time = F.lit(MAX_REPEATS) * F.col("size") / F.col("weight"), 0.0
-    while True:
-        over = ends <= time
-        r = sources.agg(F.sum(F.when(over, MAX_REPEATS * F.col("size")).otherwise(0)).alias("given"), F.sum(F.when(~over, F.col("weight"))).alias("rate")).first()
-        if not r["rate"]:
-            return time
-        then = (budget - r["given"]) / r["rate"]
-        if then <= time:
-            return time
-        time = then
+def finishing(queue: DataFrame) -> DataFrame:
+    """All copies of queued() sorted by range of `finish`, with the number of the range, and on the last copy of a source its weight and its words in all rounds."""
+    copy = queue.where("size > 0").select("source", "before", "size", "source_size", "weight", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("round"))
+    last = (F.col("round") == MAX_REPEATS - 1) & (F.col("before") + F.col("size") == F.col("source_size"))
+    finish = (F.col("round") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("weight")
+    done = [F.when(last, c).otherwise(0).alias(name) for c, name in ((F.col("weight"), "done_weight"), (MAX_REPEATS * F.col("source_size"), "done_words"))]
+    return copy.select("source", finish.alias("finish"), *done).repartitionByRange("finish").sortWithinPartitions("finish").withColumn("range", F.spark_partition_id())
+
+
+def cut(queue: DataFrame, budget: int, weights: float) -> float:
+    """The virtual time at which the sorted queue has given `budget` words; `weights` is the sum of the sources' that have any."""
+    copy = written(finishing(queue), "finishing")
+
+    def first_reaching(rows: DataFrame, order: list[str], weight_before: float, words_before: int):
+        """The first row by whose finish the budget is given, with what had ended before it."""
+        along = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = rows.withColumn("ended", F.sum("done_weight").over(along) + weight_before).withColumn("words", F.sum("done_words").over(along) + words_before)
+        return rows.where((weights - F.col("ended")) * F.col("finish") + F.col("words") >= budget).orderBy(*order).select("*", (F.col("ended") - F.col("done_weight")).alias("ended_before"), (F.col("words") - F.col("done_words")).alias("words_before")).first()
+
+    ranges = copy.groupBy("range").agg(F.max("finish").alias("finish"), F.sum("done_weight").alias("done_weight"), F.sum("done_words").alias("done_words"))
+    at = first_reaching(ranges, ["range"], 0.0, 0)
+    if at is None:  # the budget is more than all queues hold
+        return copy.agg(F.max("finish")).first()[0] or 0.0
+    at = first_reaching(copy.where(F.col("range") == at["range"]), ["finish", "source"], at["ended_before"], at["words_before"]) or at
+    return (budget - at["words_before"]) / (weights - at["ended_before"])
 
 
 def queued(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -71,14 +85,13 @@ def queued(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 def mix(docs: DataFrame, budget_share: float = 1.0, **columns) -> DataFrame:
     """queued() with target (of the source) and taken (words of the document that the mix takes, all rounds)."""
     queue = written(queued(docs, **columns), "queued")
-    sources = written(queue.groupBy("source").agg(F.sum("size").alias("size"), F.max("weight").alias("weight")), "sources")
-    total = sources.agg(F.sum("size")).first()[0] or 0
-    time = cut(sources, round(total * budget_share))
+    sources = queue.groupBy("source").agg(F.sum("size").alias("size"), F.max("weight").alias("weight"))
+    facts = sources.agg(F.sum("size").alias("size"), F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("weights")).first()
+    time = cut(queue, round(facts["size"] * budget_share), facts["weights"]) if facts["size"] else 0.0
     target = F.least((F.lit(MAX_REPEATS) * F.col("source_size")).cast("double"), F.col("weight") * F.lit(time))
     served = F.round(F.col("target")).cast("long")
-    rounds = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0)
-    rest = served - rounds * F.col("source_size") - F.col("before")
-    return queue.withColumn("target", target).withColumn("taken", (rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long"))
+    read = [F.greatest(F.lit(0), F.least(F.col("size"), served - i * F.col("source_size") - F.col("before"))) for i in range(MAX_REPEATS)]
+    return queue.withColumn("target", target).withColumn("taken", sum(read, F.lit(0)).cast("long"))
 
 
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
