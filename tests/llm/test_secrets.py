@@ -47,3 +47,62 @@ def test_patterns_leave_no_key_out(spark):
     for r in secrets.candidates(docs).collect():
         told.setdefault(r["doc_id"], []).append(r["value"])
     assert told == {0: ["P@$$w0rd99x"], 1: ["ab%cd#ef&gh1"], 2: ["hunter2pass"], 3: ["hunter2pass"], 4: [plain], 5: [late], 6: ["7602ad27cf5550de1c"], 8: ["a,;&" * 4999 + "a"]}
+
+
+def corpus(n=400):
+    """Prose of a small vocabulary, with every tenth text holding a planted key or what looks like one."""
+    import hashlib
+    import random
+
+    draw, rows, planted = random.Random(3), [], set()
+    words = ["harbour", "winter", "engine", "garden", "market", "letter", "window", "river", "people", "morning", "account", "system", "number", "report", "session", "config"]
+    for i in range(n):
+        text = [draw.choice(words) for _ in range(draw.randint(20, 80))]
+        key = hashlib.sha1(str(i).encode()).hexdigest()
+        if i % 10 == 0:
+            text[9:9] = ["api_key", "=", f'"{key}"']
+            planted.add((i, key))
+        elif i % 10 == 1:
+            text[9:9] = [f"password={key[:18]};"]
+            planted.add((i, key[:18]))
+        elif i % 10 == 2:
+            text[9:9] = ["commit", key]
+        elif i % 10 == 3:
+            text[9:9] = [f"/harbour/{key[:12]}/window{i}.png"]
+        elif i % 10 == 4:
+            text[9:9] = ["token", "=", "winter-garden-harbour"]
+        rows.append((i, " ".join(text)))
+    return rows, planted, words
+
+
+def test_language_is_that_of_all_texts(spark):
+    rows, _, words = corpus()
+    language = secrets.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(words) <= {r["word"] for r in language.dictionary.collect()} and set(language.vocabulary) <= {r["word"] for r in language.dictionary.collect()}
+    p = lambda a, b: language.transitions[secrets.SYMBOLS.index(a) * len(secrets.SYMBOLS) + secrets.SYMBOLS.index(b)]
+    assert p("h", "a") > p("h", "z") and p("q", "j") < p("e", "r")
+    found = spark.createDataFrame([("winterGarden77",), ("zqxjkvbw",), ("x",)], "value string").selectExpr("value", "'' before", "'' before2", "'' before3", "value around")
+    told = {r["value"]: r for r in secrets.features(found, language).collect()}
+    assert abs(told["winterGarden77"]["dictionary"] - 12 / 14) < 1e-9 and told["zqxjkvbw"]["dictionary"] == 0
+    by_hand = sum(p(*pair) for pair in zip("zqxjkvb", "qxjkvbw")) / 7
+    assert abs(told["zqxjkvbw"]["transitions"] - by_hand) < 1e-9 and told["x"]["transitions"] == 0
+
+
+def test_precision_and_recall_of_planted_keys(spark):
+    rows, planted, _ = corpus()
+    rows += [(1000, "plain words " * 100_000 + 'token = "f0ddae3b09ae356cbefecdd3232fa5489bb400d6" end'), rows[0], (None, None), (1001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 dictionary", "2 value", "3 score")
+    language = secrets.learn(docs)
+    model = secrets.fit(secrets.labelled_findings(spark, 3000, language.vocabulary), trees=20, language=language)
+    found = [(r["doc_id"], r["value"]) for r in secrets.scan(docs, model, language=language).where("score >= 0.5").collect()]
+    want = planted | {(1000, "f0ddae3b09ae356cbefecdd3232fa5489bb400d6")}
+    assert len(set(found) & want) >= 0.95 * len(want) and len(set(found) & want) >= 0.95 * len(set(found))
+    assert found.count(rows[0][:1] + (min(k for i, k in planted if i == 0),)) == 2
+
+
+def test_nothing_is_learned_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    language = secrets.learn(docs)
+    assert language.dictionary.count() == 0 and language.vocabulary == () and len(set(language.transitions)) == 1
+    model = secrets.fit(secrets.labelled_findings(spark, 1000, language.vocabulary), trees=5, language=language)
+    assert secrets.scan(docs, model, language=language).count() == 0

@@ -2,30 +2,36 @@
 
 Everything is DataFrame and SQL functions and MLlib, which run in the JVM. A text is split at white space; words
 that look like a key, or that something like `password=` assigns, are candidates with their neighbours, and so is
-every further match in a word. A candidate's features are its length, its character classes and how often they change, how usual its pairs of
-letters are, how much of it is dictionary words, whether it stands in a path or an address, and what the words
-around it say. The forest learns from labelled findings: real shapes of keys with what surrounds them, and what
-is mistaken for them (hashes of commits and files, identifiers, addresses, numbers, placeholders, long words).
-
-Cases: a null or empty text has no findings. Repeated rows have their findings each. A text of any length is
+every further match in a word. A candidate's features are its length, its character classes and how often they
+change, the mean log-probability of its character transitions, how much of it is words of a dictionary and how much
+of a placeholder, whether it stands in a path or an address, and what the words around it say. The dictionary and the
+transitions are learned from all texts that are scanned (`learn`): a word belongs to the dictionary if it is at least
+LEAST_SHARE of all words, which bounds the dictionary at 1 / LEAST_SHARE words whatever the size of the corpus. The
+forest learns from labelled findings: real shapes of keys with what surrounds them, and what is mistaken for them
+(hashes of commits and files, identifiers, addresses, numbers, placeholders, long words), with VOCABULARY words of
+the dictionary for the prose in them.
+
+Cases: a null or empty text has no findings. Of an empty table nothing is learned: no word is of the dictionary, and all transitions are alike. Repeated rows have their findings each. A text of any length is
 scanned whole. The same key twice in a text is two findings. Further columns of the input play no part.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import SPACE, table
+from .base import SPACE, table, written
 
 # The words by which keys, other long strings and placeholders are known.
 KEYWORDS = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credentials?|bearer"
 OTHERS = "commit|sha1|sha256|sha512|md5|checksum|digest|hash|revision|rev|etag|uuid|guid|id|isbn|doi|order|invoice|ref|reference|build|version|phone|card|account|url|file|path|image|page"
 PLACEHOLDERS = "example|sample|dummy|test|fake|placeholder|changeme|change|your|insert|replace|todo|xxxx|redacted|null|none|default|password|secret|token|here|value|key|user|name|admin|data|file|page|image|index|version|report|session|server|config"
-PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|hi|ri|ro|ic|ne|ra|ch|qu|ei|ie|un|de|la"
 #: Strings whose beginning tells what they are.
 PREFIXED = r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|(?<![A-Za-z])sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|glpat-[A-Za-z0-9_-]{20}"
 
@@ -42,9 +48,54 @@ LEAST = 6
 #: Texts that may hold a candidate; nothing that makes one is left out.
 ANY = rf"{PREFIXED}|{LONG}|(?i:{KEYWORDS})[\"']?[{SPACE}:=]*[:=]"
 
-FEATURES = ["length", "digits", "uppers", "changes", "distinct", "hex", "pairs", "vowels", "words", "prefixed", "path", "address", "assigned", "keyword", "other", "dashes"]
+FEATURES = ["length", "digits", "uppers", "changes", "distinct", "hex", "transitions", "vowels", "dictionary", "words", "prefixed", "path", "address", "assigned", "keyword", "other", "dashes"]
 FINDINGS = 6000
 
+#: Symbols of transitions: letters without case, any digit as 0, all else as the last.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyz0-"
+#: A word is of the dictionary if it is this share of all words of the texts, and more than once there.
+LEAST_SHARE = 1e-5
+#: Parts of a value that may be words.
+PART = r"\p{Lu}?\p{Ll}{2,}|\p{Lu}{3,}"
+#: How many words of the dictionary, drawn by a hash, the labelled findings are made with.
+VOCABULARY = 500
+SYLLABLES = ("the", "ing", "ed", "tion", "re", "an", "on", "er", "que", "ment", "sch", "lich", "cion", "ado", "ver", "ion")
+
+
+@dataclass
+class Language:
+    """What the texts say of their words: the dictionary (`word`), a log-probability for each two symbols in order, and words to make findings with."""
+
+    dictionary: DataFrame
+    transitions: list[float]
+    vocabulary: tuple[str, ...]
+
+
+def symbols(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), "[^a-z0]", "-")
+
+
+def learn(docs: DataFrame, text: str = "text") -> Language:
+    """The language of all the texts. Words are runs of letters and digits, and of letters alone in the dictionary; only counts of words are shuffled, and only sums over pairs of symbols leave Spark."""
+    every = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")).alias("word")).where("word <> ''")
+    counts = written(every.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    dictionary = written(counts.where((F.col("n") > 1) & (F.col("n") >= LEAST_SHARE * total) & F.col("word").rlike(r"^\p{L}{3,}\z")).select("word"), "dictionary")
+    symbol = symbols(F.col("word"))
+    pairs = counts.withColumn("symbols", symbol).where("length(symbols) > 1").select("n", F.explode(F.expr("transform(sequence(1, length(symbols) - 1), i -> substring(symbols, i, 2))")).alias("pair"))
+    seen = {r["pair"]: r["n"] for r in pairs.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # one row for each two symbols at most
+    after = {a: sum(seen.get(a + b, 0) for b in SYMBOLS) for a in SYMBOLS}
+    transitions = [math.log((seen.get(a + b, 0) + 1) / (after[a] + len(SYMBOLS))) for a in SYMBOLS for b in SYMBOLS]
+    drawn = dictionary.where(r"word rlike '^[a-z]{3,12}$'").orderBy(F.xxhash64("word"), "word").limit(VOCABULARY)
+    return Language(dictionary, transitions, tuple(r["word"] for r in drawn.collect()))
+
+
+def covered(found: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """value and `dictionary`, the share of its characters in words of the dictionary, for each different value that has any."""
+    parts = found.select("value").distinct().select("value", F.explode(F.regexp_extract_all("value", F.lit(PART), F.lit(0))).alias("part"))
+    known = parts.withColumn("word", F.lower("part")).join(dictionary, "word")
+    return known.groupBy("value").agg((F.sum(F.length("part")) / F.length("value")).alias("dictionary"))
+
 
 def is_spaced(before2: Column, before: Column, own: Column) -> Column:
     """Whether the words before say that this one is the value of a keyword."""
@@ -85,8 +136,15 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.select("doc_id", "word", "found.value", "before3", "before2", "before", "found.around", "own", "after")
 
 
-def features(found: DataFrame) -> DataFrame:
-    """The candidates with FEATURES, all doubles."""
+def features(found: DataFrame, language: Language | None = None) -> DataFrame:
+    """The candidates with FEATURES, all doubles. Without a language no word is known and all transitions are alike."""
+    if language:
+        found = found.join(covered(found, language.dictionary), "value", "left")
+    else:
+        found = found.withColumn("dictionary", F.lit(0.0))
+    table_ = F.array(*map(F.lit, language.transitions if language else [0.0] * len(SYMBOLS) ** 2))
+    place = lambda k: F.instr(F.lit(SYMBOLS), F.substring(symbols(F.col("value")), k, F.lit(1))) - 1
+    steps = F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda k: F.element_at(table_, (place(k) * len(SYMBOLS) + place(k + 1) + 1).cast("int")))
     v, around = F.col("value"), F.col("around")
     n = F.length("value").cast("double")
     share = lambda pattern, of=v: F.regexp_count(of, F.lit(pattern)) / n
@@ -99,8 +157,9 @@ def features(found: DataFrame) -> DataFrame:
         "changes": share("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])"),
         "distinct": F.size(F.array_distinct(F.split(v, ""))) / n,
         "hex": v.rlike("^[0-9a-f]+$|^[0-9A-F]+$").cast("double"),
-        "pairs": share(f"(?=(?:{PAIRS}))", F.lower(v)),
+        "transitions": F.when(n > 1, F.aggregate(steps, F.lit(0.0), lambda a, b: a + b) / (n - 1)),
         "vowels": share("[aeiouAEIOU]"),
+        "dictionary": F.col("dictionary"),
         "words": 1 - F.length(left) / n,
         "prefixed": v.rlike(f"^(?:{PREFIXED})$").cast("double"),
         "path": around.rlike(r"^[./~]|/[A-Za-z0-9._-]+/|\.[A-Za-z]{2,4}$").cast("double"),
@@ -113,8 +172,10 @@ def features(found: DataFrame) -> DataFrame:
     return found.withColumns({k: F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in made.items()})
 
 
-def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
-    """n findings with label 1 (a secret) or 0, as scans of code and text have them; the same ones every time."""
+def labelled_findings(spark: SparkSession, n: int = FINDINGS, vocabulary: tuple[str, ...] = ()) -> DataFrame:
+    """n findings with label 1 (a secret) or 0, as scans of code and text have them; the same ones every time.
+
+    Their prose is words of the vocabulary, where one is given, and of syllables else."""
     rows = spark.range(n, numPartitions=2)
     draw = lambda salt, many: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(many)).cast("int")
     of = lambda salt, *choices: F.element_at(F.array(*map(F.lit, choices)), draw(salt, len(choices)) + 1)
@@ -123,7 +184,8 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     upper = F.translate(F.upper(mixed), "0189", "QXYZ")
     size = lambda salt, *choices: of(salt, *choices)
     cut = lambda s, k: F.substring(s, 1, k)
-    syllable = lambda salt: of(salt, "the", "ing", "ed", "tion", "re", "an", "on", "er", "que", "ment", "sch", "lich", "cion", "ado", "ver", "ion")
+    choices = F.split(F.lit(" ".join(vocabulary or SYLLABLES)), " ")
+    syllable = lambda salt: F.element_at(choices, draw(salt, len(vocabulary or SYLLABLES)) + 1)
     prose = F.concat(*(syllable(f"s{i}") for i in range(5)))
     word = lambda salt: F.concat(syllable(salt + "a"), syllable(salt + "b"))
     secret = of("key", "password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_key", "Token", "PASSWORD")
@@ -156,19 +218,24 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS) -> DataFrame:
     return out.withColumn("label", F.col("label").cast("double")).withColumn("around", F.concat("around", junk)).withColumn("before", F.concat("before", F.when(F.col("before") == "=", "").otherwise(of("j2", "", "", "###", "%%%"))))
 
 
-def fit(findings: DataFrame, trees: int = 40, depth: int = 8) -> RandomForestClassificationModel:
-    """The forest, from candidates with a label. Findings are few beside the texts, and so is the model."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(findings)).select("label", "features")
+def fit(findings: DataFrame, trees: int = 40, depth: int = 8, language: Language | None = None) -> RandomForestClassificationModel:
+    """The forest, from candidates with an id and a label. Findings are few beside the texts, and so is the model.
+
+    They are put in order, so that the same findings give the same forest."""
+    ordered = features(findings, language).repartition(2, "id").sortWithinPartitions("id")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(ordered).select("label", "features")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, seed=7, featureSubsetStrategy="sqrt").fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text", language: Language | None = None) -> DataFrame:
     """Every candidate with `score`, the share of the forest that takes it for a secret, and its `rule`."""
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(candidates(docs, key, text)))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features(written(candidates(docs, key, text), "candidates"), language))
     rule = F.when(F.col("prefixed") == 1, "prefix").when(F.col("keyword") == 1, "assignment").otherwise("long string")
     return model.transform(rows).select("doc_id", "word", rule.alias("rule"), "value", F.concat_ws(" ", "before3", "before2", "before", "own", "after").alias("context"), vector_to_array("probability")[1].alias("score"))
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), fit(labelled_findings(spark)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    language = learn(docs)
+    found = scan(docs, fit(labelled_findings(spark, vocabulary=language.vocabulary), language=language), language=language)
     return found.where("score >= 0.5").select("doc_id", "word", "rule", "value", "score")
