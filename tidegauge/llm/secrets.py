@@ -59,6 +59,8 @@ LEAST_SHARE = 1e-5
 PART = r"\p{Lu}?\p{Ll}{2,}|\p{Lu}{3,}"
 #: How many words of the dictionary, drawn by a hash, the labelled findings are made with.
 VOCABULARY = 500
+#: What the words of a finding are drawn by: two for each of its words, five for prose.
+SALTS = tuple(a + b for a in "123upqwxyef" for b in "ab") + tuple(f"s{i}" for i in range(5))
 SYLLABLES = ("the", "ing", "ed", "tion", "re", "an", "on", "er", "que", "ment", "sch", "lich", "cion", "ado", "ver", "ion")
 
 
@@ -172,11 +174,19 @@ def features(found: DataFrame, language: Language | None = None) -> DataFrame:
     return found.withColumns({k: F.coalesce(c.cast("double"), F.lit(0.0)) for k, c in made.items()})
 
 
+def drawn_words(spark: SparkSession, n: int, vocabulary: tuple[str, ...]) -> DataFrame:
+    """n ids with `syllables`, a word of the vocabulary for each of SALTS, drawn by a hash."""
+    words = spark.range(len(vocabulary)).select(F.col("id").alias("place"), F.element_at(F.split(F.lit(" ".join(vocabulary)), " "), (F.col("id") + 1).cast("int")).alias("word"))
+    ids = spark.range(n, numPartitions=2).select("id", F.explode(F.array(*map(F.lit, SALTS))).alias("salt"))
+    met = ids.withColumn("place", F.pmod(F.xxhash64("id", "salt"), F.lit(len(vocabulary)))).join(words, "place")
+    return met.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("salt", "word"))).alias("syllables"))
+
+
 def labelled_findings(spark: SparkSession, n: int = FINDINGS, vocabulary: tuple[str, ...] = ()) -> DataFrame:
     """n findings with label 1 (a secret) or 0, as scans of code and text have them; the same ones every time.
 
     Their prose is words of the vocabulary, where one is given, and of syllables else."""
-    rows = spark.range(n, numPartitions=2)
+    rows = written(drawn_words(spark, n, vocabulary or SYLLABLES), "drawn")
     draw = lambda salt, many: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(many)).cast("int")
     of = lambda salt, *choices: F.element_at(F.array(*map(F.lit, choices)), draw(salt, len(choices)) + 1)
     hexes = F.concat(*(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"h{i}")).cast("binary")) for i in range(2)))
@@ -184,8 +194,7 @@ def labelled_findings(spark: SparkSession, n: int = FINDINGS, vocabulary: tuple[
     upper = F.translate(F.upper(mixed), "0189", "QXYZ")
     size = lambda salt, *choices: of(salt, *choices)
     cut = lambda s, k: F.substring(s, 1, k)
-    choices = F.split(F.lit(" ".join(vocabulary or SYLLABLES)), " ")
-    syllable = lambda salt: F.element_at(choices, draw(salt, len(vocabulary or SYLLABLES)) + 1)
+    syllable = lambda salt: F.element_at("syllables", F.lit(salt))
     prose = F.concat(*(syllable(f"s{i}") for i in range(5)))
     word = lambda salt: F.concat(syllable(salt + "a"), syllable(salt + "b"))
     secret = of("key", "password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "client_secret", "auth_key", "Token", "PASSWORD")
@@ -237,5 +246,6 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "do
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     language = learn(docs)
-    found = scan(docs, fit(labelled_findings(spark, vocabulary=language.vocabulary), language=language), language=language)
+    findings = written(labelled_findings(spark, vocabulary=language.vocabulary), "findings")
+    found = scan(docs, fit(findings, language=language), language=language)
     return found.where("score >= 0.5").select("doc_id", "word", "rule", "value", "score")
