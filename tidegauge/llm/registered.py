@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html, langid, lines, minhash, mixing, neighbours, repeats, secrets, vectors
+from . import bpe, html, langid, lines, minhash, mixing, neighbours, repair, repeats, secrets, trie, vectors, warc
 
 
 def queries() -> dict:
@@ -17,12 +17,15 @@ def queries() -> dict:
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_embedding_near_dedup": vectors.op9_embedding_near_dedup,
         "op10_repeated_passages": repeats.op10_repeated_passages,
+        "op11_warc": warc.op11_warc,
+        "op12_prefix_trie": trie.op12_prefix_trie,
+        "op13_structure_repair": repair.op13_structure_repair,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.OP2_SQL, "op3_minhash_near_dedup": minhash.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op9_embedding_near_dedup": vectors.OP9_SQL, "op10_repeated_passages": repeats.OP10_SQL}
+    return {"op2_line_dedup": lines.OP2_SQL, "op3_minhash_near_dedup": minhash.OP3_SQL, "op4_mixing": mixing.OP4_SQL, "op9_embedding_near_dedup": vectors.OP9_SQL, "op10_repeated_passages": repeats.OP10_SQL, "op11_warc": warc.OP11_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_structure_repair": repair.OP13_SQL}
 
 
 def pipeline(spark, sf_dir):
