@@ -46,17 +46,17 @@ def plain_shapley(found, x):
     return out, score(set())
 
 
-@pytest.mark.parametrize(("family", "params"), [("random_forest", {"n_estimators": 3, "max_depth": 4}), ("xgboost", {"n_estimators": 3, "max_depth": 3}), ("logreg", {})])
+@pytest.mark.parametrize(("family", "params"), [("random_forest", {"n_estimators": 3, "max_depth": 4}), ("xgboost", {"n_estimators": 3, "max_depth": 3}), ("lightgbm", {"n_estimators": 3, "num_leaves": 5}), ("extra_trees", {"n_estimators": 3, "max_depth": 4}), ("logreg", {})])
 def test_values_add_up_to_the_score(spark, rows, tmp_path, family, params):
     names = ["a", "b", "c"]
     model = md.family(family, params).fit(rows, names)
     [(_, values)] = sh.explained(model, rows, f"{tmp_path}/trees")
     got = values.join(model.probabilities(rows), md.KEYS).toPandas()
     p = got["p_1"].to_numpy()
-    want = p if family == "random_forest" else np.log(p / (1 - p))
+    want = p if family in ("random_forest", "extra_trees") else np.log(p / (1 - p))
     assert np.allclose(got[["base", *(f"shap_{n}" for n in names)]].sum(axis=1), want, atol=1e-6)
     if family != "logreg":
-        found = sh.leaves(spark, model.fitted[0], f"{tmp_path}/again", 1 if family == "random_forest" else None)
+        found = sh.leaves(spark, model.fitted[0], f"{tmp_path}/again", 1) if family == "random_forest" else sh.leaves_of(model.fitted[0], 0)
         x = np.array(model.prepared(rows).limit(5).select(sh._array("features")).collect()).reshape(5, 3)
         phi, base = sh.shapley(x, found)
         for row, own in zip(x, phi, strict=True):
@@ -64,13 +64,13 @@ def test_values_add_up_to_the_score(spark, rows, tmp_path, family, params):
             assert np.allclose(told, own) and math.isclose(least, base)
 
 
-@pytest.mark.parametrize("how", ["logreg", "random_forest", "xgboost", "stacking"])
+@pytest.mark.parametrize("how", ["logreg", "random_forest", "xgboost", "extra_trees", "gru", "stacking"])
 def test_a_loaded_model_scores_as_the_saved_one(spark, rows, tmp_path, how):
     names = ["a", "b", "c"]
-    model = md.Ensemble(["logreg", "random_forest"], "stacking", {"random_forest": {"n_estimators": 3}}, 2) if how == "stacking" else md.family(how, {"n_estimators": 3} if how != "logreg" else {})
+    model = md.Ensemble(["logreg", "random_forest"], "stacking", {"random_forest": {"n_estimators": 3}}, 2) if how == "stacking" else md.family(how, {} if how == "logreg" else {"epochs": 2, "seq_len": 3} if how == "gru" else {"n_estimators": 3})
     model.fit(rows, names).save(spark, f"{tmp_path}/m")
     a, b = (m.probabilities(rows).orderBy("pos").toPandas() for m in (model, md.load(spark, f"{tmp_path}/m")))
-    assert len(a) == 400 and np.allclose(a["p_1"], b["p_1"])
+    assert len(a) == (398 if how == "gru" else 400) and np.allclose(a["p_1"], b["p_1"])
 
 
 def test_balanced_classes_weigh_the_same(rows):

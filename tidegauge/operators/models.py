@@ -1,4 +1,4 @@
-"""Models: families on MLlib behind one contract, ensembles, meta-labels, tuning, and the walk through the folds.
+"""Models: families behind one contract, on MLlib or on sums that tasks make, ensembles, meta-labels, tuning, and the walk through the folds.
 
 A model is fitted on rows with features, label and weight, and gives for other rows the probability of each class it
 has seen. Everything it learns, fillings and scales included, comes from its training rows.
@@ -8,26 +8,33 @@ from __future__ import annotations
 
 import json
 import math
-import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import classification, feature
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.relation import Rel
+from tidegauge.functions.shared import shared_dir
 from tidegauge.operators import rules
 from tidegauge.operators.folds import Fold
+from tidegauge.operators.nets import Net, Shape, Training, trained
+from tidegauge.operators.trees import Boost, Random, Trees, blocks, boosted, scattered
+from tidegauge.operators.tuning import Parzen, Range
 
 CLASSES = (-1, 0, 1)
 KEYS = ["instrument", "pos"]
+#: Told what is done ("fold", "epoch", "tune") and about it.
+Progress = Callable[[str, Any], None] | None
 
 
 def column_of(c: int) -> str:
@@ -67,6 +74,21 @@ class Prepared:
         return self.scaler.transform(rows) if self.scaler else rows.withColumnRenamed("raw_features", "features")
 
 
+def scored(ready: DataFrame, keep: list[str], names: list[str], f: Callable[[np.ndarray], np.ndarray], vector: str = "features") -> DataFrame:
+    """The kept columns and what f makes of the vectors, a column for each name."""
+    kinds = dict(ready.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                x = part.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *(pa.array(c) for c in np.ascontiguousarray(f(x).T))], [*keep, *names])
+
+    x = F.col(vector) if kinds[vector].startswith("array") else vector_to_array(vector)
+    return ready.select(*keep, x.alias("__x")).mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), *(f"`{n}` double" for n in names)]))
+
+
 def _write_state(spark: SparkSession, path: str, state: dict) -> None:
     spark.createDataFrame([(json.dumps(state, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/state")
 
@@ -82,7 +104,12 @@ def load(spark: SparkSession, path: str) -> Model:
             out.meta, out.meta_names = load(spark, f"{path}/meta"), state["meta_names"]
         return out
     out = family(state["family"], state["params"], state["seed"], state["scaler"], state["imputer"])
-    part = lambda k: getattr(feature if k == "scaled" else classification, state["parts"][k]).load(f"{path}/{k}")
+    own = {c.__name__: c for c in (Trees, Net)}
+
+    def part(k):
+        kind = state["parts"][k]
+        return own[kind].load(spark, f"{path}/{k}") if kind in own else getattr(feature if k == "scaled" else classification, kind).load(f"{path}/{k}")
+
     out.names, out.classes = state["names"], state["classes"]
     out.prepared = Prepared.of(out.names, state["fill"], part("scaled") if "scaled" in state["parts"] else None)
     out.fitted = [part(k) for k in sorted(state["parts"]) if k != "scaled"]
@@ -109,13 +136,16 @@ class Model:
         """The fitted model as a folder of MLlib models and one JSON text, in whatever store the path names."""
         parts = {f"fitted{i}": m for i, m in enumerate(self.fitted)} | ({"scaled": self.prepared.scaler} if self.prepared.scaler else {})
         for name, m in parts.items():
-            m.write().overwrite().save(f"{path}/{name}")
+            m.save(spark, f"{path}/{name}") if isinstance(m, (Trees, Net)) else m.write().overwrite().save(f"{path}/{name}")
         _write_state(spark, path, self.state() | {"parts": {k: type(m).__name__ for k, m in parts.items()}})
 
-    def fit(self, train: DataFrame, names: list[str]) -> Model:
-        """train has the features, label and weight; rows without label teach nothing."""
+    def windows(self, rows: DataFrame, names: list[str]) -> DataFrame:
+        """The rows with what the model reads of the bars before; most read nothing."""
+        return rows
+
+    def _labelled(self, train: DataFrame) -> DataFrame:
+        """Rows with a label and their weights; notes the classes. Rows without label teach nothing."""
         rows = train.where(F.col("label").isNotNull()).withColumn("weight", F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in train.columns else F.lit(1.0))
-        self.names, self.prepared = names, Prepared(rows, names, self.scaler, self.imputer)
         seen = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()
         self.classes = sorted(int(r["label"]) for r in seen)
         if sum(r["n"] for r in seen) < 20 or len(seen) < 2:
@@ -124,7 +154,13 @@ class Model:
             each = sum(r["n"] for r in seen) / len(seen)
             share = F.coalesce(*(F.when(F.col("label") == r["label"], F.lit(each / r["n"])) for r in seen))
             rows = rows.withColumn("weight", F.col("weight") * share)
-        ready = self.prepared(rows).select("features", "label", "weight").cache()
+        return rows
+
+    def fit(self, train: DataFrame, names: list[str], progress: Progress = None) -> Model:
+        """train has the features, label and weight."""
+        rows = self._labelled(train)
+        self.names, self.prepared = names, Prepared(rows, names, self.scaler, self.imputer)
+        ready = self.prepared(rows).select("features", "label", "weight", F.xxhash64(*KEYS).alias("row_id")).cache()
         total = ready.agg(F.sum("weight")).first()[0]
         try:
             self.fitted = self._fit(ready, total, len(names))
@@ -132,19 +168,27 @@ class Model:
             ready.unpersist()
         return self
 
+    def index(self):
+        """The place of a row's label among the classes."""
+        return F.array_position(F.array(*map(F.lit, self.classes)), F.col("label").cast("int")).cast("double") - 1
+
     def _fit(self, ready: DataFrame, total: float, n: int) -> list:
-        index = F.array_position(F.array(*map(F.lit, self.classes)), F.col("label").cast("int")).cast("double") - 1
-        return [self.classifier(total, n, len(self.classes)).setLabelCol("y").fit(ready.withColumn("y", index))]
+        return [self.classifier(total, n, len(self.classes)).setLabelCol("y").fit(ready.withColumn("y", self.index()))]
 
-    def probabilities(self, rows: DataFrame) -> DataFrame:
-        """instrument, pos and a column of probability for every class; rows that cannot be scored have no row."""
-        out = self.fitted[0].transform(self.prepared(rows)).withColumn("p", vector_to_array("probability"))
+    def probabilities(self, rows: DataFrame, keep: list[str] = KEYS) -> DataFrame:
+        """The kept columns, which name a row, and one of probability for every class; rows that cannot be scored have no row."""
+        ready, m = self.prepared(rows), self.fitted[0]
+        if isinstance(m, Trees):
+            return self._columns(scored(ready, keep, [f"p[{i}]" for i in range(len(self.classes))], m.probabilities), keep)
+        return self._columns(m.transform(ready).withColumn("p", vector_to_array("probability")), keep, lambda i: F.col("p")[i])
+
+    def _columns(self, told: DataFrame, keep: list[str], get=lambda i: F.col(f"`p[{i}]`")) -> DataFrame:
         at = {c: i for i, c in enumerate(self.classes)}
-        return out.select(*KEYS, *((F.col("p")[at[c]] if c in at else F.lit(0.0)).alias(column_of(c)) for c in CLASSES))
+        return told.select(*keep, *((get(at[c]) if c in at else F.lit(0.0)).alias(column_of(c)) for c in CLASSES))
 
 
 class Logistic(Model):
-    search = {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0]}
+    search = {"C": Range(1e-3, 1e2, log=True), "l1_ratio": [0.0, 0.25, 0.5, 0.75, 1.0]}
 
     def classifier(self, weight, n_features, n_classes):
         p = self.params
@@ -152,7 +196,7 @@ class Logistic(Model):
 
 
 class Forest(Model):
-    search = {"n_estimators": [100, 200, 300], "max_depth": [3, 5, 6, 8, 12], "min_samples_leaf": [5, 10, 20, 50, 100], "max_features": ["sqrt", "log2", "0.5"]}
+    search = {"max_depth": Range(2, 12, whole=True), "min_samples_leaf": [5, 10, 20, 50, 100], "max_features": ["sqrt", "log2", "0.5"]}
 
     def classifier(self, weight, n_features, n_classes):
         p = self.params
@@ -160,62 +204,119 @@ class Forest(Model):
 
 
 class ExtraTrees(Forest):
-    """Coarse cuts stand in for random ones: few bins and one feature tried at a node."""
+    """Extremely random trees: all rows in every tree, one uniform cut for each feature that is tried."""
 
-    def classifier(self, weight, n_features, n_classes):
-        return super().classifier(weight, n_features, n_classes).setMaxBins(8).setFeatureSubsetStrategy("1").setSubsamplingRate(1.0)
+    def how(self, n: int) -> Random:
+        p = self.params
+        share = {"sqrt": lambda: math.sqrt(n), "log2": lambda: math.log2(n)}.get(p.get("max_features", "sqrt"), lambda: float(p["max_features"]) * n)()
+        return Random(p.get("n_estimators", 300), p.get("max_depth", 6), p.get("min_samples_leaf", 20), max(1, int(share)))
+
+    def _fit(self, ready, total, n):
+        return [scattered(ready, self.index(), len(self.classes), self.how(n), self.seed)]
 
 
 class Boosted(Model):
-    """Gradient-boosted trees, one against the rest where there are three classes."""
+    """Boosting by gradients and Hessians, trees by levels; three classes share their probabilities."""
 
-    search = {"n_estimators": [50, 100, 200], "learning_rate": [0.01, 0.03, 0.1, 0.2], "max_depth": [2, 3, 4, 6], "subsample": [0.5, 0.8, 1.0], "colsample_bytree": [0.5, 0.8, 1.0], "min_child_weight": [1, 5, 10, 20]}
-    depth = 4
+    search = {"max_depth": Range(2, 8, whole=True), "learning_rate": Range(3e-3, 0.2, log=True), "subsample": Range(0.5, 1.0), "colsample_bytree": Range(0.5, 1.0), "min_child_weight": [1.0, 5.0, 10.0, 20.0], "reg_lambda": Range(0.1, 30.0, log=True)}
 
-    def classifier(self, weight, n_features, n_classes):
+    def how(self) -> Boost:
         p = self.params
-        return GBTClassifier(weightCol="weight", maxIter=p.get("n_estimators", 50), stepSize=p.get("learning_rate", 0.03), maxDepth=p.get("max_depth", self.depth), minInstancesPerNode=max(1, int(p.get("min_child_weight", 1))), subsamplingRate=p.get("subsample", 0.8), featureSubsetStrategy=str(p.get("colsample_bytree", 0.8)), seed=self.seed)
+        return Boost(p.get("n_estimators", 300), p.get("learning_rate", 0.03), p.get("max_depth", 4), None, p.get("subsample", 0.8), p.get("colsample_bytree", 0.8), p.get("reg_alpha", 0.0), p.get("reg_lambda", 1.0), p.get("min_child_weight", 5.0))
 
     def _fit(self, ready, total, n):
-        if len(self.classes) == 2:
-            return super()._fit(ready, total, n)
-        return [self.classifier(total, n, 2).setLabelCol("y").fit(ready.withColumn("y", (F.col("label") == c).cast("double"))) for c in self.classes]
-
-    def probabilities(self, rows):
-        if len(self.classes) == 2:
-            return super().probabilities(rows)
-        out = self.prepared(rows).select(*KEYS, "features")
-        for i, m in enumerate(self.fitted):
-            out = m.transform(out).withColumn(f"s{i}", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction")
-        total = sum(F.col(f"s{i}") for i in range(len(self.classes)))
-        return out.select(*KEYS, *((F.try_divide(F.col(f"s{self.classes.index(c)}"), total) if c in self.classes else F.lit(0.0)).alias(column_of(c)) for c in CLASSES))
+        return [boosted(ready, self.index(), len(self.classes), self.how(), self.seed)]
 
 
 class Leafwise(Boosted):
-    """Boosting by leaves, whose number says how deep trees may grow."""
+    """The same, the leaf of the greatest gain first, up to a number of leaves."""
 
-    def __init__(self, params=None, **how):
-        super().__init__(params, **how)
-        self.depth = math.ceil(math.log2(self.params.get("num_leaves", 15)))
+    search = {"num_leaves": [7, 15, 31, 63], "learning_rate": Range(3e-3, 0.2, log=True), "subsample": Range(0.5, 1.0), "colsample_bytree": Range(0.5, 1.0), "min_child_samples": [10, 20, 50, 100]}
+
+    def how(self) -> Boost:
+        p = self.params
+        return Boost(p.get("n_estimators", 300), p.get("learning_rate", 0.03), p.get("max_depth", -1), p.get("num_leaves", 15), p.get("subsample", 0.8), p.get("colsample_bytree", 0.8), p.get("reg_alpha", 0.0), p.get("reg_lambda", 0.0), 1e-3, p.get("min_child_samples", 20), 255, None)
 
 
 class Sequence(Model):
-    """A perceptron over the last bars' features laid side by side, where others have recurrent nets.
+    """A net over the windows of the last `seq_len` bars. Windows to learn from lie within the training rows; rows to score look
+    back at the bars before them, where `windows` was called on those too."""
 
-    Windows are of the whole series before it is split, so that a test row sees the bars before it."""
+    kind = "lstm"
+    search = {"hidden_size": [16, 32, 64, 128], "num_layers": Range(1, 2, whole=True), "dropout": [0.1, 0.2, 0.3, 0.5], "lr": Range(1e-4, 1e-2, log=True)}
 
-    search = {"hidden": [16, 32], "seq_len": [5, 10]}
+    @property
+    def bars(self) -> int:
+        return self.params.get("seq_len", 20)
 
-    def windows(self, rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
-        w, n = Window.partitionBy("instrument").orderBy("pos"), self.params.get("seq_len", 10)
-        made = {f"{x}_lag{k}": F.lag(x, k).over(w) for k in range(1, n) for x in names}
-        return rows.withColumns(made), [*names, *made]
+    def windows(self, rows, names):
+        """A window is null where bars are too few."""
+        last = Window.partitionBy("instrument").orderBy("pos").rowsBetween(1 - self.bars, 0)
+        made = F.collect_list(F.array(*(F.col(n).cast("double") for n in names))).over(last)
+        return rows.withColumn(f"window_{self.bars}", made).withColumn(f"window_{self.bars}", F.expr(f"CASE WHEN size(window_{self.bars}) = {self.bars} THEN flatten(window_{self.bars}) END"))
 
-    def classifier(self, weight, n_features, n_classes):
-        return MultilayerPerceptronClassifier(layers=[n_features, self.params.get("hidden", 32), n_classes], maxIter=self.params.get("epochs", 60), seed=self.seed, blockSize=128)
+    def shape(self, n_features: int) -> Shape:
+        p = self.params
+        return Shape(self.kind, self.bars, n_features, len(self.classes), p.get("hidden_size", 32), p.get("num_layers", 1), p.get("dropout", 0.2), p.get("bidirectional", False))
+
+    def training(self) -> Training:
+        p = self.params
+        return Training(p.get("epochs", 40), p.get("batch_size", 64), p.get("lr", 1e-3), p.get("weight_decay", 1e-4), p.get("patience", 6), self.seed)
+
+    def fit(self, train, names, progress=None):
+        """The tail of the training bars says when to stop; windows that share bars with those before it are in neither part."""
+        self.names, column = names, f"window_{self.bars}"
+        first = train.agg(F.min("pos")).first()[0]
+        rows = self._labelled(train if column in train.columns else self.windows(train, names))
+        self.prepared = Prepared(train, names, self.scaler, self.imputer)
+        rows = rows.where((F.col("pos") >= first + self.bars - 1) & F.col(column).isNotNull()).select("pos", "label", "weight", F.xxhash64(*KEYS).alias("row_id"), F.col(column).alias("features")).cache()
+        n, cut, last = rows.agg(F.count("*"), F.percentile_approx("pos", F.lit(1 - self.params.get("val_fraction", 0.15)), F.lit(10_000)), F.max("pos")).first()
+        if n < 50:
+            raise ValueError(f"{n} windows of {self.bars} bars are too few")
+        begin = cut + self.bars - 1
+        early, tail = rows.where(F.col("pos") < cut), rows.where(F.col("pos") >= (begin if begin <= last else cut))
+        shape = self.shape(len(names))
+        net = Net(shape, {}, *self._scales())
+        data = [blocks(part, self.index()).map(lambda b, ready=net.ready: type(b)(ready(b.x), b.y, b.weight, b.row)).persist() for part in (early, tail)]
+        net.params, net.history = trained(shape, data[0], early.count(), data[1], self.training(), progress)
+        for d in data:
+            d.unpersist()
+        rows.unpersist()
+        self.fitted = [net]
+        return self
+
+    def _scales(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fillings, middles, and what to multiply by, of the features."""
+        fill, m = np.array([self.prepared.fill.get(n, np.nan) for n in self.names]), self.prepared.scaler
+        if m is None:
+            return fill, np.zeros(len(fill)), np.ones(len(fill))
+        middle, spread = (np.array(v) for v in ((m.mean, m.std) if hasattr(m, "mean") else (m.median, m.range)))
+        return fill, middle, np.divide(1.0, spread, out=np.zeros_like(spread), where=spread > 0)
+
+    def probabilities(self, rows, keep=KEYS):
+        column = f"window_{self.bars}"
+        rows = rows if column in rows.columns else self.windows(rows, self.names)
+        made = scored(rows.where(F.col(column).isNotNull()), keep, [f"p[{i}]" for i in range(len(self.classes))], self.fitted[0].probabilities, column)
+        return self._columns(made, keep)
+
+
+class Gru(Sequence):
+    kind = "gru"
+
+
+class Transformer(Sequence):
+    kind = "transformer"
+    search = {"d_model": [16, 32, 64], "n_layers": Range(1, 3, whole=True), "dropout": [0.1, 0.2, 0.3], "lr": Range(1e-4, 3e-3, log=True)}
+
+    def shape(self, n_features):
+        p = self.params
+        return Shape(self.kind, self.bars, n_features, len(self.classes), p.get("d_model", 32), p.get("n_layers", 2), p.get("dropout", 0.2), heads=p.get("n_heads", 4), causal=p.get("causal", True))
+
+    def training(self):
+        return replace(super().training(), rate=self.params.get("lr", 5e-4))
 
 
-FAMILIES: dict[str, type[Model]] = {"logreg": Logistic, "random_forest": Forest, "extra_trees": ExtraTrees, "xgboost": Boosted, "lightgbm": Leafwise, "lstm": Sequence, "gru": Sequence, "transformer": Sequence}
+FAMILIES: dict[str, type[Model]] = {"logreg": Logistic, "random_forest": Forest, "extra_trees": ExtraTrees, "xgboost": Boosted, "lightgbm": Leafwise, "lstm": Sequence, "gru": Gru, "transformer": Transformer}
 
 
 def family(name: str, params: dict | None = None, seed: int = 42, scaler: str = "standard", imputer: str = "median") -> Model:
@@ -227,18 +328,18 @@ def family(name: str, params: dict | None = None, seed: int = 42, scaler: str =
 # ensembles: members' probabilities side by side
 
 
-def vote(members: list[DataFrame], method: str = "soft") -> DataFrame:
+def vote(members: list[DataFrame], method: str = "soft", keep: list[str] = KEYS) -> DataFrame:
     """Mean probability, or share of members whose likeliest class it is, the first of equals; over members that scored the row."""
     each = None
     for m in members:
         if method == "hard":
             top = F.greatest(*PROBABILITIES)
             best = F.coalesce(*(F.when(F.col(p) == top, F.lit(p)) for p in PROBABILITIES))
-            m = m.select(*KEYS, *((best == p).cast("double").alias(p) for p in PROBABILITIES))
+            m = m.select(*keep, *((best == p).cast("double").alias(p) for p in PROBABILITIES))
         each = m if each is None else each.unionByName(m)
-    mean = each.groupBy(*KEYS).agg(*(F.avg(p).alias(p) for p in PROBABILITIES))
+    mean = each.groupBy(*keep).agg(*(F.avg(p).alias(p) for p in PROBABILITIES))
     total = sum(F.col(p) for p in PROBABILITIES)
-    return mean.select(*KEYS, *(F.try_divide(F.col(p), total).alias(p) for p in PROBABILITIES))
+    return mean.select(*keep, *(F.try_divide(F.col(p), total).alias(p) for p in PROBABILITIES))
 
 
 class Ensemble(Model):
@@ -261,15 +362,20 @@ class Ensemble(Model):
     def _members(self) -> list[Model]:
         return [family(f, self.member_params.get(f), self.seed + i, self.scaler, self.imputer) for i, f in enumerate(self.families)]
 
-    def _table(self, models: list[Model], rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    def windows(self, rows, names):
+        for m in self._members():
+            rows = m.windows(rows, names)
+        return rows
+
+    def _table(self, models: list[Model], rows: DataFrame, keep: list[str] = KEYS) -> tuple[DataFrame, list[str]]:
         out, names = None, []
         for i, m in enumerate(models):
-            p = m.probabilities(rows).select(*KEYS, *(F.col(c).alias(f"{c}_{i}") for c in PROBABILITIES))
-            out = p if out is None else out.join(p, KEYS)
+            p = m.probabilities(rows, keep).select(*keep, *(F.col(c).alias(f"{c}_{i}") for c in PROBABILITIES))
+            out = p if out is None else out.join(p, keep)
             names += [f"{c}_{i}" for c in PROBABILITIES]
         return out, names
 
-    def fit(self, train, names):
+    def fit(self, train, names, progress=None):
         self.names = names
         if self.method == "stacking":
             lo, hi = train.agg(F.min("pos"), F.max("pos")).first()
@@ -286,10 +392,10 @@ class Ensemble(Model):
         self.classes = self.models[0].classes
         return self
 
-    def probabilities(self, rows):
+    def probabilities(self, rows, keep=KEYS):
         if self.method == "stacking":
-            return self.meta.probabilities(self._table(self.models, rows)[0])
-        return vote([m.probabilities(rows) for m in self.models], self.method)
+            return self.meta.probabilities(self._table(self.models, rows, keep)[0], keep)
+        return vote([m.probabilities(rows, keep) for m in self.models], self.method, keep)
 
 
 # meta-labels
@@ -330,25 +436,37 @@ def signals(probabilities: DataFrame, classes: list[int]) -> DataFrame:
 # tuning and walking
 
 
-def tuned(make: Callable[[dict], Model], search: dict[str, list], params: dict, train: DataFrame, names: list[str], tries: int, gap: int, seed: int) -> dict:
-    """The best of some settings by log-loss on the last fifth of the training bars; the given settings are the first try."""
+def log_loss():
+    """Mean log-loss of rows with a label and probabilities."""
+    own = F.coalesce(*(F.when(F.col("label") == c, F.col(column_of(c))) for c in CLASSES))
+    return F.avg(-F.ln(F.greatest(own, F.lit(1e-15))))
+
+
+def tuned(make: Callable[[dict], Model], search: dict[str, Range | list], params: dict, train: DataFrame, names: list[str], tries: int, gap: int, seed: int, progress: Progress = None) -> dict:
+    """The best settings by log-loss on the last fifth of the training bars, `gap` bars of which are left out in between.
+
+    The given settings are the first trial; what follows a Parzen estimator proposes."""
     lo, hi = train.agg(F.min("pos"), F.max("pos")).first()
-    cut = hi - (hi - lo + 1) // 5
-    early, late = train.where(F.col("pos") < cut - gap), train.where((F.col("pos") >= cut) & F.col("label").isNotNull())
+    cut = lo + (hi - lo + 1) * 4 // 5
+    early, late = train.where(F.col("pos") < cut), train.where((F.col("pos") >= cut + gap) & F.col("label").isNotNull())
     if not search or late.count() < 30:
         return params
-    draw = random.Random(seed)
+    parzen = Parzen(search, seed, min(5, max(1, tries // 3)))
     best, least = params, math.inf
     for k in range(tries):
-        try_ = params if k == 0 else params | {n: draw.choice(v) for n, v in sorted(search.items())}
+        asked = {n: params[n] for n in search if n in params} if k == 0 else parzen.ask()
+        loss = None
         try:
-            p = make(try_).fit(early, names).probabilities(late).join(late.select(*KEYS, "label"), KEYS)
+            p = make(params | asked).fit(early, names).probabilities(late).join(late.select(*KEYS, "label"), KEYS)
+            n, loss = p.agg(F.count("*"), log_loss()).first()
+            loss = loss if n >= 10 else None
         except ValueError:
-            continue
-        own = F.coalesce(*(F.when(F.col("label") == c, F.col(column_of(c))) for c in CLASSES))
-        loss = p.agg(F.avg(-F.ln(F.greatest(own, F.lit(1e-15))))).first()[0]
+            pass
+        parzen.tell(asked, math.inf if loss is None else loss)
+        if progress:
+            progress("tune", {"trial": k, "loss": loss, "params": asked})
         if loss is not None and loss < least:
-            best, least = try_, loss
+            best, least = params | asked, loss
     return best
 
 
@@ -372,19 +490,17 @@ def build(config, seed: int = 42) -> Model:
     return family(config.family, config.params, **how)
 
 
-def walk_forward(rows: DataFrame, names: list[str], folds: list[Fold], make: Callable[[], Model], meta: tuple[str, dict] | Callable[[], Model] | None = None, threads: int = 4, tries: int = 0, embargo: int = 5, progress: Callable[[str, int], None] | None = None) -> Walk:
+def walk_forward(rows: DataFrame, names: list[str], folds: list[Fold], make: Callable[[], Model], meta: tuple[str, dict] | Callable[[], Model] | None = None, threads: int = 4, tries: int = 0, embargo: int = 5, progress: Progress = None) -> Walk:
     """Fits a model in every fold on bars whose label is known before its test, and predicts that test.
 
     rows has features, label, t1_pos and weight, and is read for every fold: it should be cached or written. Folds
     run side by side from a few threads. meta: a primary rule and its parameters, or what makes a primary model, which
     each fold fits on its own training rows; the model then learns when the primary is right."""
     began = time.time()
-    data, used = rows, names
+    data = rows
     if meta and not callable(meta):
         data = meta_labels(with_side(rows, *meta))
-    probe = make()
-    if isinstance(probe, Sequence):
-        data, used = probe.windows(data, used)
+    data = make().windows(data, names)
 
     def one(f: Fold) -> tuple[DataFrame, dict, Model]:
         t = time.time()
@@ -399,8 +515,8 @@ def walk_forward(rows: DataFrame, names: list[str], folds: list[Fold], make: Cal
             raise ValueError(f"fold {f.fold_id}: the primary has a side on fewer than 30 training bars")
         if tries and model.search:
             kind = type(model)
-            model.params = tuned(lambda p: kind(p, seed=model.seed, scaler=model.scaler, imputer=model.imputer), model.search, model.params, train, used, tries, embargo, model.seed)
-        model.fit(train, used)
+            model.params = tuned(lambda p: kind(p, seed=model.seed, scaler=model.scaler, imputer=model.imputer), model.search, model.params, train, names, tries, embargo, model.seed + f.fold_id, progress)
+        model.fit(train, names, progress)
         p = model.probabilities(test)
         s = meta_signals(p, test).withColumn("y_pred", F.when(F.col("p_long") > 0.5, 1).otherwise(-1)) if meta else signals(p, model.classes)
         if progress:
@@ -418,25 +534,34 @@ def walk_forward(rows: DataFrame, names: list[str], folds: list[Fold], make: Cal
     return Walk(oos, folds, time.time() - began, [n for _, n, _ in made], {n["fold_id"]: m for _, n, m in made})
 
 
-def permutation_importance(walk: Walk, rows: DataFrame, names: list[str], seed: int = 0) -> DataFrame:
-    """How much the log-loss of each fold's test rises when a feature is shuffled among its bars: mean and deviation over folds."""
-    out = []
+def shuffled(rows: DataFrame, names: list[str], folds: list[Fold], seed: int = 0) -> DataFrame:
+    """The test rows of all folds, once as they are (feature is empty) and once for each feature with its values shuffled among
+    the rows of its fold and instrument: fold_id, feature, and the rows' columns. One exchange for all of them."""
+    of_fold = F.coalesce(*(F.when((F.col("pos") >= f.test_start) & (F.col("pos") < f.test_end), F.lit(f.fold_id)) for f in folds)).cast("long")
+    tests = rows.withColumn("fold_id", of_fold).where("fold_id is not null")
+    copies = tests.withColumn("feature", F.explode(F.array(*(F.lit(n) for n in ("", *names)))))
+    value = F.coalesce(*(F.when(F.col("feature") == n, F.struct(F.col(n).cast("double").alias("v"))) for n in names), F.struct(F.lit(None).cast("double").alias("v")))
+    group = ["fold_id", "instrument", "feature"]
+    w = Window.partitionBy(*group)
+    copies = copies.withColumn("__value", value).withColumn("__place", F.row_number().over(w.orderBy("pos"))).withColumn("__other", F.row_number().over(w.orderBy(F.xxhash64("pos", F.lit(seed), "feature"), "pos")))
+    moved = copies.where("feature <> ''").select(*group, F.col("__other").alias("__place"), F.col("__value").alias("__moved"))
+    mixed = copies.join(moved, [*group, "__place"], "left")
+    return mixed.withColumns({n: F.when(F.col("feature") == n, F.col("__moved.v")).otherwise(F.col(n)) for n in names}).drop("__value", "__place", "__other", "__moved")
 
-    def loss(model: Model, test: DataFrame) -> float | None:
-        p = model.probabilities(test).join(test.select(*KEYS, "label"), KEYS)
-        own = F.coalesce(*(F.when(F.col("label") == c, F.col(column_of(c))) for c in CLASSES))
-        return p.where("label is not null").agg(F.avg(-F.ln(F.greatest(own, F.lit(1e-15))))).first()[0]
 
+def permutation_importance(walk: Walk, rows: DataFrame, names: list[str], seed: int = 0) -> DataFrame:
+    """How much the log-loss of each fold's test rises when a feature is shuffled among its bars: mean and deviation over folds.
+
+    All rows to score, plain and shuffled, are made once and kept by a checkpoint; then all models score theirs in one job."""
+    shared_dir(rows.sparkSession)
+    mixed, keep = shuffled(rows, names, walk.folds, seed).checkpoint(), ["fold_id", "feature", *KEYS]
+    # one series for each fold and feature, for models that look back at bars before
+    apart = mixed.withColumn("instrument", F.concat_ws("|", "feature", "instrument"))
+    told = None
     for f in walk.folds:
-        test = rows.where((F.col("pos") >= f.test_start) & (F.col("pos") < f.test_end))
-        base = loss(walk.models[f.fold_id], test)
-        for n in names:
-            place = F.row_number().over(Window.partitionBy("instrument").orderBy("pos"))
-            other = F.row_number().over(Window.partitionBy("instrument").orderBy(F.xxhash64("pos", F.lit(seed), F.lit(n))))
-            values = test.select("instrument", other.alias("k"), F.col(n).alias("v"))
-            mixed = test.withColumn("k", place).drop(n).join(values, ["instrument", "k"]).withColumnRenamed("v", n)
-            worse = loss(walk.models[f.fold_id], mixed)
-            if base is not None and worse is not None:
-                out.append((n, f.fold_id, worse - base))
-    made = rows.sparkSession.createDataFrame(out, "feature string, fold_id long, rise double")
-    return made.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))
+        one = walk.models[f.fold_id].probabilities(apart.where(F.col("fold_id") == f.fold_id), [*keep, "label"])
+        told = one if told is None else told.unionByName(one)
+    losses = told.where("label is not null").groupBy("fold_id", "feature").agg(log_loss().alias("loss"))
+    plain = losses.where("feature = ''").select("fold_id", F.col("loss").alias("base"))
+    rise = losses.where("feature <> ''").join(plain, "fold_id").select("feature", (F.col("loss") - F.col("base")).alias("rise"))
+    return rise.groupBy("feature").agg(F.avg("rise").alias("importance"), F.stddev_pop("rise").alias("std"))

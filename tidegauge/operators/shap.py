@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators.models import KEYS, Ensemble, Logistic, Model
+from tidegauge.operators.models import KEYS, Ensemble, Logistic, Model, Sequence
+from tidegauge.operators.trees import Trees
 
 
 @dataclass
@@ -31,22 +32,22 @@ class Leaf:
     share: np.ndarray
 
 
-def leaves(spark: SparkSession, fitted, folder: str, of_class: int | None) -> list[Leaf]:
-    """The leaves of a fitted MLlib tree model, read from where it saves itself: shares of a class, or predictions by tree weight."""
+def leaves(spark: SparkSession, fitted, folder: str, of_class: int) -> list[Leaf]:
+    """The leaves of a fitted MLlib forest, read from where it saves itself: shares of a class."""
     fitted.write().overwrite().save(folder)
     trees: dict[int, dict[int, object]] = {}
     for r in spark.read.parquet(f"{folder}/data").collect():
         trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"]
     out: list[Leaf] = []
-    for t, nodes in trees.items():
-        scale = 1 / len(trees) if of_class is not None else fitted.treeWeights[t]
-        weight = lambda n: sum(n["impurityStats"]) if of_class is not None else n["impurityStats"][0]
+    for nodes in trees.values():
+        scale = 1 / len(trees)
+        weight = lambda n: sum(n["impurityStats"])
         todo = [(0, {})]
         while todo:
             i, path = todo.pop()
             n = nodes[i]
             if n["leftChild"] < 0:
-                value = n["impurityStats"][of_class] / sum(n["impurityStats"]) if of_class is not None else n["prediction"]
+                value = n["impurityStats"][of_class] / sum(n["impurityStats"])
                 f = sorted(path)
                 columns = zip(*(path[k] for k in f), strict=True) if f else ((), (), ())
                 out.append(Leaf(scale * value, np.array(f, int), *(np.array(c, float) for c in columns)))
@@ -58,6 +59,27 @@ def leaves(spark: SparkSession, fitted, folder: str, of_class: int | None) -> li
     return out
 
 
+def leaves_of(fitted: Trees, of_class: int) -> list[Leaf]:
+    """The leaves of trees grown here: of boosted ones those of a class's margin, else shares of the class in each tree's part."""
+    out: list[Leaf] = []
+    for t in fitted.trees:
+        if fitted.boosted and t.of_class != of_class:
+            continue
+        todo = [(0, {})]
+        while todo:
+            n, path = todo.pop()
+            if t.left[n] < 0:
+                f = sorted(path)
+                columns = zip(*(path[k] for k in f), strict=True) if f else ((), (), ())
+                out.append(Leaf(float(t.value[n]) if fitted.boosted else float(t.value[n][of_class]) / len(fitted.trees), np.array(f, int), *(np.array(c, float) for c in columns)))
+                continue
+            k, cut = int(t.feature[n]), float(t.cut[n])
+            low, high, z = path.get(k, (-math.inf, math.inf, 1.0))
+            for child, own in ((t.left[n], (low, min(high, cut))), (t.right[n], (max(low, cut), high))):
+                todo.append((child, path | {k: (*own, z * t.cover[child] / t.cover[n])}))
+    return out
+
+
 def shapley(x: np.ndarray, found: list[Leaf]) -> tuple[np.ndarray, float]:
     """What each column adds to the score of each row, and the score of a row of which nothing is known."""
     phi, base = np.zeros(x.shape), 0.0
@@ -88,6 +110,8 @@ def explained(model: Model, rows: DataFrame, folder: str, c: int = 1) -> list[tu
     if isinstance(model, Ensemble):
         return [(f"{i}.{name}", table) for i, m in enumerate(model.models) for name, table in explained(m, rows, f"{folder}/{i}", c)]
     at = model.classes.index(c) if c in model.classes else len(model.classes) - 1
+    if isinstance(model, Sequence):
+        return []
     ready = model.prepared(rows)
     name, names = type(model).__name__.lower(), model.names
     if isinstance(model, Logistic):
@@ -101,18 +125,18 @@ def explained(model: Model, rows: DataFrame, folder: str, c: int = 1) -> list[tu
             middle[r["i"]] = r["m"]
         intercept = fitted.intercept if fitted.numClasses == 2 else fitted.interceptVector[at]
         return [(name, _scored(ready, names, lambda x: ((x - middle) * weights, float(sign * intercept + middle @ weights))))]
-    fitted = model.fitted[0] if len(model.fitted) == 1 else model.fitted[at]
-    if not hasattr(fitted, "treeWeights"):
+    fitted = model.fitted[0]
+    if isinstance(fitted, Trees):
+        two = fitted.boosted and len(fitted.base) == 1
+        found, sign, start = leaves_of(fitted, 0 if two else at), -1.0 if two and at == 0 else 1.0, fitted.base[0 if two else at] if fitted.boosted else 0.0
+    elif hasattr(fitted, "treeWeights"):
+        found, sign, start = leaves(rows.sparkSession, fitted, folder, at), 1.0, 0.0
+    else:
         return []
-    boosted = hasattr(fitted, "evaluateEachIteration")
-    found = leaves(rows.sparkSession, fitted, folder, None if boosted else at)
-    sign = 2.0 if boosted else 1.0  # of a margin the log-odds are twice
-    if boosted and len(model.fitted) == 1 and at == 0:
-        sign = -sign
 
     def score(x: np.ndarray) -> tuple[np.ndarray, float]:
         phi, base = shapley(x, found)
-        return sign * phi, sign * base
+        return sign * phi, sign * (base + start)
 
     return [(name, _scored(ready, names, score))]
 
