@@ -54,7 +54,7 @@ def plain(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size,splits,n", [(97, 1000, 4), (701, 0, 12), (4001, 1000, 40)])
+@pytest.mark.parametrize("size,splits,n", [(251, 1000, 3), (701, 0, 12), (4001, 1000, 40)])
 def test_all_records_come_back(spark, split, tmp_path, size, splits, n):
     rows = some(n)
     path = str(tmp_path / "a")
