@@ -6,21 +6,24 @@ order status, and hourly bars by type of event. Values are rounded where engines
 
 from __future__ import annotations
 
-import tempfile
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.relation import Rel
+from tidegauge.functions.shared import shared_dir
 from tidegauge.functions.steps import Steps
 from tidegauge.operators import backtest as bt
 from tidegauge.operators import diagnostics as dg
 from tidegauge.operators import features as ft
 from tidegauge.operators import folds as fo
+from tidegauge.operators import information as im
 from tidegauge.operators import labels as lb
 from tidegauge.operators import metrics as mt
 from tidegauge.operators import models as md
@@ -361,7 +364,7 @@ query("calibration", f"WITH o AS (SELECT * FROM {_CAL.source} WHERE y_true IS NO
 )
 
 
-# models: MLlib has no counterpart in SQL
+# models: they have no counterpart in SQL
 
 
 SMALL = ExperimentConfig(
@@ -371,8 +374,8 @@ SMALL = ExperimentConfig(
 )
 
 
-def _walked(spark: SparkSession, sf_dir: str, **model) -> tuple[ex.Dataset, md.Walk, ExperimentConfig]:
-    config = replace(SMALL, model=ModelConfig(**model))
+def _walked(spark: SparkSession, sf_dir: str, label: LabelConfig | None = None, tries: int = 0, **model) -> tuple[ex.Dataset, md.Walk, ExperimentConfig]:
+    config = replace(SMALL, model=ModelConfig(**model), label=label or SMALL.label, walkforward=replace(SMALL.walkforward, retune_per_fold=tries > 0, tune_iterations=max(1, tries)))
     ds = ex.prepare(bars_daily(spark, sf_dir), config)
     return ds, ex.walk(ds, config), config
 
@@ -381,12 +384,16 @@ MODELS: dict[str, dict] = {
     "wf_logreg_oos": {"family": "logreg", "params": {"l1_ratio": 0.0}},
     "wf_random_forest_oos": {"family": "random_forest", "params": {"n_estimators": 20}, "scaler": "none"},
     "wf_extra_trees_oos": {"family": "extra_trees", "params": {"n_estimators": 20}, "scaler": "robust"},
-    "wf_boosted_oos": {"family": "xgboost", "params": {"n_estimators": 5, "max_depth": 3}},
-    "wf_sequence_oos": {"family": "lstm", "params": {"seq_len": 5, "hidden": 8, "epochs": 20}},
+    "wf_boosted_oos": {"family": "xgboost", "params": {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1}},
+    "wf_boosted_3class_oos": {"family": "xgboost", "params": {"n_estimators": 10, "max_depth": 3, "learning_rate": 0.1}, "label": LabelConfig(horizon=5, deadband=0.01, three_class=True)},
+    "wf_sequence_oos": {"family": "lstm", "params": {"seq_len": 5, "hidden_size": 8, "epochs": 8}},
+    "wf_gru_oos": {"family": "gru", "params": {"seq_len": 5, "hidden_size": 8, "epochs": 8}},
+    "wf_transformer_oos": {"family": "transformer", "params": {"seq_len": 5, "d_model": 8, "n_heads": 2, "n_layers": 1, "epochs": 8}},
+    "wf_tuned_oos": {"family": "logreg", "params": {"max_iter": 20}, "tries": 3},
     "vote_soft": {"ensemble": EnsembleConfig(True, "soft", ["logreg", "random_forest"], {"random_forest": {"n_estimators": 10}})},
     "stacking": {"ensemble": EnsembleConfig(True, "stacking", ["logreg", "random_forest"], {"random_forest": {"n_estimators": 10}}, 3)},
     "vote_hard": {"ensemble": EnsembleConfig(True, "hard", ["logreg", "random_forest"], {"random_forest": {"n_estimators": 10}})},
-    "wf_leafwise_oos": {"family": "lightgbm", "params": {"n_estimators": 5, "num_leaves": 7}},
+    "wf_leafwise_oos": {"family": "lightgbm", "params": {"n_estimators": 20, "num_leaves": 7, "learning_rate": 0.1}},
     "meta_label": {"family": "logreg", "meta": MetaConfig(True, "momentum", {"window": 20})},
     "meta_label_model": {"family": "logreg", "meta": MetaConfig(True, "model", {}, "logreg", {"l1_ratio": 0.0})},
 }
@@ -407,6 +414,31 @@ def perm_importance(spark, sf_dir):
     return md.permutation_importance(w, ds.rows, ds.names)
 
 
+class _Rule(md.Model):
+    """A model that has nothing to learn: the less, the more the close is above its past."""
+
+    def probabilities(self, rows, keep=md.KEYS):
+        p = 1 / (1 + F.exp(F.col("z") + 20 * F.col("m")))
+        return rows.select(*keep, (1 - p).alias("p_m1"), F.lit(0.0).alias("p_0"), p.alias("p_1"))
+
+
+@query(
+    "perm_importance_of_rule",
+    f"""WITH b AS (SELECT *, close / lag(close, 10) OVER k - 1 AS m, (close - avg(close) OVER l) / nullif(stddev_samp(close) OVER l, 0) AS z, lead(close, 5) OVER k / close - 1 AS ret, (pos - 400) // 250 AS fold_id FROM {STATUS} WINDOW k AS (PARTITION BY instrument ORDER BY pos), l AS (PARTITION BY instrument ORDER BY pos ROWS 19 PRECEDING)),
+      t AS (SELECT *, row_number() OVER (PARTITION BY instrument, fold_id ORDER BY pos) AS place, row_number() OVER (PARTITION BY instrument, fold_id ORDER BY md5('0|z|' || pos)) AS of_z, row_number() OVER (PARTITION BY instrument, fold_id ORDER BY md5('0|m|' || pos)) AS of_m FROM b WHERE pos >= 400),
+      p AS (SELECT fold_id, ret, '' AS feature, z + 20 * m AS x FROM t UNION ALL SELECT a.fold_id, a.ret, 'z', b.z + 20 * a.m FROM t a JOIN t b ON a.instrument = b.instrument AND a.fold_id = b.fold_id AND a.place = b.of_z UNION ALL SELECT a.fold_id, a.ret, 'm', a.z + 20 * b.m FROM t a JOIN t b ON a.instrument = b.instrument AND a.fold_id = b.fold_id AND a.place = b.of_m),
+      l AS (SELECT fold_id, feature, avg(-ln(greatest(CASE WHEN ret > 0 THEN 1 / (1 + exp(x)) ELSE 1 - 1 / (1 + exp(x)) END, 1e-15))) AS loss FROM p WHERE ret IS NOT NULL GROUP BY fold_id, feature)
+      SELECT a.feature, round(avg(a.loss - b.loss), 6) + 0.0 AS importance, round(stddev_pop(a.loss - b.loss), 6) + 0.0 AS std FROM l a JOIN l b ON a.fold_id = b.fold_id AND b.feature = '' WHERE a.feature <> '' GROUP BY a.feature""",
+)
+def perm_importance_of_rule(spark, sf_dir):
+    """Over all bars from 400 on, in blocks of 250, of which each is a test."""
+    rows = lb.fixed_horizon(Rel(bars_status(spark, sf_dir)), 5).steps(lambda s: {"z": ft.z(s, "close", 20), "m": f"close / {s.lag('close', 10)} - 1"}).df
+    last = rows.agg(F.max("pos")).first()[0]
+    tests = [fo.Fold(i, 0, a - 5, a, a + 250) for i, a in enumerate(range(400, last + 1, 250))]
+    walk = md.Walk(rows, tests, 0.0, models={f.fold_id: _Rule() for f in tests})
+    return Rel(md.permutation_importance(walk, rows, ["z", "m"])).rounded("importance", "std", keep=["feature"]).df
+
+
 @query("feat_hmm_state")
 def feat_hmm_state(spark, sf_dir):
     return ft.feature(bars_daily(spark, sf_dir), "hmm_state", refit=400, min_train=500, n_iter=10)
@@ -428,6 +460,25 @@ def mutual_information(spark, sf_dir):
     return Rel(dg.mutual_information(ds.rows, ds.names)).rounded("information", keep=["feature"]).df
 
 
+def _psi(n: str) -> str:
+    """The digamma function of a whole number: the harmonic numbers."""
+    return f"(coalesce(list_sum(list_transform(range(1, ({n})::BIGINT), lambda i: 1.0::DOUBLE / i)), 0) - 0.5772156649015329)"
+
+
+#: Every value against every other.
+_NEAREST_SQL = f"""WITH r AS (SELECT * FROM {_MI_ROWS.source} WHERE label IS NOT NULL AND {" AND ".join(f"{x} IS NOT NULL" for x in _MI_NAMES)}),
+  v AS ({" UNION ALL ".join(f"SELECT '{x}' AS feature, label AS y, pos AS id, {x}::DOUBLE AS x FROM r" for x in _MI_NAMES)}), t AS (SELECT feature, y, count(*) AS total FROM v GROUP BY feature, y HAVING count(*) > 1),
+  s AS (SELECT v.*, total FROM v JOIN t USING (feature, y)), d AS (SELECT a.feature, a.id, any_value(a.x) AS x, any_value(a.total) AS total, list_sort(min(abs(a.x - b.x), 4))[least(3, any_value(a.total) - 1) + 1] AS r FROM s a JOIN s b ON a.feature = b.feature AND a.y = b.y GROUP BY a.feature, a.id),
+  m AS (SELECT d.feature, d.id, any_value(d.total) AS total, count(*) AS m FROM d JOIN s ON s.feature = d.feature AND (abs(s.x - d.x) < d.r OR s.x = d.x) GROUP BY d.feature, d.id)
+  SELECT feature, round(greatest(0, {_psi("count(*)")} + avg({_psi("least(3, total - 1)")} - {_psi("total")} - {_psi("m")})), 6) + 0.0 AS information FROM m GROUP BY feature"""
+
+
+@query("mutual_information_nearest", _NEAREST_SQL)
+def mutual_information_nearest(spark, sf_dir):
+    ds = ex.prepare(bars_daily(spark, sf_dir), SMALL)
+    return Rel(im.nearest(ds.rows, ds.names)).rounded("information", keep=["feature"]).df
+
+
 @query(
     "kpss",
     f"""WITH b AS (SELECT instrument, pos, close - avg(close) OVER (PARTITION BY instrument) AS e FROM {STATUS}), l AS (SELECT ceil(12 * power(max(n) / 100.0, 0.25))::BIGINT AS l FROM (SELECT count(*) AS n FROM b GROUP BY instrument)),
@@ -520,11 +571,8 @@ def experiment_record(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or in local mode a temporary one."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='tidegauge-')}/{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 #: Returns of the eight strategies by hand: a window, its standard score, the position of the bar before.
@@ -569,9 +617,9 @@ def run_log(spark, sf_dir):
     return _logged(spark, sf_dir).runs().select("run_id", "timestamp", "config_hash", "wf_train", "m_n_bars", F.round("sharpe_per_bar", 6).alias("sharpe_per_bar"), "oos_accuracy")
 
 
-@query("returns_matrix", f"{_SERIES_SQL} SELECT ts, " + ", ".join(f"round(max(r) FILTER (WHERE series = {k}), 6) + 0.0 AS run{k}" for k in (0, 3, 7)) + " FROM r GROUP BY ts")
+@query("returns_matrix", f"{_SERIES_SQL} SELECT ts, " + ", ".join(f"round(max(r) FILTER (WHERE series = {k}), 6) + 0.0 AS run{k}" for k in range(8)) + " FROM r GROUP BY ts")
 def returns_matrix(spark, sf_dir):
-    names = [f"run{k}" for k in (0, 3, 7)]
+    names = [f"run{k}" for k in range(8)]
     return Rel(_logged(spark, sf_dir).returns_matrix(names)).rounded(*names, keep=["ts"]).df
 
 
@@ -591,13 +639,14 @@ def deflated_sharpe(spark, sf_dir):
     return spark.createDataFrame([(int(k), round(d["sr0"], 6), round(d["psr"], 4), round(d["dsr"], 4), d["significant"]) for k, d in told], "series long, sr0 double, psr double, dsr double, significant boolean")
 
 
-# Quantiles of the normal distribution at 1 - 1/n and 1 - 1/(n e), from tables.
-QUANTILES = [(2, 0.0, 0.900452597), (10, 1.281551566, 1.789241765), (100, 2.326347874, 2.680210445), (1000, 3.090232306, 3.375895391)]
+_QUANTILES = [NormalDist().inv_cdf(1 - 1 / 8), NormalDist().inv_cdf(1 - 1 / (8 * math.e))]
 
 
-@query("expected_max_sharpe", f"SELECT n::INT AS n_trials, round(0.2 * ((1 - 0.5772156649) * a + 0.5772156649 * b), 6) + 0.0 AS best FROM (VALUES {', '.join(map(str, QUANTILES))}) AS t(n, a, b)")
+@query("expected_max_sharpe", f"{_MOMENTS_SQL} SELECT count(*)::BIGINT AS n_trials, round(stddev_samp(sr) * ((1 - 0.5772156649015329) * {_QUANTILES[0]!r} + 0.5772156649015329 * {_QUANTILES[1]!r}), 6) + 0.0 AS best FROM m")
 def expected_max_sharpe(spark, sf_dir):
-    return spark.createDataFrame([(n, round(mt.expected_max_sharpe(n, 0.04), 6)) for n, _, _ in QUANTILES], "n_trials int, best double")
+    """The Sharpe ratio to expect of the best of all logged runs if none had any skill."""
+    n, variance = rl.trials(_logged(spark, sf_dir).runs(), "ALL", "1d").agg(F.count("*"), F.var_samp("sharpe_per_bar")).first()
+    return spark.createDataFrame([(n, round(mt.expected_max_sharpe(n, variance), 6))], "n_trials long, best double")
 
 
 @query(
@@ -658,31 +707,34 @@ def bars_adjusted(spark, sf_dir):
 # models again: explained, saved, and of kinds that have no query above
 
 
-def _one_fold(spark: SparkSession, sf_dir: str, **model) -> tuple[ex.Dataset, md.Model, DataFrame]:
-    ds = ex.prepare(bars_daily(spark, sf_dir), SMALL)
-    lo = ds.rows.agg(F.min("pos")).first()[0]
-    known = ds.rows.where(F.col("pos").between(lo, lo + 899) & (F.col("t1_pos") < lo + 905))
-    return ds, md.build(ModelConfig(**model)).fit(known, ds.names), ds.rows.where(F.col("pos").between(lo + 905, lo + 1404))
-
-
 @query("tree_shap")
 def tree_shap(spark, sf_dir):
-    _, model, test = _one_fold(spark, sf_dir, ensemble=EnsembleConfig(True, "soft", ["logreg", "random_forest", "xgboost"], {"random_forest": {"n_estimators": 10, "max_depth": 4}, "xgboost": {"n_estimators": 5, "max_depth": 3}}))
+    """Mean absolute values over the tests of all folds, by part of an ensemble and feature."""
+    trees = {"random_forest": {"n_estimators": 10, "max_depth": 4}, "xgboost": {"n_estimators": 5, "max_depth": 3}, "extra_trees": {"n_estimators": 5, "max_depth": 3}}
+    ds, w, _ = _walked(spark, sf_dir, ensemble=EnsembleConfig(True, "soft", ["logreg", *trees], trees))
+    parts: dict[str, DataFrame] = {}
+    for f in w.folds:
+        test = ds.rows.where((F.col("pos") >= f.test_start) & (F.col("pos") < f.test_end))
+        for name, values in sh.explained(w.models[f.fold_id], test, _folder(spark)):
+            parts[name] = parts[name].unionByName(values) if name in parts else values
     out = None
-    for name, values in sh.explained(model, test, _folder(spark)):
+    for name, values in parts.items():
         one = sh.importance(values).withColumn("part", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-@query("saved_model", "SELECT true AS same")
+@query("saved_model", f"SELECT i AS fold_id, true AS same FROM (SELECT count(*) - 21 AS n FROM {DAILY}), generate_series(0, 1000) AS g(i) WHERE 905 + 500 * i < n")
 def saved_model(spark, sf_dir):
-    """Whether a saved and loaded model scores every bar as it did."""
-    _, model, test = _one_fold(spark, sf_dir, family="random_forest", params={"n_estimators": 5, "class_weight": "balanced"})
-    path = _folder(spark)
-    model.save(spark, path)
-    a, b = (m.probabilities(test).select(*KEY, F.round("p_1", 9).alias("p")) for m in (model, md.load(spark, path)))
-    return spark.createDataFrame([(a.count() > 0 and not a.exceptAll(b).count(),)], "same boolean")
+    """Whether each fold's model, saved and loaded, scores every bar as it did."""
+    ds, w, _ = _walked(spark, sf_dir, ensemble=EnsembleConfig(True, "soft", ["random_forest", "xgboost"], {"random_forest": {"n_estimators": 5, "class_weight": "balanced"}, "xgboost": {"n_estimators": 2}}))
+    told = []
+    for f in w.folds:
+        path = _folder(spark)
+        w.models[f.fold_id].save(spark, path)
+        a, b = (m.probabilities(ds.rows).select(*KEY, F.round("p_1", 9).alias("p")) for m in (w.models[f.fold_id], md.load(spark, path)))
+        told.append((f.fold_id, a.count() > 0 and not a.exceptAll(b).count()))
+    return spark.createDataFrame(told, "fold_id long, same boolean")
 
 
 def queries() -> dict[str, Query]:

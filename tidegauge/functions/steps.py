@@ -24,6 +24,12 @@ class Steps:
         self.names: dict[str, str] = {}
         self.levels: list[list[tuple[str, str]]] = []
         self.level_of: dict[str, int] = {}
+        self.notes: dict[str, dict] = {}
+
+    def noted(self, expression: str, **facts) -> str:
+        """An output with facts that its column is to carry."""
+        self.notes[expression] = facts
+        return expression
 
     def let(self, expression: str) -> str:
         """The name of a column with that value."""
@@ -37,11 +43,15 @@ class Steps:
         return self.names[expression]
 
     def over(self, df: DataFrame, outputs: dict[str, str], keep: list[str] | None = None) -> DataFrame:
-        """The columns to keep (all, if not given) and the outputs, name to expression over steps."""
+        """The columns to keep (all, if not given) and the outputs, name to expression over steps.
+
+        Facts noted about an output become metadata of its column, with what names the rows that it is made of."""
         kept = keep or df.columns
+        made_of = str(df.semanticHash()) if self.notes else ""
+        told = {n: {"metadata": self.notes[e] | {"made_of": made_of}} if e in self.notes else {} for n, e in outputs.items()}
         for level in self.levels:
             df = df.select("*", *(F.expr(e).alias(n) for n, e in level))
-        return df.select(*kept, *(F.expr(e).alias(n) for n, e in outputs.items()))
+        return df.select(*kept, *(F.expr(e).alias(n, **told[n]) for n, e in outputs.items()))
 
     def sql(self, source: str, outputs: dict[str, str], keep: list[str]) -> str:
         """The same as one statement over a table or a parenthesised query."""

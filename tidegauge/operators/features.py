@@ -560,14 +560,14 @@ def feature(bars: DataFrame, name: str, **params) -> DataFrame:
 
 
 def matrix(s: Steps, specs: list, shift: int = 1) -> dict[str, str]:
-    """All features of the specs, transformed, and as known `shift` bars later."""
+    """All features of the specs, transformed, and as known `shift` bars later, which their columns say of themselves."""
     if shift < 1:
         raise ValueError("features must be shifted by a bar at least")
     out = {}
     for spec in specs:
         for part, e in columns(s, spec.name, spec.params).items():
             value = s.let(transformed(s, e, spec.transform, spec.transform_window))
-            out[spec.column_name() + (f"__{part}" if part else "")] = f"lag({value}, {shift}) OVER ({KEYS})"
+            out[spec.column_name() + (f"__{part}" if part else "")] = s.noted(f"lag({value}, {shift}) OVER ({KEYS})", shift=shift, feature=spec.name)
     return out
 
 

@@ -102,10 +102,25 @@ def bars_hash(bars: DataFrame) -> str:
 
 
 def marked(rows: DataFrame, names: list[str], bars: str, shift: int = 1) -> DataFrame:
-    """The features with what check_feature_matrix asks for, as metadata of their columns."""
+    """Features that were made elsewhere with what check_feature_matrix asks for, as metadata of their columns."""
     return rows.select(*(F.col(c).alias(c, metadata={"shift": shift, "bars": bars}) if c in names else F.col(c) for c in rows.columns))
 
 
+def check_provenance(rows: DataFrame, names: list[str], bars: DataFrame, least: int = 1) -> None:
+    """Raises LeakageError unless every feature says that it is shifted by `least` bars and made of these bars. Reads no rows.
+
+    What a column says was noted where its expression was built, and goes with it through joins, filters and files."""
+    own = str(bars.semanticHash())
+    for n in names:
+        told = rows.schema[n].metadata
+        if "shift" not in told:
+            raise LeakageError(f"{n} does not say by how much it is shifted")
+        if told["shift"] < least:
+            raise LeakageError(f"{n} is shifted by {told['shift']} bars, not {least}")
+        if told.get("made_of") != own:
+            raise LeakageError(f"{n} is not made of these bars")
+
+
 def check_feature_matrix(rows: DataFrame, names: list[str], bars: DataFrame, least: int = 1) -> None:
     """Raises LeakageError unless every feature says that it is shifted by `least` bars and made of these bars, and every row is one of them, once."""
     own = None

@@ -543,7 +543,7 @@ def shuffled(rows: DataFrame, names: list[str], folds: list[Fold], seed: int = 0
     value = F.coalesce(*(F.when(F.col("feature") == n, F.struct(F.col(n).cast("double").alias("v"))) for n in names), F.struct(F.lit(None).cast("double").alias("v")))
     group = ["fold_id", "instrument", "feature"]
     w = Window.partitionBy(*group)
-    copies = copies.withColumn("__value", value).withColumn("__place", F.row_number().over(w.orderBy("pos"))).withColumn("__other", F.row_number().over(w.orderBy(F.xxhash64("pos", F.lit(seed), "feature"), "pos")))
+    copies = copies.withColumn("__value", value).withColumn("__place", F.row_number().over(w.orderBy("pos"))).withColumn("__other", F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), "feature", F.col("pos").cast("string"))))))
     moved = copies.where("feature <> ''").select(*group, F.col("__other").alias("__place"), F.col("__value").alias("__moved"))
     mixed = copies.join(moved, [*group, "__place"], "left")
     return mixed.withColumns({n: F.when(F.col("feature") == n, F.col("__moved.v")).otherwise(F.col(n)) for n in names}).drop("__value", "__place", "__other", "__moved")

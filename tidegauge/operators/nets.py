@@ -281,7 +281,7 @@ class Net:
 
     def save(self, spark: SparkSession, path: str) -> None:
         arrays = self.params | {"/fill": self.fill, "/centre": self.centre, "/scale": self.scale}
-        spark.createDataFrame([(k, list(v.shape), v.ravel().tolist()) for k, v in arrays.items()], "name string, shape array<long>, value array<double>").write.mode("overwrite").parquet(f"{path}/arrays")
+        spark.createDataFrame([(k, list(v.shape), v.ravel().tolist()) for k, v in arrays.items()], "name string, shape array<long>, value array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/arrays")
         spark.createDataFrame([tuple(vars(self.shape).values())], "kind string, bars long, features long, classes long, size long, layers long, dropout double, both_ways boolean, heads long, causal boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/shape")
 
     @classmethod

@@ -88,7 +88,7 @@ class Trees:
     def save(self, spark: SparkSession, path: str) -> None:
         rows = [(i, t.of_class, n, int(t.feature[n]), float(t.cut[n]), int(t.left[n]), int(t.right[n]), np.atleast_1d(t.value[n]).tolist(), float(t.cover[n])) for i, t in enumerate(self.trees) for n in range(len(t.left))]
         spark.createDataFrame([(self.classes, self.base)], "classes long, base array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
-        spark.createDataFrame(rows, "tree long, of_class long, node long, feature long, cut double, left long, right long, value array<double>, cover double").write.mode("overwrite").parquet(f"{path}/nodes")
+        spark.createDataFrame(rows, "tree long, of_class long, node long, feature long, cut double, left long, right long, value array<double>, cover double").coalesce(1 + len(rows) // 200_000).write.mode("overwrite").parquet(f"{path}/nodes")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Trees:

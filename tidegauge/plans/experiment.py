@@ -56,25 +56,27 @@ class Dataset:
     bars: DataFrame
 
 
-def prepare(bars: DataFrame, config: ExperimentConfig, stage: Callable[[DataFrame], DataFrame] = lambda df: df.cache()) -> Dataset:
-    """One chain of windows over one exchange by instrument. `stage` keeps the result, which every fold reads."""
+def prepare(bars: DataFrame, config: ExperimentConfig, stage: Callable[[DataFrame], DataFrame] = lambda df: df.cache(), features: Callable[[ft.Steps, list], dict[str, str]] = ft.matrix) -> Dataset:
+    """One chain of windows over one exchange by instrument. `stage` keeps the result, which every fold reads.
+
+    features: what makes the columns of the specs; they have to say that they are shifted, as those of ft.matrix do."""
     config.validate()
     specs = config.features.features
     s = ft.Steps()
-    made = ft.matrix(s, specs)
+    made = features(s, specs)
     plain = {name: name.replace(".", "_") for name in made}  # a dot would be read as a field
     featured = s.over(bars, {plain[k]: e for k, e in made.items()})
+    fo.check_provenance(featured, list(plain.values()), bars)
     labelled = lb.labelled(Rel(featured), config.label)
     names = list(plain.values())
     rows = stage(fo.trimmed(labelled, names).df)
     fo.check_labels_in_features(Rel(rows), names)
-    marked = fo.marked(rows, names, fo.bars_hash(bars))
-    fo.check_feature_matrix(marked, names, bars)
-    return Dataset(marked, names, bars)
+    return Dataset(rows, names, bars)
 
 
 def walk(ds: Dataset, config: ExperimentConfig, threads: int = 4, progress=None) -> md.Walk:
     """Folds over the trimmed rows' positions, and their predictions."""
+    fo.check_provenance(ds.rows, ds.names, ds.bars)
     w = config.walkforward
     lo, hi = ds.rows.agg(F.min("pos"), F.max("pos")).first()
     made = fo.folds(hi - lo + 1, w.mode, w.train_window, w.test_window, w.step, w.embargo)
