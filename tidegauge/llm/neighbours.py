@@ -2,18 +2,18 @@
 
 A tree is a sorted array of long hash strings, one bit for each of BITS random hyperplanes through the centre of
 the data, so that vectors with a common prefix are neighbours in the array and a prefix is found by bisection. For
-a query every tree descends to its longest matching prefix; then all trees ascend together, a bit at a time, until
-their prefixes hold CANDIDATES times as many entries as there are rows in the block, and k + 1 rows for certain (one
-row has an entry in each tree). All rows below are candidates, and their distances are computed exactly.
+a query every tree descends to its longest matching prefix; then all trees ascend together, a bit at a time. What
+lies below is compared exactly as soon as it holds k + 1 rows for certain (one row has an entry in each tree), and
+ascending ends by a bound that is measured on what was found: a row at an angle a shares d bits with the query in at
+least one of t trees with the chance 1 - (1 - (1 - a / pi)^d)^t, and the mean of it over the k nearest found, which
+are as far as those that may be missing, has to reach SURE. So near neighbours end it early, and where all rows are
+about as far as each other it takes most of them, whatever the number of rows.
 
 Rows are dealt by hash into blocks of about BLOCK, each with its own forest. Every row is shuffled once, and a query
 once to each block: sorted to the end of its block, queries stream past the forest, so that a task holds one block
 and one batch of queries however many there are. Only distances of candidates are computed. The nearest few of every
 query and block are merged by query. Every row is indexed; the centre alone is fitted on a sample of SAMPLE rows.
 
-The embeddings here are nearly without structure (the tenth neighbour is almost as far as any other row), so that a
-recall of 0.9 takes two fifths to two thirds of all rows as candidates whatever the index; CANDIDATES is set for that.
-
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without
 an id. Vectors of different lengths are never compared. A row is no candidate of a query with its id. Ties go to
 the smaller id; equal vectors share all prefixes and so are found together. Rows that share id and vector count once; rows that share an id
@@ -35,7 +35,7 @@ from .vectors import usable
 
 TREES = 64
 BITS = 24
-CANDIDATES = 0.5
+SURE = 0.95
 BLOCK = 16384
 #: Rows hashed at a time.
 ROWS = 2048
@@ -65,27 +65,38 @@ class Forest:
         ends = [(np.searchsorted(a, s), np.searchsorted(a, s + (1 << shift))) for a, s in zip(self.sorted, low, strict=True)]
         return np.array([a for a, _ in ends]), np.array([b for _, b in ends])
 
-    def candidates(self, queries: np.ndarray, least: float) -> Iterator[np.ndarray]:
-        """For each query the entries below the longest common depth with `least` entries in all trees."""
-        strings = self.strings(queries)
-        begin, end = (np.zeros((self.trees, len(queries)), np.int64) for _ in range(2))
-        waiting = np.arange(len(queries))
+    def nearest(self, queries: np.ndarray, ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, sure: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each query its place, and the ids and distances of the k nearest rows found."""
+        strings, waiting = self.strings(queries), np.arange(len(queries))
+        found = np.zeros((len(queries), self.n), bool)
         for depth in range(self.bits, -1, -1):
             low, high = self.below(strings[:, waiting], depth)
-            enough = (high - low).sum(axis=0) >= (least if depth else 0)
-            begin[:, waiting[enough]], end[:, waiting[enough]] = low[:, enough], high[:, enough]
-            waiting = waiting[~enough]
+            still = []
+            for i, q in enumerate(waiting):
+                if depth and (high[:, i] - low[:, i]).sum() < self.trees * (k + 1):
+                    still.append(q)
+                    continue
+                for t in range(self.trees):
+                    found[q, self.order[t, low[t, i] : high[t, i]]] = True
+                at, far = nearest(queries[q], ids[q], x, x_ids, np.flatnonzero(found[q]), k)
+                if depth and self.chance(queries[q], x[at], depth) < sure:
+                    still.append(q)
+                else:
+                    yield q, x_ids[at], far
+            waiting = np.array(still, int)
             if not waiting.size:
-                break
-        for q in range(len(queries)):
-            found = np.zeros(self.n, bool)
-            for t in range(self.trees):
-                found[self.order[t, begin[t, q] : end[t, q]]] = True
-            yield np.flatnonzero(found)
+                return
+
+    def chance(self, query: np.ndarray, rows: np.ndarray, depth: int) -> float:
+        """How likely rows at the angles of these share so many bits with the query in some tree, on average."""
+        a, b = query - self.centre, rows - self.centre
+        length = np.linalg.norm(a) * np.linalg.norm(b, axis=1)
+        cosine = np.clip(np.divide(b @ a, length, out=np.zeros(len(b)), where=length > 0), -1, 1)
+        return float((1 - (1 - (1 - np.arccos(cosine) / np.pi) ** depth) ** self.trees).mean())
 
 
 def nearest(query: np.ndarray, query_id: int, x: np.ndarray, x_ids: np.ndarray, among: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and exact distances of the k nearest rows among some, nearest first, ties to smaller ids."""
+    """The places and exact distances of the k nearest rows among some, nearest first, ties to smaller ids."""
     among = among[x_ids[among] != query_id]
     far = ((x[among] - query) ** 2).sum(axis=1)
     if far.size > k:
@@ -93,10 +104,10 @@ def nearest(query: np.ndarray, query_id: int, x: np.ndarray, x_ids: np.ndarray,
         among, far = among[close], far[close]
     far = np.sqrt(far)
     first = np.lexsort((x_ids[among], far))[:k]
-    return x_ids[among][first], far[first]
+    return among[first], far[first]
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", candidates: float = CANDIDATES) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", sure: float = SURE) -> DataFrame:
     """query_id, rank, vec_id and score (the Euclidean distance) of the k nearest rows found for each query row."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("query"))
     rows = rows.where(F.col("id").isNotNull() & usable("vector")).withColumn("dim", F.size("vector")).dropDuplicates(["id", "vector"])
@@ -130,9 +141,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
                     own, own_ids = (np.concatenate(c) for c in zip(*parts, strict=True))
                     forest, parts = Forest(own, centres.get(dim, np.zeros(dim))), []
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q, q_id, among in zip(x, ids[a:b], forest.candidates(x, max(candidates * len(own), TREES * (k + 1))), strict=True):
-                    near, far = nearest(q, q_id, own, own_ids, among, k)
-                    out.append((np.full(near.size, q_id), near, far))
+                for start in range(0, b - a, 256):
+                    for q, near, far in forest.nearest(x[start : start + 256], ids[a:b][start : start + 256], own, own_ids, k, sure):
+                        out.append((np.full(near.size, ids[a + start + q]), near, far))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 
     dealt = indexed.unionAll(asked).repartition(blocks, "dim", "block").sortWithinPartitions("dim", "block", "asks")
