@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextvars import ContextVar
 
 from pyspark import Broadcast
@@ -96,6 +97,12 @@ def passed(df: DataFrame, text: str, keep: tuple[str, ...]) -> tuple[DataFrame,
     return df.select(*keep, F.col(text).alias("__text")), "__text", schema
 
 
+def apart(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars")) -> tuple[DataFrame, Callable[[DataFrame], list[Column]]]:
+    """The table with the columns that are not used under names that nothing else has, and what gives all their own names back."""
+    inner = [n if n in used else f"__kept_{i}" for i, n in enumerate(docs.columns)]
+    return docs.toDF(*inner), lambda rows: [rows[i].alias(n) for i, n in zip(inner, docs.columns, strict=True)]
+
+
 def doc_number(column: str = "doc_id") -> Column:
     """An orderable id in which a null sorts before every other."""
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import broadcast, passed, table
+from .base import apart, broadcast, passed, table
 
 #: Characters encoded, or ids decoded, before a batch is handed on.
 CHUNK = 1 << 20
@@ -226,5 +226,7 @@ def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns of documents with the ids of the text: what training reads."""
-    return encode(docs, _public(spark), keep=tuple(docs.columns))
+    """All columns of documents with the ids of the text: what training reads. A column `ids` that was there before makes way for them."""
+    docs, back = apart(docs.drop(*(c for c in docs.columns if c.lower() == "ids")))
+    coded = encode(docs, _public(spark), keep=tuple(docs.columns))
+    return coded.select(*back(coded), "ids")

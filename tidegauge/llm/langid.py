@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import broadcast, passed, table
+from .base import apart, broadcast, passed, table
 
 UNKNOWN = "und"
 #: Rows scored at a time.
@@ -168,8 +168,8 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """Drops documents of no language: no letter at all, or a best language that is less likely than not."""
-    names = docs.columns
+    """Drops documents of no language: no letter at all, or a best language that is less likely than not. Further columns may have any names."""
+    docs, back = apart(docs)
     model = fit(docs.where(~held_out()))
-    told = identify(docs, model, keep=tuple(names))
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names)
+    told = identify(docs, model, keep=tuple(docs.columns))
+    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*back(told))

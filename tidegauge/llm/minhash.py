@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .base import doc_number, table, written
+from .base import apart, doc_number, table, written
 from .graph import components
 from .lines import row_id
 from .repeats import Piece, mixed
@@ -332,12 +332,13 @@ def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of every class, once."""
+    docs, back = apart(docs)
     kept = written(told(docs.select("doc_id", "text")).where("kept").select("row"), "kept")
     ids = kept.distinct()
     out = docs.withColumn("__row", row_id()).join(ids.withColumnRenamed("row", "__row"), "__row", "left_semi")
     if kept.count() > ids.count():  # rows that share a doc_id and a text
         out = out.dropDuplicates(["__row"])
-    return out.select(*docs.columns)
+    return out.select(*back(out))
 
 
 #: Links of all pairs that share a shingle, compared exactly, and what they reach.

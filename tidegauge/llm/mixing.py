@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import table, words, written
+from .base import apart, table, words, written
 
 MAX_REPEATS = 3
 BUCKET_DOCS = 2000
@@ -113,15 +113,18 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The queues hold no texts; a text meets what is taken of it in one shuffle by a hash of its row. Equal rows are
     told apart by their number."""
+    docs, back = apart(docs)
     names = docs.columns
-    keyed = docs.withColumn("__row", F.xxhash64(*names))
+    hashed = [F.to_json(F.struct(F.col(n).alias("v"))) if "map<" in kind or kind == "variant" else F.col(n) for n, kind in docs.dtypes]  # maps have no hash
+    keyed = docs.withColumn("__row", F.xxhash64(*hashed))
     facts = ["size", "source_size", "weight", "before", "taken", "turn"]
     mixed = mix(keyed, carry=("__row",)).where("taken > 0").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct(*facts))).alias("__each"))
     number = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
     met = keyed.join(written(mixed, "taken"), "__row").withColumn("__mine", F.get("__each", number - 1)).where("__mine is not null")
     inner = met.select(*(F.col(c).alias(f"in_{c}") for c in names), "__mine.*").withColumn("source", F.col("in_source"))
     out = copies(inner, "in_text").withColumn("in_n_chars", F.length("in_text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"in_{c}").alias(c) for c in names))
+    out = out.select(*(F.col(f"in_{c}").alias(c) for c in names))
+    return out.select(*back(out))
 
 
 OP4_SQL = r"""
