@@ -681,12 +681,30 @@ by_relation("probability_by_class", lambda r: dg.probability_by_class(predicted(
 SQL["probability_by_class"] = f"SELECT instrument, pos, CASE WHEN ret > 0 THEN 1 ELSE -1 END AS true_class, round(1 / (1 + exp(z)), 6) + 0.0 AS p_long FROM (SELECT *, lead(close, 5) OVER (PARTITION BY instrument ORDER BY pos) / close - 1 AS ret, (close - avg(close) OVER k) / nullif(stddev_samp(close) OVER k, 0) AS z FROM {STATUS} WINDOW k AS (PARTITION BY instrument ORDER BY pos ROWS 19 PRECEDING)) WHERE pos >= 19 AND ret IS NOT NULL AND z IS NOT NULL"
 
 
-@query("future_spike", "SELECT unnest(['rsi', 'momentum', 'natr']) AS feature, 0::BIGINT AS changed")
+#: All features whose values are expressions, by column; and one that knows the next close.
+_PROBED = {f"{n}_{k}" if k else n: (n, k) for n, f in ft.REGISTRY.items() if not f.extra.get("by_series") for k in ft.columns(Steps(), n)}
+
+
+@query("future_spike", f"SELECT unnest({sorted(_PROBED)!r}) AS feature, 0::BIGINT AS changed UNION ALL SELECT 'knows_next', count(DISTINCT instrument)::BIGINT FROM {STATUS}")
 def future_spike(spark, sf_dir):
-    """How many earlier values of some features a spike at bar 300 changes."""
+    """How many values of each feature in the first half of the bars change when all bars of the second half do."""
     bars = bars_status(spark, sf_dir)
-    told = [(n, fo.looks_ahead(bars, lambda b, n=n: ft.feature(b, n), 300)) for n in ("rsi", "momentum", "natr")]
-    return spark.createDataFrame(told, "feature string, changed long")
+
+    middle = bars.agg(F.min("pos"), F.max("pos")).first()[1] // 2
+
+    def build(group: str) -> Callable[[DataFrame], DataFrame]:
+        def over(b: DataFrame) -> DataFrame:
+            s = Steps()
+            made = {name: e for n, f in ft.REGISTRY.items() if f.group == group and not f.extra.get("by_series") for k, e in ft.columns(s, n).items() for name in [f"{n}_{k}" if k else n]}
+            return s.over(b, made or {"knows_next": s.lead("close")}, list(KEY))
+
+        return over
+
+    # a plan for each group of features: planning takes more than proportionally longer for more of them
+    out = fo.changed_before(bars, build(""), middle)
+    for group in dict.fromkeys(ft.REGISTRY[n].group for n, _ in _PROBED.values()):
+        out = out.unionByName(fo.changed_before(bars, build(group), middle))
+    return out
 
 
 @query("bars_cached", f"SELECT instrument, ts, pos, open, high, low, close, volume FROM {DAILY}")

@@ -154,14 +154,27 @@ def check_labels_in_features(rows: Rel, names: list[str], limit: float = 0.98, l
         raise LeakageError(f"features that know the label: {sorted({r['feature'] for r in bad})}")
 
 
+def _spiked(bars: DataFrame, at: int, factor: float) -> DataFrame:
+    names = [c for c in ("open", "high", "low", "close", "volume") if c in bars.columns]
+    return bars.withColumns({c: F.when(F.col("pos") >= at, F.col(c) * factor).otherwise(F.col(c)) for c in names})
+
+
 def looks_ahead(bars: DataFrame, build: Callable[[DataFrame], DataFrame], at: int, factor: float = 8.0) -> int:
     """How many rows before a bar change when prices and volumes from that bar on are multiplied; 0 for what is causal."""
-    names = [c for c in ("open", "high", "low", "close", "volume") if c in bars.columns]
-    spiked = bars.withColumns({c: F.when(F.col("pos") >= at, F.col(c) * factor).otherwise(F.col(c)) for c in names})
-    plain, other = (build(b).where(F.col("pos") < at) for b in (bars, spiked))
+    plain, other = (build(b).where(F.col("pos") < at) for b in (bars, _spiked(bars, at, factor)))
     return plain.exceptAll(other).count()
 
 
+def changed_before(bars: DataFrame, build: Callable[[DataFrame], DataFrame], at: int, factor: float = 8.0) -> DataFrame:
+    """The same for every column of what is built over the bars, in one pass over all of it: feature and changed."""
+    keys = ["instrument", "pos"]
+    plain, other = (build(b).where(F.col("pos") < at) for b in (bars, _spiked(bars, at, factor)))
+    names = [c for c in plain.columns if c not in (*keys, "ts")]
+    both = plain.select(*keys, F.struct(*names).alias("a")).join(other.select(*keys, F.struct(*names).alias("b")), keys, "full")
+    sums = both.agg(*(F.sum(F.when(F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")), 0).otherwise(1)).alias(n) for n in names))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(n).alias("feature"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("changed")) for n in names))))
+
+
 def trimmed(rows: Rel, names: list[str]) -> Rel:
     """Rows from the first on that has all features; later gaps stay."""
     full = " AND ".join(f"{n} IS NOT NULL" for n in names)
