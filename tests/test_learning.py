@@ -287,3 +287,12 @@ def test_importance_is_one_plan(spark):
     sc.setLocalProperty("spark.jobGroup.id", None)
     # adaptive execution submits a job for each exchange; more folds and features bring none
     assert jobs[0] == jobs[1] and got["a"] > got["c"] and set(got) == {"a", "b", "c"}
+
+
+def test_margins_are_checkpointed(spark, monkeypatch):
+    """Rounds after a checkpoint go on from its margins."""
+    rows, x, y, w = table(spark, 200)
+    how = trees.Boost(rounds=6, rate=0.3, depth=1, least_hessian=1.0)
+    plain = trees.boosted(ready(rows), F.col("label"), 2, how, 7).margins(x)
+    monkeypatch.setattr(trees, "CHECKPOINT", 2)
+    assert np.allclose(trees.boosted(ready(rows), F.col("label"), 2, how, 7).margins(x), plain)
