@@ -1,5 +1,6 @@
 """Labels, folds, backtests and metrics by hand, and an experiment from end to end."""
 
+import hashlib
 import math
 from dataclasses import replace
 
@@ -210,6 +211,28 @@ def test_random_benchmark(spark):
     assert out["percentile"] > 0.95 and out["n_random"] == 100
 
 
+def test_random_benchmark_equals_its_orders_bar_by_bar(spark):
+    rng = np.random.default_rng(6)
+    p, r = np.repeat(rng.choice([-1.0, 0.0, 0.5], 30), rng.integers(1, 7, 30)), rng.normal(0.001, 0.01, 200)
+    r = r[: p.size]
+    edge = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+    value, length = p[edge], np.diff(np.append(edge, p.size))
+
+    def sharpe(q):
+        net = q * r - np.abs(np.diff(q, prepend=0.0)) * 1e-3
+        return net.mean() / net.std(ddof=1) * 252**0.5
+
+    drawn = []
+    for k in range(50):
+        o = sorted(range(edge.size), key=lambda i: hashlib.md5(f"9|A|{k}|{i + 1}".encode()).hexdigest())
+        drawn.append(sharpe(np.repeat(value[o], length[o])))
+    rows = [("A", i + 7, float(a), float(b)) for i, (a, b) in enumerate(zip(p, r, strict=True))] + [("B", i, 1.0, 0.01 * (i % 3)) for i in range(9)] + [("C", i, 0.0, 0.01) for i in range(5)] + [("D", 0, 1.0, None)]
+    out = {x["instrument"]: x for x in bt.random_benchmark(spark.createDataFrame(rows, "instrument string, pos long, position double, benchmark double"), 1e-3, n=50, seed=9).collect()}
+    assert out["A"]["real_sharpe"] == pytest.approx(sharpe(p)) and out["A"]["random_mean"] == pytest.approx(np.mean(drawn)) and out["A"]["percentile"] == pytest.approx(np.mean(np.array(drawn) < sharpe(p)))
+    assert out["B"]["real_sharpe"] is not None and out["B"]["percentile"] is None and [out[k]["n_random"] for k in "ABCD"] == [50, 0, 0, 0]
+    assert out["C"]["real_sharpe"] is None and out["D"]["real_sharpe"] is None
+
+
 def test_statistics_of_series(spark):
     assert dg.partial([0.5, 0.25, 0.125])[0] == 0.5 and abs(dg.partial([0.5, 0.25, 0.125])[1]) < 1e-12
     walk = np.cumsum(np.random.default_rng(1).normal(0, 1, 600)) + 200

@@ -318,10 +318,22 @@ query("pbo_combinations", mt.pbo(_series(Rel(DAILY)), 8).rounded("sr_in", "sr_ou
 query("pbo_cscv", mt.pbo_share(mt.pbo(_series(Rel(DAILY)), 8)).rounded("pbo", keep=["n_combinations"]).sql)(lambda spark, sf_dir: mt.pbo_share(mt.pbo(_series(Rel(bars_daily(spark, sf_dir))), 8, spark=spark)).rounded("pbo", keep=["n_combinations"]).df)
 
 
-@query("random_benchmark")
+RANDOM_SQL = f"""WITH b AS (SELECT instrument, row_number() OVER (PARTITION BY instrument ORDER BY pos) - 1 AS bar, position AS p, coalesce(benchmark, 0) AS r FROM {tested(Rel(STATUS)).source}),
+m AS (SELECT *, CASE WHEN p IS NOT DISTINCT FROM lag(p) OVER (PARTITION BY instrument ORDER BY bar) THEN 0 ELSE 1 END AS new FROM b),
+u AS (SELECT instrument, run, min(p) AS p, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY instrument ORDER BY bar)::BIGINT AS run FROM m) GROUP BY ALL),
+o AS (SELECT u.*, nth, CASE WHEN nth < 0 THEN '' ELSE md5(concat_ws('|', '0', instrument, nth::VARCHAR, run::VARCHAR)) END AS turn FROM u, generate_series(-1, 999) AS g(nth)),
+l AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY instrument, nth ORDER BY turn, run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM o),
+e AS (SELECT instrument, nth, p, unnest(range(a, a + n)) AS bar FROM l),
+w AS (SELECT e.instrument, nth, e.p * r - abs(e.p - coalesce(lag(e.p) OVER (PARTITION BY e.instrument, nth ORDER BY e.bar), 0)) * 6.5e-4 AS net FROM e JOIN b ON b.instrument = e.instrument AND b.bar = e.bar),
+s AS (SELECT instrument, nth, CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) * sqrt(252) END AS sharpe FROM w GROUP BY ALL),
+v AS (SELECT instrument, sharpe AS real FROM s WHERE nth < 0)
+SELECT v.instrument, round(real, 6) + 0.0 AS real_sharpe, round(avg(sharpe), 6) + 0.0 AS random_mean, round(avg(CASE WHEN round(sharpe, 9) < round(real, 9) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS percentile, count(*) AS n_random
+FROM v JOIN s ON s.instrument = v.instrument AND nth >= 0 GROUP BY v.instrument, real"""
+
+
+@query("random_benchmark", RANDOM_SQL)
 def random_benchmark(spark, sf_dir):
-    return bt.random_benchmark(tested(Rel(bars_status(spark, sf_dir))).df, 6.5e-4)
-
+    return Rel(bt.random_benchmark(tested(Rel(bars_status(spark, sf_dir))).df, 6.5e-4)).rounded("real_sharpe", "random_mean", "percentile", keep=["instrument", "n_random"]).df
 
 
 # diagnostics over the rule's predictions
