@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import itertools
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -193,6 +195,53 @@ def test_pages_without_an_article_keep_what_lies_between_surge_and_dive():
     assert html.main_text(page).startswith("Paragraph 0") and html.main_text(page).endswith("some.") and "Link" not in html.main_text(page)
 
 
+@pytest.mark.parametrize(
+    ("part", "text"),
+    [
+        ('<div class="social-history">A.</div>', "A."),
+        ('<div class="article-header"><h1>A</h1></div>', "A"),
+        ('<section id="search"><p>A.</p></section>', "A."),
+        ('<p class="notice-period">A.</p>', "A."),
+        ('<div class="no-sidebar">A.</div>', "A."),
+        ("<p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p>", "If x=1."),
+        ('<p>A <img alt=5" src=a.png>b.</p>', "A b."),
+        ('<p title="a > b">A.</p>', "A."),
+        ("<svg viewBox='0 0 1 1'/><p>A.</p>", "A."),
+        ("<div></div>" * 9 + "<p>A.</p>", "A."),
+        ('<div class="ad-banner">x</div>' * 9 + "<p>A.</p>", "A."),
+        *((f'<div class="{c}">x</div>', "") for c in ("ad", "ad-300x250", "adBanner", "site-footer", "cookie-notice", "pop-up", "newsletter_signup", "related-posts", "post comments", "social-share", "comment-form")),
+        ('<div id="comments"><p>x</p></div>', ""),
+        ("<aside>x</aside><form>x</form><nav>x</nav>", ""),
+    ],
+)
+def test_parts_of_an_article(part, text):
+    assert html.main_text(f"<body><nav>Menu</nav><article><p>First.</p>{part}</article><footer>x</footer></body>") == f"First. {text}".strip()
+
+
+def test_empty_blocks_are_no_dive():
+    long = "This is one long line of an article that no element names, with more text than surges. " * 2
+    assert html.main_text(f"<body><div>{long}</div>{'<div></div>' * 4}<p>The end.</p></body>").endswith("The end.")
+
+
+def test_surge_and_dive_by_definition():
+    """The runs are those of a plain reading of the rule, for lengths of all sorts."""
+    rng = random.Random(3)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 0, 5, 40, 200]) for _ in range(rng.randrange(0, 25))]
+        for surge in (0, 86):
+            sums = [sum(lengths[i : i + 3]) for i in range(len(lengths))]
+            groups = [[i for i, _ in g] for live, g in itertools.groupby(enumerate(sums), lambda x: x[1] > 0) if live]
+            chosen = [g for g in groups if max(sums[i] for i in g) > surge] or sorted(groups, key=lambda g: -sum(lengths[i] for i in g))[:1]
+            assert html.kept(lengths, surge=surge) == [(g[0], g[-1] + 1) for g in chosen]
+
+
+def test_broken_pages_take_linear_time():
+    start = time.monotonic()
+    for page in ("<a title=" * 50_000, '<p a="x" ' * 50_000, "<article>" + "<b " * 50_000, "<div class='" * 50_000 + "x", "<" * 200_000):
+        html.main_text(page)
+    assert time.monotonic() - start < 60
+
+
 def test_extraction_of_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (2, None, None, "t"), (2, None, None, "t"), (None, "v", "<article>" + "<p>word</p>" * 20000, "t")], "page_id long, url string, html string, text string")
     told = html.extract(pages).collect()

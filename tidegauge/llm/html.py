@@ -1,14 +1,17 @@
 """The main text of a web page, by line-block distribution.
 
-Markup is stripped into lines, one for each block of the page; inline tags split no line. Menus, headers,
-footers, sidebars, notices, adverts, forms, comments and everything hidden leave empty lines, and so does what
-stands outside of the article where the page names one; all other lines of a named article are kept. On a page
-that names none the text lengths of a window of WINDOW lines from each line on are summed. Text surges where such
-a sum exceeds SURGE and dives where it falls to 0; what lies between is kept. If nothing surges, the run of lines
-with the most text is kept.
-
-Cases: a null or empty page, or one of boilerplate only, has no text. Unclosed tags end with what holds them;
-a page may break off anywhere. Whole pages are read, of any length. Repeated rows are extracted each by itself,
+Markup is stripped into lines, one for each block of the page that has text; inline tags split no line. Menus, headers, footers, sidebars, notices, adverts, forms, comments and everything hidden
+are lines of length 0, and so is what stands outside of the article where the page names one. Blocks without text are
+lines beside these only: between two lines of text they are none, as they end no article. The text lengths of a
+window of WINDOW lines from each line on are summed. Text surges where such a sum exceeds SURGE and dives where it
+falls to 0; what lies between is kept. In a named article any text surges, however short, as its name says that it
+belongs there. If nothing surges, the run of lines with the most text is kept.
+
+A class or id names a part that is not the article only as a whole: each of its words must be such a name (NAMED) or
+say nothing (PLAIN), so that `related-posts` is left out and `social-history` stays.
+
+Cases: a null or empty page, or one of boilerplate only, has no text. Unclosed elements end with what holds them;
+a page may break off anywhere, and a tag without its end takes the rest of the page, as in a browser. Whole pages are read, of any length. Repeated rows are extracted each by itself,
 and further columns play no part.
 """
 
@@ -17,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,25 +33,48 @@ SURGE = 86
 #: A line is a menu's, on pages that name no article, if links hold more than this share of its text.
 LINKS = 0.5
 
-RAW = "script|style|noscript|template|textarea|select|option|svg|math|iframe|object|button|title|canvas|audio|video"
+RAW = "script|style|noscript|template|textarea|select|datalist|svg|annotation|iframe|object|button|title|canvas|audio|video"
 SKIPPED = {"nav", "footer", "aside", "form", "dialog", "menu", "head", "fieldset"}
 MAIN = {"article", "main"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input picture source".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output progress q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input picture source math semantics mrow mi mn mo ms mtext mspace mstyle mfrac msqrt mroot msup msub msubsup mover munder munderover mfenced mpadded mphantom".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that the start of another block ends.
 OPEN_ENDED = {"p", "li", "dt", "dd", "tr", "td", "th", "option", "h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words in a class or id that name a part that is not the article.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|ted|s)?|banner|cookies?|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|sign-up|login|sidebar|side-bar|side|rail|menu|nav|navbar|navigation|breadcrumbs?|topbar|masthead|header|footer|comments?|commentlist|disqus|respond|reply|replies|discussion|"
-    r"share|sharing|social|related|recommended|recommendations|widget|toolbar|pagination|pager|copyright|disclaimer|form|search|skip-link|hidden)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of a class or id that name a part that is not the article.
+NAMED = set(
+    "ad ads advert adverts advertisement advertisements advertising adsense adslot adunit adbox sponsor sponsors sponsored promo promos promotion promoted banner cookie cookies consent gdpr notice notification notifications alert popup modal overlay "
+    "newsletter subscribe subscription signup login sidebar sidebars side rail menu menus nav navbar navigation breadcrumb breadcrumbs topbar masthead header footer comment comments commentlist disqus respond reply replies discussion "
+    "share sharing sharebar social related recommended recommendation recommendations widget widgets toolbar pagination pager copyright disclaimer form forms search skiplink hidden".split()
 )
+#: Words that say nothing beside these.
+PLAIN = set(
+    "site page main top bottom left right box list container wrapper wrap block section area bar link links button buttons btn icon icons item items inner outer unit slot zone google primary secondary global mobile desktop sticky fixed js "
+    "content text label title head body author meta avatar thread group row col column panel card message media image img logo policy privacy contact user reader visually posts articles stories topics reading news facebook twitter x dialog up".split()
+)
+#: Names that are also what an article may have parts about, or its own header: they say nothing within it.
+OF_ARTICLES = {"search", "header", "form", "forms", "notice", "side", "rail", "alert", "banner", "discussion", "copyright", "disclaimer"}
+#: Names that an article element itself may have without being the page's.
+OF_AN_ARTICLE = {"ad", "ads", "comment", "comments", "reply", "replies", "related"}
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/a-z][^<>]*\Z", re.S | re.I)
+#: What follows a tag's name: quotes hold a value only after `=`, anywhere else they are letters as any other.
+REST = r"(?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<svg\b[^<>]*/>|<(?P<raw>{RAW})\b{REST}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>{REST})(?:>|\Z)|</?\Z", re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
 
+def names_other(value: str, allowed: set[str] = frozenset()) -> bool:
+    """Whether a class or id has a token that names a part that is not the article; names that are allowed do not count."""
+    for token in value.split():
+        words = [w.lower() for w in WORD.findall(token)]
+        joined = "".join(words)
+        if joined in NAMED and joined not in allowed:
+            return True
+        if any(w in NAMED and w not in allowed for w in words) and all(w in NAMED or w in PLAIN for w in words):
+            return True
+    return False
+
+
 def unwanted(name: str, rest: str, in_main: bool) -> bool:
     """Whether an element is no part of the article, by its name or attributes."""
     if name in SKIPPED or (name == "header" and not in_main):
@@ -56,8 +83,12 @@ def unwanted(name: str, rest: str, in_main: bool) -> bool:
         return False
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"' ")
-        if key in ("class", "id") and name not in MAIN and NAMED.search(value) or key in ("class", "id") and name == "article" and re.search(r"(?:^|[\s_-])(?:comment|reply|ad|related)s?(?:$|[\s_-])", value, re.I):
-            return True
+        if key in ("class", "id"):
+            if name in MAIN:
+                if name == "article" and names_other(value, NAMED - OF_AN_ARTICLE):
+                    return True
+            elif names_other(value, OF_ARTICLES if in_main else frozenset()):
+                return True
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
@@ -161,14 +192,17 @@ def kept(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[t
 def main_text(page: str | None) -> str:
     """The article's text: its blocks in page order, joined by one space."""
     lines = Lines(page or "").lines
-    named = [text for text, _, inside, wanted in lines if text and inside and wanted]
-    if named:
-        return " ".join(named)
-    lengths = []
-    for text, linked, _, wanted in lines:
-        menu = linked > LINKS * len(text.replace(" ", ""))
-        lengths.append(len(text) if wanted and not menu else 0)
-    return " ".join(lines[i][0] for start, stop in kept(lengths) for i in range(start, stop) if lengths[i])
+    named = any(text and inside and wanted for text, _, inside, wanted in lines)
+
+    def length(line: tuple[str, int, bool, bool]) -> int:
+        text, linked, inside, wanted = line
+        other = not inside if named else linked > LINKS * len(text.replace(" ", ""))
+        return len(text) if wanted and not other else 0
+
+    stretches = ((live, list(run)) for live, run in groupby(lines, lambda line: length(line) > 0))
+    lines = [line for live, run in stretches if live or any(text for text, *_ in run) for line in run]
+    lengths = [length(line) for line in lines]
+    return " ".join(lines[i][0] for start, stop in kept(lengths, surge=0 if named else SURGE) for i in range(start, stop) if lengths[i])
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
