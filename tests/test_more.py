@@ -110,6 +110,20 @@ def test_runs_with_other_types_and_one_run_alone(spark, tmp_path):
     assert rl.pbo_across(log, ["r0"]).first()["pbo"] is None
 
 
+def test_a_run_that_broke_off_after_its_returns_is_logged_again(spark, tmp_path, monkeypatch):
+    log = rl.RunLog(spark, str(tmp_path))
+    returns = spark.range(4).selectExpr("timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, cast(id as int)) as ts", "id / 10 as ret")
+    log.append({"run_id": "other", "v": 1.0}, returns)
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(type(spark), "createDataFrame", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        log.append({"run_id": "a", "v": 1.0}, returns)
+    assert log.returns(["a"]).count() == 4 and log.runs().count() == 1
+    log.append({"run_id": "a", "v": 1.0}, returns.limit(3))
+    assert log.returns(["a"]).count() == 3 and log.returns(["other"]).count() == 4 and log.runs().count() == 2
+    with pytest.raises(ValueError):
+        log.append({"run_id": "a", "v": 1.0}, returns)
+
+
 def test_adf_takes_the_lags_of_least_aic(spark):
     rng = np.random.default_rng(3)
     e, x = rng.normal(size=600), [0.0, 0.0]

@@ -28,7 +28,8 @@ class RunLog:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
     def append(self, record: dict, returns: DataFrame) -> None:
-        """A run and its returns (ts, ret); a run_id is logged once. Spark's commit makes each table whole or absent; a run comes before its returns, which never stand alone."""
+        """A run and its returns (ts, ret); a run_id is logged once. Spark's commit makes each write whole or absent. Returns come first:
+        where the run itself is not written any more, its id is still free, and logging it again replaces them."""
         if self._there("runs") and self.runs().where(F.col("run_id") == record["run_id"]).limit(1).count():
             raise ValueError(f"run {record['run_id']} is logged already")
         # all numbers are doubles, so that a column has one type whatever each run has in it
@@ -36,8 +37,8 @@ class RunLog:
         record = {k: float(v) if type(v) is int else v for k, v in record.items()}
         schema = T.StructType([T.StructField(k, kinds.get(type(v), T.StringType()) if not hasattr(v, "isoformat") else T.TimestampNTZType()) for k, v in record.items() if v is not None])
         row = tuple(v if type(v) in kinds or hasattr(v, "isoformat") else str(v) for v in record.values() if v is not None)
+        returns.select(F.lit(record["run_id"]).alias("run_id"), "ts", F.col("ret").cast("double").alias("ret")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{self.root}/returns")
         self.spark.createDataFrame([row], schema).write.mode("append").parquet(f"{self.root}/runs")
-        returns.select(F.lit(record["run_id"]).alias("run_id"), "ts", F.col("ret").cast("double").alias("ret")).write.mode("append").partitionBy("run_id").parquet(f"{self.root}/returns")
 
     def runs(self) -> DataFrame | None:
         """All runs; columns that a run lacks are null. None if there is no run yet."""
