@@ -78,7 +78,7 @@ def repeated_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     rows = docs.select(row_id(text, key).alias("row"), doc_number(key).alias("doc"), F.col(text).alias("text"))
     n_lines = rows.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"))) + 1)).first()[0] or 0
     told = sketch.suspected(rows, hashes_of(least_chars), n_lines)
-    found = written(suspects(told.told(rows), least_chars, told), "suspects")
+    found = written(suspects(told.told_only(rows), least_chars, told), "suspects")
     chosen = F.max("doc") if keep == "last" else F.min("doc")
     shared = written(found.groupBy("key").agg(F.count_distinct("doc").alias("n_docs"), chosen.alias("keeper")).where(F.col("n_docs") >= least_docs), "repeats")
     lost = found.join(shared, "key").where("doc <> keeper").select("row", F.explode("lines").alias("line"))

@@ -255,7 +255,7 @@ class Repeats:
                     yield piece.anchors(length, gram)[4]
 
         self.told = sketch.suspected(self.rows, grams_of, size * 2 // (length - gram))
-        suspects = self.told.told(self.rows).mapInArrow(_suspects(length, gram, self.told), "row long, place long, lo long, hi long, gram long, context long")
+        suspects = self.told.told_only(self.rows).mapInArrow(_suspects(length, gram, self.told), "row long, place long, lo long, hi long, gram long, context long")
         # equal contexts meet here; `first` takes all values from one of them
         contexts = written(suspects.groupBy("gram", "context").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("row", "place", "lo", "hi"))), "contexts")
         several = written(contexts.groupBy("gram").agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"), "grams")

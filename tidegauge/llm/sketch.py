@@ -4,8 +4,8 @@ All bits of a hash lie in one block of 8 KB, so that blocks are merged side by s
 merge by bits: twice is either side's twice, or both sides' once; no hash that occurs twice is missed.
 
 A filter is broadcast, so it may have BITS bits at most. Where the hashes need more, `suspected` does not fill one:
-hashes, of 8 bytes, are counted in a shuffle (partly within each task before it), and every row is joined with those
-of its own that occur twice. Either way callers get `Suspects`: it adds
+hashes, of 8 bytes, are counted in a shuffle (partly within each task before it), and rows are joined with those of
+their own that occur twice; rows that have none stay out of that shuffle where they are not asked for (`told_only`). Either way callers get `Suspects`: it adds
 `__hashes`, null or a list, to their rows and tests hashes with it.
 """
 
@@ -103,6 +103,13 @@ class Suspects:
     def __getstate__(self):  # what tasks need
         return self.__dict__ | {"own": None}
 
+    def told_only(self, rows: DataFrame) -> DataFrame:
+        """The rows (row, ...) with `__hashes`, for work that yields nothing for rows without a suspect: where hashes
+        were counted, only rows that have one are shuffled, others are sifted out where they are."""
+        if self.own is None:
+            return self.told(rows)
+        return sifted(rows, self.own, "row").join(self.own, "row")
+
     def told(self, rows: DataFrame, row: str = "row") -> DataFrame:
         """The rows with `__hashes`."""
         if self.own is None:
