@@ -6,14 +6,15 @@ import random
 from tidegauge.llm import mixing
 
 
-def plain(rows, most=3):
-    """target and taken by the contract: shares by weight, capped and reshared; documents in order of the hash of their ids."""
+def plain(rows, most=3, share=1.0):
+    """target by the contract (shares by weight, capped and reshared), and taken by serving the queues piece by piece."""
     size = {}
     for _, n, s in rows:
-        size[s] = size.get(s, 0) + n
+        size[s] = size.get(s, 0) + (n or 0)
     order = sorted(size, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
-    target, open_, left = {}, set(order), sum(size.values())
+    budget = round(sum(size.values()) * share)
+    target, open_, left = {}, set(order), budget
     while True:
         rate = sum(weight[s] for s in open_)
         over = {s for s in open_ if rate and left * weight[s] / rate > most * size[s]}
@@ -23,15 +24,18 @@ def plain(rows, most=3):
             target[s] = most * size[s]
         left, open_ = left - sum(target[s] for s in over), open_ - over
     target |= {s: left * weight[s] / rate if rate else 0 for s in open_}
-    out = {}
+    waiting = []
     for s in order:
-        own = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest())
-        rest = round(target[s])
-        while rest > 0 and size[s]:
-            for i, n, _ in own:
-                take = min(n, rest)
-                out[i] = out.get(i, 0) + take
-                rest -= take
+        own = sorted((r for r in rows if r[2] == s and r[1]), key=lambda r: hashlib.md5(f"{r[0]} {' '.join(['w'] * r[1])}".encode()).hexdigest())
+        at = 0
+        for i, n, _ in own * most:
+            for k in range(0, n, mixing.PIECE):
+                at += min(mixing.PIECE, n - k)
+                waiting.append((at / weight[s], (s is not None, s or ""), i, min(mixing.PIECE, n - k)))
+    out = {}
+    for _, _, i, n in sorted(waiting, key=lambda w: w[:2]):
+        take = min(n, budget)
+        out[i], budget = out.get(i, 0) + take, budget - take
     return target, out
 
 
@@ -75,19 +79,27 @@ def test_stage_returns_documents(spark):
     assert out.columns == docs.columns and abs(sum(len(r["text"].split()) for r in out.collect()) - 200) <= 2
 
 
-def test_cut_of_the_sorted_queue(spark):
-    """The cut lies where the words given by a finish time, counted copy by copy, reach the budget, in whichever range that is."""
+def test_cut_of_the_sorted_queue(spark, monkeypatch):
+    """What is taken is what serving piece by piece gives, wherever the cut lies and however many ranges there are."""
     draw = random.Random(9)
-    rows = [(i, draw.randint(1, 400), draw.choice(["a", "b", "c", "d", None] + ["hot"] * 4)) for i in range(500)]
-    queue = mixing.queued(frame(spark, rows)).cache()
-    size, weight = {}, {}
-    for r in queue.collect():
-        size[r["source"]], weight[r["source"]] = r["source_size"], r["weight"]
-    for share in (0.01, 0.5, 1.0, 2.5, 2.999, 3.0, 4.0):
-        budget = round(sum(size.values()) * share)
-        time = mixing.cut(queue, budget, sum(weight.values()))
-        given = sum(min(weight[s] * time, 3 * size[s]) for s in size)
-        assert abs(given - min(budget, 3 * sum(size.values()))) < 1e-6 * budget + 1e-6
+    rows = [(i, draw.randint(1, 900), draw.choice(["a", "b", "c", "d", None] + ["hot"] * 4)) for i in range(300)]
+    docs = frame(spark, rows).cache()
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 100)
+    for share in (0.01, 1.0, 2.5, 3.0, 4.0):
+        target, taken = plain(rows, share=share)
+        told = mixing.mix(docs, share).collect()
+        got = {}
+        for r in told:
+            assert abs(r["target"] - target[r["source"]]) < 1e-6 * max(1, target[r["source"]])
+            assert r["taken"] == taken.get(r["doc_id"], 0) <= 3 * r["size"]
+            got[r["source"]] = got.get(r["source"], 0) + r["taken"]
+        assert all(abs(got[s] - target[s]) <= mixing.PIECE for s in got)
+        assert sum(got.values()) == min(round(sum(n for _, n, _ in rows) * share), 3 * sum(n for _, n, _ in rows))
+
+
+def test_null_ids_do_not_share_a_bucket(spark):
+    rows = [(None, i + 1, "a") for i in range(50)]
+    assert mixing.queued(frame(spark, rows)).select("turn").distinct().count() == 50
 
 
 def test_very_long_text_and_clashing_columns(spark):

@@ -1,17 +1,18 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame operations only.
 
-Each source is a queue: its documents in the order of a hash of their ids, MAX_REPEATS times over. A copy's
-virtual finish time is the source's words up to its end divided by the source's weight, so that in the order of
-finish times every source advances in proportion to its weight. All copies are sorted by range of finish times over
-all sources, and the queue is cut where the words given make up the budget: a copy that finishes by then is taken
-whole, the copies being read at the cut, one a source, in part. Words given by a finish time are a prefix sum along
-the sorted queue: each source still queued has given its weight times that time, and each whose last copy has
-finished, MAX_REPEATS times its words. A source whose queue ends so leaves its share to the others.
-
-No window spans the documents of a source: the sums of hash buckets of about BUCKET_DOCS documents are added up
-first, then the documents within one bucket, so that a source with a third of all rows is as even as the others. In
-the same way the sums of ranges of the sorted queue are added up first, one row each, and then the copies of the one
-range that holds the cut. Per-source facts are one row each.
+Each source is a queue: its documents in the order of a hash of their ids and texts, MAX_REPEATS times over. It is
+served in pieces: a document of PIECE words at most is one, a longer one several, so that no long document holds the
+others up. A piece's virtual finish time is the source's words up to its end divided by the source's weight, so that
+in the order of finish times every source advances in proportion to its weight; a source whose queue ends leaves its
+share to the others. The pieces of all sources are sorted by range of finish times, ties by source, and running sums
+of their words along the sorted queue find where the budget is given: pieces before are taken whole, the one at the
+cut in part. So a source's words are within a piece of its target, which is the same sharing with no pieces at all.
+
+Nothing later than a piece past the time of that sharing can be taken, and is not sorted. No window spans the
+documents of a source: the sums of hash buckets of about BUCKET_DOCS documents are added up first, then the documents
+within one bucket, so that a source with a third of all rows is as even as the others. In the same way the sums of
+ranges of the sorted queue, RANGE_ROWS pieces or so each, are added up first, one row each, and then the pieces of the
+one range that holds the cut. Per-source facts are one row each.
 
 Cases: a null text has size 0 and nothing is taken from it. A null source is a source of its own, after all
 others. A null doc_id sorts first; equal rows follow each other in any order. With no words at all every target
@@ -27,6 +28,10 @@ from .base import apart, table, words, written
 
 MAX_REPEATS = 3
 BUCKET_DOCS = 2000
+#: Words of a document that are served at a time.
+PIECE = 256
+#: Pieces of the sorted queue to a range.
+RANGE_ROWS = 1 << 18
 WEIGHTS = (1, 2, 3)
 
 
@@ -36,36 +41,45 @@ def weigh(sources: DataFrame) -> DataFrame:
     return sources.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.pmod(turn, F.lit(len(WEIGHTS))) + 1).cast("int")).cast("double"))
 
 
-def finishing(queue: DataFrame) -> DataFrame:
-    """All copies of queued() sorted by range of `finish`, with the number of the range, and on the last copy of a source its weight and its words in all rounds."""
-    copy = queue.where("size > 0").select("source", "before", "size", "source_size", "weight", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("round"))
-    last = (F.col("round") == MAX_REPEATS - 1) & (F.col("before") + F.col("size") == F.col("source_size"))
-    finish = (F.col("round") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("weight")
-    done = [F.when(last, c).otherwise(0).alias(name) for c, name in ((F.col("weight"), "done_weight"), (MAX_REPEATS * F.col("source_size"), "done_words"))]
-    return copy.select("source", finish.alias("finish"), *done).repartitionByRange("finish").sortWithinPartitions("finish").withColumn("range", F.spark_partition_id())
-
+def shared_time(sources: DataFrame, budget: int) -> float:
+    """The virtual time at which sources (size, weight) that all advance at once have given `budget` words, or all they have."""
+    limit = MAX_REPEATS * F.col("size") / F.col("weight")
+    every = Window.orderBy("limit", "source")
+    ahead = every.rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.orderBy("limit", "source").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ended = F.coalesce(F.sum(MAX_REPEATS * F.col("size")).over(ahead), F.lit(0))
+    each = sources.where("size > 0").withColumn("limit", limit).withColumn("time", (F.lit(budget) - ended) / F.sum("weight").over(rest))
+    return each.agg(F.coalesce(F.min(F.when(F.col("time") <= F.col("limit"), F.struct("limit", "time")))["time"], F.max("limit"))).first()[0] or 0.0
 
-def cut(queue: DataFrame, budget: int, weights: float) -> float:
-    """The virtual time at which the sorted queue has given `budget` words; `weights` is the sum of the sources' that have any."""
-    copy = written(finishing(queue), "finishing")
 
-    def first_reaching(rows: DataFrame, order: list[str], weight_before: float, words_before: int):
-        """The first row by whose finish the budget is given, with what had ended before it."""
-        along = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        rows = rows.withColumn("ended", F.sum("done_weight").over(along) + weight_before).withColumn("words", F.sum("done_words").over(along) + words_before)
-        return rows.where((weights - F.col("ended")) * F.col("finish") + F.col("words") >= budget).orderBy(*order).select("*", (F.col("ended") - F.col("done_weight")).alias("ended_before"), (F.col("words") - F.col("done_words")).alias("words_before")).first()
-
-    ranges = copy.groupBy("range").agg(F.max("finish").alias("finish"), F.sum("done_weight").alias("done_weight"), F.sum("done_words").alias("done_words"))
-    at = first_reaching(ranges, ["range"], 0.0, 0)
+def finishing(queue: DataFrame, until: float) -> DataFrame:
+    """source, words and finish of every piece of queued() that finishes by then, sorted by range of finish, with the number of the range."""
+    copy = queue.where("size > 0").select("source", "before", "size", "source_size", "weight", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1))).alias("round"))
+    copy = copy.withColumn("start", F.col("round") * F.col("source_size") + F.col("before")).where(F.col("start") / F.col("weight") <= until)
+    piece = copy.select("source", "start", "size", "weight", F.explode(F.expr(f"sequence(0L, (size - 1) div {PIECE})")).alias("piece"))
+    end = F.least(F.col("size"), (F.col("piece") + 1) * PIECE)
+    piece = piece.select("source", (end - F.col("piece") * PIECE).alias("words"), ((F.col("start") + end) / F.col("weight")).alias("finish")).where(F.col("finish") <= until)
+    ranges = queue.agg(F.sum(F.ceil(F.col("size") / PIECE))).first()[0] * MAX_REPEATS // RANGE_ROWS + int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return piece.repartitionByRange(ranges, "finish").sortWithinPartitions("finish", "source").withColumn("range", F.spark_partition_id())
+
+
+def served(queue: DataFrame, budget: int, until: float) -> DataFrame:
+    """source and the words `served` of it when the sorted queue has given `budget` words; `until` is a time by which it has."""
+    pieces = written(finishing(queue, until), "finishing")
+    sums = pieces.groupBy("range").agg(F.sum("words").alias("words"))
+    sums = sums.withColumn("given", F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    at = sums.where(F.col("given") >= budget).orderBy("range").select("range", (F.col("given") - F.col("words")).alias("before")).first()
     if at is None:  # the budget is more than all queues hold
-        return copy.agg(F.max("finish")).first()[0] or 0.0
-    at = first_reaching(copy.where(F.col("range") == at["range"]), ["finish", "source"], at["ended_before"], at["words_before"]) or at
-    return (budget - at["words_before"]) / (weights - at["ended_before"])
+        return pieces.groupBy("source").agg(F.sum("words").alias("served"))
+    along = Window.orderBy("finish", "source").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(budget - at["before"]) - F.coalesce(F.sum("words").over(along), F.lit(0))
+    last = pieces.where(F.col("range") == at["range"]).select("source", F.greatest(F.lit(0), F.least(F.col("words"), left)).alias("words"))
+    return pieces.where(F.col("range") < at["range"]).select("source", "words").unionAll(last).groupBy("source").agg(F.sum("words").alias("served"))
 
 
 def queued(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each document with source, size, source_size, weight, and `before`: the words of its source's queue ahead of it in the first round."""
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("turn"), *carry)
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(" "), F.coalesce(F.col(text), F.lit(""))).cast("binary")).alias("turn"), *carry)
     n = rows.count()
     digits = 1
     while 16**digits * BUCKET_DOCS < n:
@@ -79,19 +93,26 @@ def queued(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     placed = rows.withColumn("own_before", F.coalesce(F.sum("size").over(own), F.lit(0)))
     extra = sums.join(facts, sums["source"].eqNullSafe(facts["source"])).select(sums["source"].alias("s"), sums["bucket"].alias("b"), "bucket_before", "source_size", "weight")
     joined = placed.join(extra, placed["source"].eqNullSafe(extra["s"]) & (placed["bucket"] == extra["b"]))
-    return joined.select("doc_id", "source", "turn", "size", "source_size", "weight", (F.col("own_before") + F.col("bucket_before")).alias("before"), *carry)
+    return joined.select("doc_id", "source", "turn", "bucket", "size", "source_size", "weight", (F.col("own_before") + F.col("bucket_before")).alias("before"), *carry)
 
 
 def mix(docs: DataFrame, budget_share: float = 1.0, **columns) -> DataFrame:
     """queued() with target (of the source) and taken (words of the document that the mix takes, all rounds)."""
     queue = written(queued(docs, **columns), "queued")
     sources = queue.groupBy("source").agg(F.sum("size").alias("size"), F.max("weight").alias("weight"))
-    facts = sources.agg(F.sum("size").alias("size"), F.sum(F.when(F.col("size") > 0, F.col("weight"))).alias("weights")).first()
-    time = cut(queue, round(facts["size"] * budget_share), facts["weights"]) if facts["size"] else 0.0
+    words_ = sources.agg(F.sum("size")).first()[0]
+    if not words_:
+        return queue.withColumn("target", F.lit(0.0)).withColumn("taken", F.lit(0).cast("long")).drop("bucket")
+    budget = round(words_ * budget_share)
+    time = shared_time(sources, budget)
+    given = written(served(queue, budget, time + PIECE / min(WEIGHTS)), "served")
+    # a row for each bucket of a source, so that no source's documents meet in one task
+    buckets = queue.groupBy("source", "bucket").agg(F.lit(1).alias("one"))
+    given = buckets.join(given, buckets["source"].eqNullSafe(given["source"])).select(buckets["source"].alias("s"), buckets["bucket"].alias("b"), "served")
+    queue = queue.join(given, queue["source"].eqNullSafe(given["s"]) & (queue["bucket"] == given["b"]), "left").drop("s", "b", "bucket")
     target = F.least((F.lit(MAX_REPEATS) * F.col("source_size")).cast("double"), F.col("weight") * F.lit(time))
-    served = F.round(F.col("target")).cast("long")
-    read = [F.greatest(F.lit(0), F.least(F.col("size"), served - i * F.col("source_size") - F.col("before"))) for i in range(MAX_REPEATS)]
-    return queue.withColumn("target", target).withColumn("taken", sum(read, F.lit(0)).cast("long"))
+    read = [F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce("served", F.lit(0)) - i * F.col("source_size") - F.col("before"))) for i in range(MAX_REPEATS)]
+    return queue.withColumn("target", target).withColumn("taken", sum(read, F.lit(0)).cast("long")).drop("served")
 
 
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
@@ -129,7 +150,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS turn FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat(coalesce(doc_id::VARCHAR, ''), ' ', coalesce(text, ''))) AS turn FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS size, (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS weight FROM d GROUP BY source
 ), c(step, time) AS (
@@ -140,10 +161,17 @@ WITH RECURSIVE d AS (
       ELSE ((SELECT sum(size) FROM s) - sum(CASE WHEN 3 * s.size / s.weight::DOUBLE <= c.time THEN 3 * s.size ELSE 0 END)) / sum(CASE WHEN 3 * s.size / s.weight::DOUBLE > c.time THEN s.weight ELSE 0 END)::DOUBLE END AS t
     FROM c, s GROUP BY c.step, c.time) WHERE t > time
 ), q AS (
-  SELECT d.doc_id, d.size, s.size AS source_size, least(3.0 * s.size, s.weight * (SELECT max(time) FROM c))::DOUBLE AS target,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.doc_id, d.source, d.turn, d.size, s.size AS source_size, s.weight, least(3.0 * s.size, s.weight * (SELECT max(time) FROM c))::DOUBLE AS target,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.turn, d.doc_id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+), p AS (
+  SELECT source, least(256, size - 256 * k) AS words, (r * source_size + before + least(size, 256 * (k + 1))) / weight::DOUBLE AS finish
+  FROM (SELECT *, unnest(range(0, (size + 255) // 256)) AS k FROM (SELECT *, unnest([0, 1, 2]) AS r FROM q))
+), t AS (
+  SELECT source, words, coalesce(sum(words) OVER (ORDER BY finish, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given FROM p
+), v AS (
+  SELECT source, sum(greatest(0, least(words, (SELECT sum(size) FROM s) - given)))::BIGINT AS served FROM t GROUP BY source
 )
 SELECT doc_id, size, source_size, target,
-  (CASE WHEN source_size > 0 THEN (round(target)::BIGINT // source_size) * size + greatest(0, least(size, round(target)::BIGINT - (round(target)::BIGINT // source_size) * source_size - before)) ELSE 0 END)::BIGINT AS taken
-FROM q"""
+  (greatest(0, least(size, coalesce(served, 0) - before)) + greatest(0, least(size, coalesce(served, 0) - source_size - before)) + greatest(0, least(size, coalesce(served, 0) - 2 * source_size - before)))::BIGINT AS taken
+FROM q LEFT JOIN v ON q.source IS NOT DISTINCT FROM v.source"""
