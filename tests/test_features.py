@@ -159,10 +159,53 @@ def test_instruments_do_not_mix(spark, bars):
     same(both, values(bars, "rsi")["rsi"])
 
 
-def test_hidden_states_are_told_apart():
-    rng = np.random.default_rng(3)
-    wild = np.repeat([0, 1, 0, 1], 150).astype(bool)
-    close = 100 * np.exp(np.cumsum(rng.normal(0, np.where(wild, 0.03, 0.005))))
-    p = hmm.states(close, 50, 200, 30)
+def plain_states(close, refit, min_train, n_iter):
+    """The hidden Markov feature of one series bar by bar."""
+    r = np.diff(np.log(close), prepend=np.nan)
+    out, model = np.full(len(r), np.nan), None
+    for t in range(min_train, len(r)):
+        if (t - min_train) % refit == 0:
+            train = r[1:t][~np.isnan(r[1:t])]
+            model = (hmm.fit(train, n_iter) if len(train) >= min_train // 2 else None) or model
+        window = r[max(1, t - hmm.LOOK_BACK) : t + 1]
+        if model is not None and not np.isnan(window).any():
+            out[t] = hmm._passes(window, *model)[0][-1, int(np.argmax(model[3]))]
+    return out
+
+
+def closes(seed, runs):
+    rng = np.random.default_rng(seed)
+    wild = np.repeat(np.arange(runs) % 2, 150).astype(bool)
+    return wild, 100 * np.exp(np.cumsum(rng.normal(0, np.where(wild, 0.03, 0.005))))
+
+
+def hidden(spark, series, **how):
+    rows = [(k, i, None if np.isnan(c) else float(c)) for k, x in series.items() for i, c in enumerate(x)]
+    bars = spark.createDataFrame(rows, "instrument string, pos long, close double").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    out = hmm.hmm_state(bars, **how).orderBy("instrument", "pos").toPandas()
+    assert out.columns.tolist() == ["instrument", "ts", "pos", "hmm_state"] and len(out) == len(rows)
+    return {k: g["hmm_state"].to_numpy(float) for k, g in out.groupby("instrument")}
+
+
+@pytest.mark.parametrize("block", [4096, 200])
+def test_hidden_states_are_those_of_a_series_bar_by_bar(spark, block):
+    """Fits within one block, and fits that many blocks make together: holes, a flat series and a short one among them."""
+    wild, close = closes(3, 4)
+    holes = close.copy()
+    holes[[0, 120, 333]] = np.nan
+    series = {"whole": close, "holes": holes, "flat": np.full(450, 7.0), "short": close[:50]}
+    got = hidden(spark, series, refit=90, min_train=150, n_iter=6, block=block)
+    for k, x in series.items():
+        np.testing.assert_allclose(got[k], plain_states(x, 90, 150, 6), rtol=1e-6, atol=1e-8, equal_nan=True)
+    p = got["whole"]
     assert np.nanmean(p[wild & ~np.isnan(p)]) > 0.8 > 0.3 > np.nanmean(p[~wild & ~np.isnan(p)])
+    assert np.isnan(got["flat"]).all() and np.isnan(got["short"]).all()
+
+
+def test_hidden_states_of_no_bars(spark):
+    bars = spark.createDataFrame([], "instrument string, ts timestamp_ntz, pos long, close double")
+    assert hmm.hmm_state(bars).count() == 0
+
+
+def test_a_relation_without_steps_is_its_table():
     assert Rel("x").sql == "SELECT * FROM x"
