@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import pickle
 import random
 import time
 import zlib
@@ -153,6 +154,24 @@ def test_encoding_is_the_library_s(tokenizer):
         assert mine.decode(ids) == t.encode()
 
 
+def test_what_was_encoded_is_remembered_within_a_bound_on_its_bytes(tokenizer, monkeypatch):
+    mine, theirs = pickle.loads(pickle.dumps(tokenizer[0])), tokenizer[1]
+    made = []
+    monkeypatch.setattr(bpe.Encoder, "merge", lambda self, piece, f=bpe.Encoder.merge: made.append(piece) or f(self, piece))
+    draw = random.Random(4)
+    texts = ["".join(" " + "".join(draw.choices("etaoinshr", k=8)) for _ in range(5000)) for _ in range(16)]
+    for t in [*texts, *texts]:
+        mine.encode(t)
+    assert len(made) == len(set(made)) > 70000
+
+    mine = pickle.loads(pickle.dumps(mine))
+    monkeypatch.setattr(bpe, "MEMO", 100000)
+    text = texts[0] + "".join(" " + "".join(draw.choices("etaoinshr", k=draw.choice([300, 3000, 20000]))) for _ in range(60)) + texts[0]
+    assert mine.encode(text) == theirs.encode_ordinary(text) and mine.decode(mine.encode(text)) == text.encode()
+    for generation in (mine.memo, mine.memo.older):
+        assert 0 < sum(160 + 16 * len(k) for k in generation) <= 100000
+
+
 def test_bpe_on_rows(spark, tokenizer, monkeypatch):
     texts = [None, "", "Hello wörld", "Hello wörld", "x y " * 3000]
     monkeypatch.setattr(bpe, "CHUNK", 10)

@@ -13,8 +13,8 @@ play no part.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -28,8 +28,8 @@ from .base import apart, broadcast, passed, table
 
 #: Characters encoded, or ids decoded, before a batch is handed on.
 CHUNK = 1 << 20
-#: Pre-tokens that a task remembers, and as many that it used before those.
-MEMO = 1 << 16
+#: Bytes, estimated from above for common texts, of the pre-tokens that a task remembers, and as many of those that it used before.
+MEMO = 1 << 27
 
 
 class PerfectHash:
@@ -86,6 +86,30 @@ class PerfectHash:
         return self.slots[slot] if self.keys[slot] == key else -1
 
 
+class Memo(dict):
+    """What `make` gave for the strings asked for last, in two generations: a string that is asked for again moves into the newer one.
+
+    The bound is on bytes and holds within a text too, however long its pre-tokens are; what would take a large share of it is made anew each time.
+    """
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.held, self.older = make, most, 0, {}
+
+    def __missing__(self, key: str) -> tuple[int, ...]:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        weight = 160 + 16 * len(key)
+        if 16 * weight <= self.most:
+            if self.held + weight > self.most:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += weight
+        return value
+
+
 class Encoder:
     """A vocabulary: tokens by rank, the perfect hash over them, and the split pattern."""
 
@@ -95,11 +119,10 @@ class Encoder:
         self.pair = dict(zip(tokens, ranks, strict=True))  # what two neighbours make
         self.split = None
         self.two = [self.pair.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo: Memo | None = None
 
     def __getstate__(self):
-        return self.__dict__ | {"split": None, "memo": {}, "older": {}}
+        return self.__dict__ | {"split": None, "memo": None}
 
     def rank(self, piece: bytes) -> int:
         i = self.hash.get(piece)
@@ -108,37 +131,40 @@ class Encoder:
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a pre-token that is no token itself."""
         n, get = len(piece), self.pair.get
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
         after = list(range(1, n + 1))  # where the part that starts here ends, that is, where the next starts
         before = list(range(-1, n - 1))
         two = self.two
         joint = [two[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of the part that starts here with the next; -1: none
         joint.append(-1)
-        heap = [(r << 32) | i for i, r in enumerate(joint) if r >= 0]
-        heapq.heapify(heap)
+        heap = [r << bits | i for i, r in enumerate(joint) if r >= 0]
+        heapify(heap)
         while heap:
-            least = heapq.heappop(heap)
-            start = least & 0xFFFFFFFF
-            if joint[start] != least >> 32:
+            least = heappop(heap)
+            start = least & mask
+            if joint[start] != least >> bits:
                 continue  # one of the two has been merged meanwhile
             middle = after[start]
             stop = after[start] = after[middle]
             joint[middle] = -1
-            r = -1
             if stop < n:
                 before[stop] = start
-                r = get(piece[start : after[stop]], -1)
+                r = joint[start] = get(piece[start : after[stop]], -1)
                 if r >= 0:
-                    heapq.heappush(heap, (r << 32) | start)
-            joint[start] = r
+                    heappush(heap, r << bits | start)
+            else:
+                joint[start] = -1
             if start:
                 left = before[start]
                 r = joint[left] = get(piece[left:stop], -1)
                 if r >= 0:
-                    heapq.heappush(heap, (r << 32) | left)
+                    heappush(heap, r << bits | left)
         out, i = [], 0
         while i < n:
-            out.append(get(piece[i : after[i]]))
-            i = after[i]
+            stop = after[i]
+            out.append(get(piece[i:stop]))
+            i = stop
         return tuple(out)
 
     def piece(self, text: str) -> tuple[int, ...]:
@@ -150,15 +176,8 @@ class Encoder:
         if not text:
             return []
         if self.split is None:
-            self.split = regex.compile(self.pattern).findall
-        memo = self.memo
-        pieces = self.split(text)
-        for p in set(pieces).difference(memo):
-            memo[p] = self.older.get(p) or self.piece(p)
-        ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
-        if len(memo) > MEMO:
-            self.memo, self.older = {}, memo
-        return ids
+            self.split, self.memo = regex.compile(self.pattern).findall, Memo(self.piece, MEMO)
+        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
