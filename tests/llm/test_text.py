@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import pickle
 import random
+import sys
 import time
 import zlib
 from collections import defaultdict
@@ -169,7 +170,7 @@ def test_what_was_encoded_is_remembered_within_a_bound_on_its_bytes(tokenizer, m
     text = texts[0] + "".join(" " + "".join(draw.choices("etaoinshr", k=draw.choice([300, 3000, 20000]))) for _ in range(60)) + texts[0]
     assert mine.encode(text) == theirs.encode_ordinary(text) and mine.decode(mine.encode(text)) == text.encode()
     for generation in (mine.memo, mine.memo.older):
-        assert 0 < sum(160 + 16 * len(k) for k in generation) <= 100000
+        assert 0 < sum(bpe.ENTRY + sys.getsizeof(k) + sys.getsizeof(v) for k, v in generation.items()) <= 100000
 
 
 def test_bpe_on_rows(spark, tokenizer, monkeypatch):

@@ -13,9 +13,10 @@ play no part.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ from .base import apart, broadcast, passed, table
 
 #: Characters encoded, or ids decoded, before a batch is handed on.
 CHUNK = 1 << 20
-#: Bytes, estimated from above for common texts, of the pre-tokens that a task remembers, and as many of those that it used before.
-MEMO = 1 << 27
+#: Bytes of the pre-tokens, with their ids, that a task remembers, and as many of those that it used before.
+MEMO = 3 << 24
+#: What a dictionary takes for an entry.
+ENTRY = 80
 
 
 class PerfectHash:
@@ -87,7 +90,7 @@ class PerfectHash:
 
 
 class Memo(dict):
-    """What `make` gave for the strings asked for last, in two generations: a string that is asked for again moves into the newer one.
+    """What `make` gave for the strings asked for last, in two generations: a string of the older one that is asked for again is in the newer one from then on.
 
     The bound is on bytes and holds within a text too, however long its pre-tokens are; what would take a large share of it is made anew each time.
     """
@@ -96,11 +99,11 @@ class Memo(dict):
         super().__init__()
         self.make, self.most, self.held, self.older = make, most, 0, {}
 
-    def __missing__(self, key: str) -> tuple[int, ...]:
+    def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        weight = 160 + 16 * len(key)
+        weight = ENTRY + getsizeof(key) + getsizeof(value)
         if 16 * weight <= self.most:
             if self.held + weight > self.most:
                 self.older, self.held = dict(self), 0
@@ -167,17 +170,21 @@ class Encoder:
             i = stop
         return tuple(out)
 
-    def piece(self, text: str) -> tuple[int, ...]:
+    def piece(self, text: str) -> bytes:
+        """The ids of a pre-token, four bytes each."""
         raw = text.encode("utf-8", "surrogatepass")
         r = self.rank(raw)
-        return (r,) if r >= 0 else self.merge(raw)
+        return array("i", (r,) if r >= 0 else self.merge(raw)).tobytes()
 
-    def encode(self, text: str | None) -> list[int]:
+    def ids(self, text: str | None) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         if self.split is None:
             self.split, self.memo = regex.compile(self.pattern).findall, Memo(self.piece, MEMO)
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.split(text))))
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split(text))), np.int32)
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.ids(text).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -192,7 +199,7 @@ def load(spark: SparkSession, path: str, pattern: str) -> Encoder:
 
 def encode(docs: DataFrame, encoder: Encoder, text: str = "text", keep: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
     """The kept columns and `ids`, the tokens of the whole text; with back also `bytes`, what the ids decode to."""
-    return _batched(docs, text, keep, encoder, {"ids": "array<int>"} | ({"bytes": "binary"} if back else {}), lambda enc, text: (ids := enc.encode(text), enc.decode(ids)) if back else (enc.encode(text),))
+    return _batched(docs, text, keep, encoder, {"ids": "array<int>"} | ({"bytes": "binary"} if back else {}), lambda enc, text: (ids := enc.ids(text), enc.decode(ids.tolist())) if back else (enc.ids(text),))
 
 
 def decode(encoded: DataFrame, encoder: Encoder, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
@@ -210,7 +217,7 @@ def _batched(rows: DataFrame, column: str, keep: tuple[str, ...], encoder: Encod
         if name == "bytes":
             return pa.array(values, pa.binary())
         offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(values), np.int32, offsets[-1])))
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = shared.value
